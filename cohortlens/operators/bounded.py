@@ -39,10 +39,11 @@ def combine_states(*tables: DataFrame, items_tracked: int) -> DataFrame:
     )
 
 
-def bounded_heavy_hitters(states: DataFrame, params: SketchParams) -> DataFrame:
-    """hh(d, w, layer, key, value, cnt) of the states."""
-    top = F.expr(f"approx_top_k_estimate(state, {params.k_kept})")
-    found = states.select("d", "w", "layer", F.inline(top))  # item, count
+def tracked_items(states: DataFrame, items_tracked: int) -> DataFrame:
+    """(d, w, layer, key, value, cnt) of all items the states still hold, at most
+    ``items_tracked`` per cell layer. Counts are exact where a state never overflowed."""
+    held = F.expr(f"approx_top_k_estimate(state, {int(items_tracked)})")
+    found = states.select("d", "w", "layer", F.inline(held))  # item, count
     length = F.substring_index("item", _LENGTH_END, 1)
     start = F.length(length) + F.lit(2)
     n = length.cast("int")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..params import SketchParams
 from ..session import write_and_read
-from .bounded import bounded_heavy_hitters, bounded_states
+from .bounded import bounded_states, tracked_items
 from .cells import cell_totals, place_items, with_tie_break
 from .counters import count_sketch_build, count_sketch_estimate, merge_counters
 from .items import count_items
@@ -92,7 +92,8 @@ def build_sketch(
     exact_counts  count every distinct item, then keep the top of each cell layer
     count_sketch  the same, but rank by and store Count-Sketch estimates
     bounded       no counting of distinct items: one frequent-items state of fixed size
-                  (``items_tracked``) per cell layer; for inputs with too many distinct items
+                  (``items_tracked``) per cell layer; for inputs with too many distinct items.
+                  Equal to exact_counts as long as no cell layer has more items than that
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
@@ -101,7 +102,7 @@ def build_sketch(
     counters = None
     if mode == "bounded":
         states = bounded_states(rows, params, items_tracked)
-        hh = bounded_heavy_hitters(states, params)
+        hh = top_of_cells(tracked_items(states, items_tracked), params, params.k_kept)
     else:
         items = count_items(rows) if items is None else items
         if mode == "exact_counts":

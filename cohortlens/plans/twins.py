@@ -330,6 +330,7 @@ SQL: dict[str, str] = {
         f"""wanted AS (SELECT CAST(l_suppkey AS VARCHAR) AS key FROM lineitem
         GROUP BY 1 HAVING count(*) >= {MIN_GROUP_SIZE})""",
     ),
+    "sketch_bounded": _answers("median", SUPPLIER_KEYS),
     "sketch_roundtrip": _answers("median", SUPPLIER_KEYS),
     "format_estimates": _answers(
         "min",

@@ -12,7 +12,8 @@ from ..functions.text import format_line
 from ..operators.sketch import Sketch
 from ..params import PARAMS_SCHEMA, SketchParams
 
-# Heavy hitters per file; a sketch has a bounded number of rows, so this bounds the file count.
+# Neighbouring cells are stored together: so many stretches of cells per grid row.
+W_BLOCKS = 64
 ROWS_PER_FILE = 1_000_000
 
 
@@ -24,7 +25,8 @@ def save_sketch(sketch: Sketch, path: str, mode: str = "overwrite") -> None:
     sketch must not be one that was loaded from the same path.
     """
     spark = sketch.hh.sparkSession
-    sorted_hh = sketch.hh.repartition("d").sortWithinPartitions("d", "w", "layer")
+    block = F.floor(F.col("w") / F.lit(-(-sketch.params.w // W_BLOCKS)))
+    sorted_hh = sketch.hh.repartition("d", block).sortWithinPartitions("d", "w", "layer")
     (
         sorted_hh.write.mode(mode)
         .option("maxRecordsPerFile", ROWS_PER_FILE)
@@ -88,5 +90,5 @@ def write_estimates(
     the table itself. ``single_file`` is for results small enough for one writer."""
     out = format_estimates(estimates, spaced) if fmt == "text" else estimates
     if single_file:
-        out = out.coalesce(1)
+        out = out.repartition(1)  # not coalesce: only the writing is done by one task
     out.write.mode("overwrite").format(fmt).save(path)
