@@ -67,9 +67,12 @@ def _top_of_many(ranked: DataFrame, params: SketchParams, k: int) -> DataFrame:
     cell = (F.col("d") * F.lit(params.w) + F.col("w")).cast("bigint") * F.lit(
         params.levels
     ) + F.col("layer")
-    # Never falls when the rank rises: the count, capped, and below it the inverted tie-break.
-    capped = F.least(F.col("cnt"), F.lit((1 << _COUNT_BITS) - 1).cast("bigint"))
-    score = F.shiftleft(capped, 32).bitwiseOR(F.lit((1 << 32) - 1) - F.col("_tie"))
+    # Never falls when the rank rises: the count and below it the inverted tie-break. Counts of
+    # 2^31 and more, of which there can only be few, all pass.
+    score = F.when(
+        F.col("cnt") < F.lit(1 << _COUNT_BITS),
+        F.shiftleft("cnt", 32).bitwiseOR(F.lit((1 << 32) - 1) - F.col("_tie")),
+    ).otherwise(F.lit((1 << 63) - 1))
     keyed = with_tie_break(ranked, params).withColumns({"_cell": cell, "_score": score})
     floors = kth_best_floor(keyed, "_cell", k, F.col("_score"), F.col("_tie"))
     if params.d * params.w * params.levels <= MAX_BROADCAST_CELL_LAYERS:
