@@ -1,4 +1,4 @@
-"""Command line: ``spark-submit``-able form of the jobs in ``plans.jobs``."""
+"""Command line of the jobs in ``plans.jobs``."""
 
 from __future__ import annotations
 

@@ -46,6 +46,8 @@ class Sketch:
 TIE_BREAK = ["_tie", "key", "value"]
 _COUNT_BITS = 31
 
+# Finding a floor deals a cell layer into up to 4k buckets; beyond this k it does not pay.
+MAX_FLOOR_K = 2048
 # Floors are broadcast, 16 bytes for each of at most d*w*levels cell layers, up to this many.
 MAX_BROADCAST_CELL_LAYERS = 1_000_000
 
@@ -64,6 +66,8 @@ def _top_of_many(ranked: DataFrame, params: SketchParams, k: int) -> DataFrame:
     A first pass finds a floor per cell layer, a second one keeps what reaches it; only these
     few rows are sorted and shuffled. Both passes read the same shuffled items.
     """
+    if k > MAX_FLOOR_K:
+        return top_of_cells(ranked, params, k).select(*HH_COLUMNS)
     cell = (F.col("d") * F.lit(params.w) + F.col("w")).cast("bigint") * F.lit(
         params.levels
     ) + F.col("layer")

@@ -40,6 +40,7 @@ from ..sources.rows import query_keys_of, read_rows, repeat_rows
 from ..sources.store import format_estimates, load_sketch, save_sketch
 from ..streaming.incremental import latest_sketch, sketch_updater
 from ..streaming.windows import window_gsum
+from . import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -416,6 +417,24 @@ def sketch_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tidy(query_keys(load_sketch(spark, path), _supplier_keys(spark, sf_dir)))
 
 
+@_query("file_job")
+def files_to_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole job on text files: lines with quoted commas in, result lines out."""
+    events = _table(spark, sf_dir, "events")
+    out = new_path(spark, "file-job")
+    line = F.format_string(
+        '%s,%s,%s,"%s,%s",%s,%s',
+        "event_type", "user_id", "event_id", "event_type", "event_type", "props", "event_type",
+    )
+    events.select(line).write.text(f"{out}/rows")
+    groups = events.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    groups.select(F.format_string("%s,0,0,0,%s", "user_id", "n")).write.text(f"{out}/keys")
+    jobs.ingest_and_answer(
+        spark, f"{out}/rows", f"{out}/sketch", f"{out}/keys", f"{out}/answers", PARAMS
+    )
+    return spark.read.text(f"{out}/answers").select(F.col("value").alias("line"))
+
+
 # --- output and accuracy -------------------------------------------------------------------
 
 

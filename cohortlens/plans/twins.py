@@ -19,6 +19,13 @@ items AS (
   SELECT CAST(user_id AS VARCHAR) AS key, {EVENT_TUPLE} AS value, count(*) AS f
   FROM events GROUP BY 1, 2)"""
 
+LINE_ITEMS = """
+items AS (
+  SELECT CAST(user_id AS VARCHAR) AS key,
+    event_type || '|"' || event_type || ',' || event_type || '"|' ||
+    replace(replace(props, '\\', '\\\\'), '|', '\\|') || '|' || event_type AS value, count(*) AS f
+  FROM events GROUP BY 1, 2)"""
+
 SUPPLIER_KEYS = "wanted AS (SELECT CAST(s_suppkey AS VARCHAR) AS key FROM supplier)"
 
 
@@ -118,6 +125,9 @@ def _answers(how: str, wanted: str, sketch: str = SKETCH, tail: str | None = Non
     return f"WITH {sketch},{PER_CELL},{wanted},{_combined(how)} {tail}"
 
 
+RESULT_LINES = """SELECT printf('%s,%.2f,%.2f,%.2f,%.2f', key, entropy, l2,
+  CAST(l1 AS DOUBLE), CAST(card AS DOUBLE)) AS line FROM answers"""
+
 HELD_KEYS = "wanted AS (SELECT DISTINCT key FROM assigned)"
 
 
@@ -332,11 +342,12 @@ SQL: dict[str, str] = {
     ),
     "sketch_bounded": _answers("median", SUPPLIER_KEYS),
     "sketch_roundtrip": _answers("median", SUPPLIER_KEYS),
-    "format_estimates": _answers(
+    "format_estimates": _answers("min", SUPPLIER_KEYS, tail=RESULT_LINES),
+    "file_job": _answers(
         "min",
-        SUPPLIER_KEYS,
-        tail="""SELECT printf('%s,%.2f,%.2f,%.2f,%.2f', key, entropy, l2,
-          CAST(l1 AS DOUBLE), CAST(card AS DOUBLE)) AS line FROM answers""",
+        "wanted AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS key FROM events)",
+        ",".join([LINE_ITEMS, HASHED, PLACED, HH, ASSIGNED]),
+        tail=RESULT_LINES,
     ),
     "format_array": f"""WITH {LINEITEM_ITEMS}, sums AS (SELECT key, {_sums()} FROM items GROUP BY key)
       SELECT key, printf('[%.2f, %.2f, %.2f, %.2f]', entropy, l2,

@@ -15,6 +15,10 @@ RECOMMENDED = {
     "spark.sql.session.timeZone": "UTC",
     # bounded sketches keep one state per cell layer: d * w * levels groups
     "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "50000",
+    # windowed statistics keep one state row per window and distinct item
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
 }
 
 _CHECKPOINT_DIR = "spark.checkpoint.dir"

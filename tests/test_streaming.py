@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cohortlens import SketchParams, build_sketch, count_items, exact_gsum, key_estimates
@@ -25,8 +26,12 @@ def events(spark, sf_dir):
 
 
 def stream_of(spark, df, files):
+    # one after the other: a file source takes files by age, and late rows would be dropped
     path = new_path(spark, "input")
-    df.repartitionByRange(files, "ts").write.parquet(path)
+    part = F.ntile(files).over(Window.orderBy("ts"))
+    parts = df.withColumn("part", part).cache()
+    for i in range(1, files + 1):
+        parts.where(F.col("part") == i).drop("part").coalesce(1).write.mode("append").parquet(path)
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
