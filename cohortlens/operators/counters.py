@@ -62,14 +62,6 @@ def count_sketch_build(rows: DataFrame, params: SketchParams) -> DataFrame:
     return sums.select(*_unpacked(params), "c")
 
 
-def _estimate(params: SketchParams) -> Column:
-    per_row = [
-        F.col(f"_sign{r}") * F.coalesce(F.col(f"_c{r}"), F.lit(0).cast("bigint"))
-        for r in range(params.rows)
-    ]
-    return F.greatest(median_of(F.array(*per_row), params.rows), F.lit(1).cast("bigint"))
-
-
 def count_sketch_estimate(
     items: DataFrame, counters: DataFrame, params: SketchParams
 ) -> DataFrame:
@@ -79,18 +71,28 @@ def count_sketch_estimate(
     row throughout, so nothing has to be grouped back; addresses spread even the items of one
     hot cell over ``cols`` join keys, and what is still skewed is left to Spark's skew join.
     The counters of one row, at most d*w*levels*cols, are hashed instead of sorting the items.
+    Rows are kept narrow on the way: cell and layer are read back from the first address.
     """
-    located = assign_cells(counter_addresses(items, params), params)
-    located = located.withColumns(
-        {f"_addr{r}": _packed(params, F.lit(r), F.col(f"_pos{r}")) for r in range(params.rows)}
-    ).drop(*[f"_pos{r}" for r in range(params.rows)])
+    rows = range(params.rows)
+    located = assign_cells(counter_addresses(items, params), params).select(
+        *items.columns,
+        *[_packed(params, F.lit(r), F.col(f"_pos{r}")).alias(f"_addr{r}") for r in rows],
+        sum(F.when(F.col(f"_sign{r}") > 0, 1 << r).otherwise(0) for r in rows).alias("_signs"),
+    )
     packed = _packed(params, F.col("r"), F.col("pos"))
-    for r in range(params.rows):
+    for r in rows:
         row = counters.where(F.col("r") == r).select(
             packed.alias(f"_addr{r}"), F.col("c").alias(f"_c{r}")
         )
         located = located.join(row.hint("shuffle_hash"), f"_addr{r}", "left")
-    return located.select(*items.columns, "d", "w", "layer", _estimate(params).alias("cnt"))
+    signed = []
+    for r in rows:
+        sign = F.lit(2) * F.shiftright("_signs", r).bitwiseAND(F.lit(1)) - F.lit(1)
+        signed.append(sign * F.coalesce(F.col(f"_c{r}"), F.lit(0).cast("bigint")))
+    estimate = F.greatest(median_of(F.array(*signed), params.rows), F.lit(1).cast("bigint"))
+    found = located.select(*items.columns, F.col("_addr0").alias("_addr"), estimate.alias("cnt"))
+    d, w, layer = _unpacked(params)[:3]
+    return found.select(*items.columns, d, w, layer, "cnt")
 
 
 def merge_counters(*tables: DataFrame) -> DataFrame:

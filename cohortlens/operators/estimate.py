@@ -29,7 +29,7 @@ def propagate(hh: DataFrame, params: SketchParams) -> DataFrame:
         candidates = by_cell.withColumn("m", F.explode(F.sequence(F.lit(0), "layer"))).drop("layer")
     kept = top_of_cells(candidates, params, params.k, layer="m")
     return kept.groupBy("d", "w", "key", "value").agg(
-        F.min("m").alias("m"), F.first("cnt").alias("cnt")
+        F.min("m").alias("m"), F.max("cnt").alias("cnt")
     )
 
 

@@ -18,7 +18,7 @@ from .bounded import bounded_states, tracked_items
 from .cells import cell_totals, place_items, with_tie_break
 from .counters import count_sketch_build, count_sketch_estimate, merge_counters
 from .items import count_items
-from .topk import kth_best_floor, topk_items
+from .topk import buckets_for, kth_best_floor, topk_items
 
 CELL_LAYER = ["d", "w", "layer"]
 HH_COLUMNS = ["d", "w", "layer", "key", "value", "cnt"]
@@ -46,8 +46,8 @@ class Sketch:
 TIE_BREAK = ["_tie", "key", "value"]
 _COUNT_BITS = 31
 
-# Finding a floor deals a cell layer into up to 4k buckets; beyond this k it does not pay.
-MAX_FLOOR_K = 2048
+# Finding floors deals every cell layer into buckets; a task may hold a number for each of them.
+MAX_BUCKETS = 10_000_000
 # Floors are broadcast, 16 bytes for each of at most d*w*levels cell layers, up to this many.
 MAX_BROADCAST_CELL_LAYERS = 1_000_000
 
@@ -66,7 +66,7 @@ def _top_of_many(ranked: DataFrame, params: SketchParams, k: int) -> DataFrame:
     A first pass finds a floor per cell layer, a second one keeps what reaches it; only these
     few rows are sorted and shuffled. Both passes read the same shuffled items.
     """
-    if k > MAX_FLOOR_K:
+    if params.d * params.w * params.levels * buckets_for(k) > MAX_BUCKETS:
         return top_of_cells(ranked, params, k).select(*HH_COLUMNS)
     cell = (F.col("d") * F.lit(params.w) + F.col("w")).cast("bigint") * F.lit(
         params.levels

@@ -65,6 +65,11 @@ def _topk_with_ties(
     return joined.where(F.col(count) >= F.col("_cutoff")).select(*df.columns)
 
 
+def buckets_for(k: int) -> int:
+    """At least 2k buckets, so that the k-th best of them is close to the k-th best row."""
+    return 1 << (2 * k - 1).bit_length()
+
+
 def kth_best_floor(
     df: DataFrame, group: str, k: int, score: Column, spread: Column
 ) -> DataFrame:
@@ -75,10 +80,8 @@ def kth_best_floor(
     aggregation with at most 2k..4k buckets per group, and lets little more than k rows pass,
     so the large table need not be sorted. Groups with fewer than k buckets get no floor.
     """
-    buckets = 1 << (2 * k - 1).bit_length()
-    best = df.groupBy(group, F.pmod(spread, F.lit(buckets)).alias("_bucket")).agg(
-        F.max(score).alias("_best")
-    )
+    bucket = F.pmod(spread, F.lit(buckets_for(k)))
+    best = df.groupBy(group, bucket.alias("_bucket")).agg(F.max(score).alias("_best"))
     # at most ``buckets`` numbers per group
     ranked = best.groupBy(group).agg(F.sort_array(F.collect_list("_best"), asc=False).alias("_all"))
     return ranked.select(group, F.get("_all", F.lit(k - 1)).alias("_floor")).where(

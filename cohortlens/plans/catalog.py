@@ -6,14 +6,15 @@ The SQL twin of every query that has one is in ``plans.twins`` under the same na
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_lanes, item_layer, wide_layer_hash
-from ..functions.metrics import METRICS, Metric, shannon_entropy
+from ..functions.metrics import METRICS, Metric, relative_errors_pct, shannon_entropy
 from ..functions.text import format_array, split_quoted
-from ..operators.cells import assign_cells, cell_totals, place_items
+from ..operators.cells import assign_cells, cell_totals, place_items, with_layer
 from ..operators.counters import count_sketch_build, count_sketch_estimate, merge_counters
 from ..operators.estimate import cell_gsum, key_estimates, propagate, query_key, query_keys
 from ..operators.evaluate import accuracy_report, key_errors
@@ -46,6 +47,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 # md5 lanes, so that any SQL engine can check the sketch.
 PARAMS = SketchParams(d=3, w=64, levels=15, k=30, rows=3, cols=400, algo="md5")
+WIDE_PARAMS = SketchParams(d=3, w=1_000_000, levels=25, k=30, algo="md5")
+KEPT_FOR_MERGE = 2000
 SMALL_K = 5
 POINT_KEY = "7"
 TOP_KEYS = 10
@@ -247,6 +250,19 @@ def cell_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_cells(_supplier_keys(spark, sf_dir), PARAMS)
 
 
+@_query("cell_assignment_wide")
+def wide_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A grid wider than one 16-bit lane."""
+    return assign_cells(_supplier_keys(spark, sf_dir), WIDE_PARAMS)
+
+
+@_query("layer_histogram_wide")
+def deep_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """More layers than one 16-bit lane can tell apart."""
+    layers = with_layer(_items(spark, sf_dir), WIDE_PARAMS).groupBy("layer")
+    return layers.agg(F.count(F.lit(1)).alias("n_items"))
+
+
 # --- counters ----------------------------------------------------------------------------
 
 
@@ -258,8 +274,7 @@ def count_sketch_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("count_sketch_low_sign")
 def count_sketch_low_sign(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signs from the lowest bit of a lane; the counters straight from the raw rows."""
-    params = SketchParams(d=3, w=64, levels=15, k=30, rows=3, cols=400, algo="md5", sign_bit=0)
-    return count_sketch_build(_rows(spark, sf_dir), params)
+    return count_sketch_build(_rows(spark, sf_dir), replace(PARAMS, sign_bit=0))
 
 
 @_query("count_sketch_estimate")
@@ -325,6 +340,14 @@ def merged_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge_sketches(*[build_sketch(h, PARAMS) for h in _halves(spark, sf_dir)]).hh
 
 
+@_query("merge_sketches_kept")
+def merged_without_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inputs that keep more than they read: the answers are those of one sketch of everything."""
+    params = replace(PARAMS, k_store=KEPT_FOR_MERGE)
+    merged = merge_sketches(*[build_sketch(h, params) for h in _halves(spark, sf_dir)])
+    return _tidy(key_estimates(merged))
+
+
 # --- estimates ---------------------------------------------------------------------------
 
 
@@ -347,8 +370,7 @@ def sketch_gsum_min(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("sketch_gsum_layered")
 def sketch_gsum_layered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    params = SketchParams(d=3, w=64, levels=15, k=30, algo="md5", layered=True)
-    return _tidy(key_estimates(_sketch(spark, sf_dir, params)))
+    return _tidy(key_estimates(_sketch(spark, sf_dir, replace(PARAMS, layered=True))))
 
 
 @_query("sketch_gsum_count_sketch")
@@ -463,6 +485,22 @@ def errors_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return errors.select("key", *[F.round(f"err_{m}", 4).alias(f"err_{m}") for m in METRICS])
 
 
+@_query("grid_row_errors")
+def errors_of_grid_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Error of every grid row's own answer for the row count of a key."""
+    assigned = propagate(_sketch(spark, sf_dir).hh, PARAMS)
+    per_row = cell_gsum(assigned, ["l1"]).groupBy("key").agg(
+        *[F.max(F.when(F.col("d") == d, F.col("l1"))).alias(f"_{d}") for d in range(PARAMS.d)]
+    )
+    answers = F.array(*[F.coalesce(f"_{d}", F.lit(0)) for d in range(PARAMS.d)])
+    exact = exact_gsum(_items(spark, sf_dir), ["l1"])
+    errors = exact.join(per_row, "key", "left").select(
+        "key", relative_errors_pct(F.col("l1"), answers).alias("errors")
+    )
+    each = [F.round(F.get("errors", F.lit(d)), 4).alias(f"err{d}") for d in range(PARAMS.d)]
+    return errors.select("key", *each)
+
+
 @_query("accuracy_report")
 def report_of_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     report = accuracy_report(*_exact_and_estimated(spark, sf_dir))

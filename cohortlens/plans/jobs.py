@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.estimate import query_keys
-from ..operators.items import ColumnSpec, to_items
+from ..operators.items import ColumnSpec, count_items_of, to_items
 from ..operators.sketch import Sketch, build_sketch
 from ..params import SketchParams
 from ..sources.rows import read_query_keys, read_rows
@@ -31,8 +31,10 @@ def ingest(
     repeat: int = 1,
 ) -> Sketch:
     """Build the sketch of the files, save it, and return the saved one."""
-    rows = read_rows(spark, paths, fmt, min_partitions=min_partitions, repeat=repeat)
-    save_sketch(build_sketch(to_items(rows, key_cols, value_cols), params, mode), sketch_path)
+    table = read_rows(spark, paths, fmt, min_partitions=min_partitions, repeat=repeat)
+    rows = to_items(table, key_cols, value_cols)
+    items = None if mode == "bounded" else count_items_of(table, key_cols, value_cols)
+    save_sketch(build_sketch(rows, params, mode, items=items), sketch_path)
     return load_sketch(spark, sketch_path)
 
 

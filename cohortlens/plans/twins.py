@@ -2,7 +2,16 @@
 
 from __future__ import annotations
 
-from .catalog import ENTROPY_DIGITS, MIN_GROUP_SIZE, PARAMS, POINT_KEY, REPEATS, SMALL_K, TOP_KEYS
+from .catalog import (
+    ENTROPY_DIGITS,
+    MIN_GROUP_SIZE,
+    PARAMS,
+    POINT_KEY,
+    REPEATS,
+    SMALL_K,
+    TOP_KEYS,
+    WIDE_PARAMS,
+)
 
 P = PARAMS
 
@@ -33,8 +42,11 @@ def _lane(h: str, i: int) -> str:
     return f"CAST('0x' || substr({h}, {4 * i + 1}, 4) AS INTEGER)"
 
 
-def _layer(lane: str) -> str:
-    return f"least(CAST(bit_count(xor({lane}, {lane} + 1) >> 1) AS INTEGER), {P.levels - 1})"
+def _layer(lane: str, levels: int = P.levels) -> str:
+    return f"least(CAST(bit_count(xor({lane}, {lane} + 1) >> 1) AS INTEGER), {levels - 1})"
+
+
+WIDE_HASH = "(i3 | ((i0 >> 12) << 16) | ((i1 >> 12) << 20) | ((i2 >> 12) << 24))"
 
 
 HASHED = f"""
@@ -49,6 +61,14 @@ layered AS (
 GRID = f"(SELECT unnest(range({P.d})) AS d) grid"
 
 
+def _wide_cell(hk: str) -> str:
+    cases = " ".join(
+        f"WHEN {i} THEN {_lane(hk, 2 * i)} + 65536 * CAST({_lane(hk, 2 * i + 1)} AS BIGINT)"
+        for i in range(P.d)
+    )
+    return f"CAST((CASE d {cases} END) % {WIDE_PARAMS.w} AS INTEGER)"
+
+
 def _cell(hk: str) -> str:
     cases = " ".join(f"WHEN {i} THEN {_lane(hk, i)}" for i in range(P.d))
     return f"CAST((CASE d {cases} END) % {P.w} AS INTEGER)"
@@ -279,13 +299,19 @@ SQL: dict[str, str] = {
     ),
     "hash_lanes": f"""WITH {LINEITEM_ITEMS},{HASHED}
       SELECT key, value, i0 AS lane0, i1 AS lane1, i2 AS lane2, i3 AS lane3, layer,
-        i3 | ((i0 >> 12) << 16) | ((i1 >> 12) << 20) | ((i2 >> 12) << 24) AS wide_hash
+        {WIDE_HASH} AS wide_hash
       FROM layered""",
     "layer_histogram": f"""WITH {LINEITEM_ITEMS},{HASHED}
       SELECT layer, count(*) AS n_items FROM layered GROUP BY layer""",
     "cell_assignment": f"""WITH wanted AS (
         SELECT CAST(s_suppkey AS VARCHAR) AS key, md5('cell|' || s_suppkey) AS hk FROM supplier)
       SELECT key, CAST(d AS INTEGER) AS d, {_cell("hk")} AS w FROM wanted, {GRID}""",
+    "cell_assignment_wide": f"""WITH wanted AS (
+        SELECT CAST(s_suppkey AS VARCHAR) AS key, md5('cell|' || s_suppkey) AS hk FROM supplier)
+      SELECT key, CAST(d AS INTEGER) AS d, {_wide_cell("hk")} AS w FROM wanted, {GRID}""",
+    "layer_histogram_wide": f"""WITH {LINEITEM_ITEMS},{HASHED}
+      SELECT {_layer(WIDE_HASH, WIDE_PARAMS.levels)} AS layer, count(*) AS n_items
+      FROM layered GROUP BY 1""",
     "count_sketch_build": _counters(LINEITEM_ITEMS),
     "count_sketch_low_sign": _counters(LINEITEM_ITEMS, sign_bit=0),
     "count_sketch_estimate": f"""WITH {LINEITEM_ITEMS},{HASHED},{PLACED},{_updates(P.sign_bit)},
@@ -309,6 +335,7 @@ SQL: dict[str, str] = {
     "heavy_hitters": f"""WITH {LINEITEM_ITEMS},{HASHED},{PLACED},{HH}
       SELECT d, w, layer, key, value, cnt FROM hh WHERE layer = 0""",
     "merge_sketches": _merge(),
+    "merge_sketches_kept": _answers("median", HELD_KEYS),
     "propagate_layers": f"WITH {SKETCH} SELECT d, w, key, value, m, cnt FROM assigned",
     "sketch_gsum_median": _answers("median", SUPPLIER_KEYS),
     "sketch_gsum_min": _answers("min", SUPPLIER_KEYS),
@@ -354,6 +381,14 @@ SQL: dict[str, str] = {
         CAST(l1 AS DOUBLE), CAST(card AS DOUBLE)) AS line FROM sums""",
     "errors_by_key": f"""WITH {SKETCH},{PER_CELL},{HELD_KEYS},{_combined("median")},{ERRORS}
       SELECT key, {", ".join(f"round(err_{m}, 4) AS err_{m}" for m in METRICS)} FROM errors""",
+    "grid_row_errors": f"""WITH {SKETCH},{PER_CELL}, exact AS (
+        SELECT key, CAST(sum(f) AS DOUBLE) AS n FROM items GROUP BY key),
+      found AS (SELECT e.key, n, d, l1 FROM exact e LEFT JOIN per_cell p ON p.key = e.key)
+      SELECT key, {", ".join(
+        f"round(CASE WHEN max(l1) FILTER (d = {d}) IS NULL THEN any_value(n) "
+        f"ELSE abs(any_value(n) - max(l1) FILTER (d = {d})) / any_value(n) * 100 END, 4) AS err{d}"
+        for d in range(P.d)
+      )} FROM found GROUP BY key""",
     "accuracy_report": f"WITH {SKETCH},{PER_CELL},{HELD_KEYS},{_combined('median')},{_report()}",
     "stream_window_gsum": f"""WITH items AS (
         SELECT date_trunc('day', ts) AS day, CAST(user_id AS VARCHAR) AS key, event_type AS value,

@@ -21,6 +21,18 @@ RECOMMENDED = {
     ),
 }
 
+SHUFFLE_PARTITION_BYTES = 256 << 20
+MAX_SHUFFLE_PARTITIONS = 200_000
+
+
+def settings_for(input_bytes: int, cores: int) -> dict[str, str]:
+    """``RECOMMENDED`` with partitions sized for an input: counting items shuffles at most about
+    the columns read. Start high; adaptive execution joins what turns out small."""
+    partitions = -(-input_bytes // SHUFFLE_PARTITION_BYTES)
+    partitions = min(max(partitions, cores), MAX_SHUFFLE_PARTITIONS)
+    return {**RECOMMENDED, "spark.sql.shuffle.partitions": str(partitions)}
+
+
 _CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 

@@ -19,7 +19,7 @@ from cohortlens import (
 )
 from cohortlens import __main__ as cli
 from cohortlens.plans import jobs
-from cohortlens.session import new_path, work_dir
+from cohortlens.session import new_path, settings_for, work_dir
 from cohortlens.sources.rows import query_keys_of
 from cohortlens.sources.store import format_estimates, has_sketch
 
@@ -149,6 +149,12 @@ def test_command_line(spark, files, tmp_path):
     assert "--min-group-size" in help_text
 
 
+def test_settings_for_an_input():
+    assert settings_for(100 << 40, 8000)["spark.sql.shuffle.partitions"] == "200000"
+    assert settings_for(1 << 40, 800)["spark.sql.shuffle.partitions"] == "4096"
+    assert settings_for(1 << 20, 8)["spark.sql.shuffle.partitions"] == "8"
+
+
 def test_work_dir_is_the_configured_one(spark):
     assert work_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
     assert new_path(spark, "x") != new_path(spark, "x")
