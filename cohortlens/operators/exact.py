@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.metrics import MetricSpec, resolve_metrics
 from ..functions.text import join_parts
-from .items import ColumnSpec, count_items, native_columns
+from .items import ColumnSpec, columns_of, count_items, native_columns
 
 
 def exact_gsum(rows: DataFrame, metrics: MetricSpec = None, by_key: bool = True) -> DataFrame:
@@ -27,11 +27,16 @@ def exact_gsum(rows: DataFrame, metrics: MetricSpec = None, by_key: bool = True)
 
 
 def exact_gsum_of(
-    df: DataFrame, key_cols: ColumnSpec, value_cols: ColumnSpec, metrics: MetricSpec = None
+    df: DataFrame,
+    key_cols: ColumnSpec,
+    value_cols: ColumnSpec,
+    metrics: MetricSpec = None,
+    keep_columns: bool = False,
 ) -> DataFrame:
     """``exact_gsum`` of the rows of a table, grouped by the columns themselves.
 
     Numbers are compared as numbers, keys become text once per group, and values never do.
+    ``keep_columns`` keeps the key columns beside the key text.
     """
     keys, values = native_columns(df, key_cols, "_k"), native_columns(df, value_cols, "_v")
     groups = [f"_k{i}" for i in range(len(keys))]
@@ -39,7 +44,10 @@ def exact_gsum_of(
     freq = df.select(*keys, *values).groupBy(*groups, *parts).agg(F.count(F.lit(1)).alias("f"))
     sums = [m.total(F.col("f")).alias(name) for name, m in resolve_metrics(metrics).items()]
     per_group = freq.groupBy(*groups).agg(*sums)
-    return per_group.select(join_parts([F.col(g) for g in groups]).alias("key"), "*").drop(*groups)
+    key = join_parts([F.col(g) for g in groups]).alias("key")
+    names = df.select(*columns_of(df, key_cols)).columns
+    kept = [F.col(g).alias(n) for g, n in zip(groups, names)] if keep_columns else []
+    return per_group.select(*kept, key, *resolve_metrics(metrics))
 
 
 def exact_gsum_cube(

@@ -13,7 +13,7 @@ from ..functions.text import join_parts
 ColumnSpec = Sequence[str | int | Column]
 
 
-def _columns(df: DataFrame, spec: ColumnSpec) -> list[Column]:
+def columns_of(df: DataFrame, spec: ColumnSpec) -> list[Column]:
     """Names, positions or expressions as columns. Positions count from 0; on a table with one
     array column ``fields`` they pick fields of the line."""
     by_field = df.columns == ["fields"]
@@ -42,8 +42,8 @@ def to_items(
     ``weight`` names a column that says how many rows a row stands for; it becomes ``f``.
     """
     out = [
-        join_parts(_columns(df, key_cols), escape).alias("key"),
-        join_parts(_columns(df, value_cols), escape).alias("value"),
+        join_parts(columns_of(df, key_cols), escape).alias("key"),
+        join_parts(columns_of(df, value_cols), escape).alias("value"),
     ]
     if weight is not None:
         out.append(F.col(weight).cast("bigint").alias("f"))
@@ -71,7 +71,7 @@ _TEXT_IS_UNIQUE = (T.IntegralType, T.BooleanType, T.DateType, T.DecimalType)
 def native_columns(df: DataFrame, spec: ColumnSpec, prefix: str) -> list[Column]:
     """Columns to group by before they become text: numbers stay numbers."""
     out = []
-    for i, c in enumerate(_columns(df, spec)):
+    for i, c in enumerate(columns_of(df, spec)):
         dtype = df.select(c).schema[0].dataType
         if not isinstance(dtype, _TEXT_IS_UNIQUE):
             c = join_parts([c])

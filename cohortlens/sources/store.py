@@ -60,10 +60,9 @@ def load_sketch(spark: SparkSession, path: str) -> Sketch:
 def has_sketch(spark: SparkSession, path: str) -> bool:
     """Whether ``path`` holds a complete sketch."""
     try:
-        spark.read.schema(PARAMS_SCHEMA).parquet(f"{path}/params")
+        return bool(spark.read.schema(PARAMS_SCHEMA).parquet(f"{path}/params").head(1))
     except AnalysisException:
         return False
-    return True
 
 
 def without_counters(sketch: Sketch) -> Sketch:

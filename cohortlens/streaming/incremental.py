@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,7 +26,10 @@ def _batch_of(spark: SparkSession, slot: str) -> int | None:
     """The batch a slot ends with, or None if it holds no complete state."""
     if not has_sketch(spark, slot):
         return None
-    marks = spark.read.schema("batch_id bigint").parquet(f"{slot}/batch")
+    try:
+        marks = spark.read.schema("batch_id bigint").parquet(f"{slot}/batch")
+    except AnalysisException:
+        return None
     return marks.agg(F.max("batch_id")).first()[0]
 
 
@@ -56,15 +60,18 @@ def sketch_updater(
         if found != expected:
             raise ValueError(f"{before} ends with batch {found}, expected {expected}")
         batch.persist()
-        part = build_sketch(batch, params, mode)
-        if with_counters and part.counters is None:
-            part = replace(part, counters=count_sketch_build(count_items(batch), params))
-        if expected is not None:
-            part = merge_sketches(load_sketch(spark, before), part)
-        slot = _slot(path, batch_id)
-        save_sketch(part, slot)
-        mark = spark.createDataFrame([(batch_id,)], "batch_id bigint")
-        mark.coalesce(1).write.mode("overwrite").parquet(f"{slot}/batch")
-        batch.unpersist()
+        try:
+            part = build_sketch(batch, params, mode)
+            if with_counters and part.counters is None:
+                part = replace(part, counters=count_sketch_build(count_items(batch), params))
+            if expected is not None:
+                part = merge_sketches(load_sketch(spark, before), part)
+            slot = _slot(path, batch_id)
+            save_sketch(part, slot)
+            # last of all: until this is written, the other slot is the latest
+            mark = spark.createDataFrame([(batch_id,)], "batch_id bigint")
+            mark.coalesce(1).write.mode("overwrite").parquet(f"{slot}/batch")
+        finally:
+            batch.unpersist()
 
     return update

@@ -135,3 +135,9 @@ def test_positions_and_fields(spark):
     assert (row["key"], row["value"]) == ("d", "s|1|2|3")
     fields = df.select(F.array(*df.columns).alias("fields"))
     assert to_items(fields, [1], [0, 3, 4, 5]).first() == row
+
+
+def test_key_columns_beside_the_key(spark):
+    df = spark.createDataFrame([(1, "a|b", "v"), (1, "a|b", "w")], "n int, t string, v string")
+    row = exact_gsum_of(df, ["n", "t"], ["v"], ["l1", "card"], keep_columns=True).first()
+    assert row.asDict() == {"n": 1, "t": "a|b", "key": "1|a\\|b", "l1": 2, "card": 2}

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from cohortlens import SketchParams, build_sketch, count_items, exact_gsum, key_estimates
 from cohortlens.operators.counters import count_sketch_build
 from cohortlens.session import new_path
+from cohortlens.sources.store import save_sketch
 from cohortlens.streaming.incremental import latest_sketch, sketch_updater
 from cohortlens.streaming.windows import window_gsum
 
@@ -78,6 +79,18 @@ def test_stream_sketch_equals_one_shot(spark, events):
     )
 
 
+def test_half_written_state_is_not_taken(spark, events):
+    path = new_path(spark, "slots")
+    update = sketch_updater(path, PARAMS, with_counters=False)
+    rows = events.select("key", "value")
+    update(rows, 0)
+    # batch 1 stops after its tables, before its mark
+    save_sketch(build_sketch(rows.limit(5), PARAMS), f"{path}/slot1")
+    assert table(latest_sketch(spark, path).cells) == table(build_sketch(events, PARAMS).cells)
+    update(rows.limit(0), 1)
+    assert table(latest_sketch(spark, path).cells) == table(build_sketch(events, PARAMS).cells)
+
+
 def test_replayed_batch_counts_once(spark, events):
     path = new_path(spark, "slots")
     update = sketch_updater(path, PARAMS, with_counters=False)
