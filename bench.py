@@ -24,7 +24,7 @@ from cohortlens.session import RECOMMENDED, new_path
 from cohortlens.sources.rows import query_keys_of
 from cohortlens.sources.store import load_sketch, save_sketch
 
-RUNS = 2
+RUNS = 3  # the best counts: the first runs also warm the JVM up
 
 
 def main() -> None:

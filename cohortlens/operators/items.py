@@ -59,9 +59,16 @@ def count_items(rows: DataFrame) -> DataFrame:
     """items(key, value, f): frequency of every distinct pair.
 
     Spark combines repeats on the map side, and the shuffle is by key *and* value, so a key
-    that holds a third of all rows is spread like any other.
+    that holds a third of all rows is spread like any other. Pairs of weight zero do not occur.
     """
-    return rows.groupBy("key", "value").agg(F.sum(row_weight(rows)).alias("f"))
+    counted = rows.groupBy("key", "value").agg(F.sum(row_weight(rows)).alias("f"))
+    return _occurring(counted)
+
+
+def _occurring(counted: DataFrame) -> DataFrame:
+    # Also keeps the shuffles of two uses of the items alike when one of them has no need of f,
+    # so that Spark runs the scan and the counting once for both.
+    return counted.where(F.col("f") > 0)
 
 
 # Types whose text is different for different values; others are grouped as text.
@@ -85,7 +92,7 @@ def count_items_of(df: DataFrame, key_cols: ColumnSpec, value_cols: ColumnSpec)
     keys, values = native_columns(df, key_cols, "_k"), native_columns(df, value_cols, "_v")
     names = [f"_k{i}" for i in range(len(keys))] + [f"_v{i}" for i in range(len(values))]
     counted = df.select(*keys, *values).groupBy(*names).agg(F.count(F.lit(1)).alias("f"))
-    return to_items(counted, names[: len(keys)], names[len(keys) :], weight="f")
+    return to_items(_occurring(counted), names[: len(keys)], names[len(keys) :], weight="f")
 
 
 def repeat_items(items: DataFrame, n: int) -> DataFrame:

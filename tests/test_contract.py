@@ -72,7 +72,8 @@ def test_top_k_is_cut_before_the_shuffle(spark, sf_dir):
         assert "row_number(), 30, Partial" in plan and "row_number(), 30, Final" in plan
 
 
-def test_both_passes_of_the_build_share_one_shuffle(spark, sf_dir):
-    plan = final_plan(catalog.QUERIES["sketch_build"](spark, sf_dir))
+@pytest.mark.parametrize("name", ["sketch_build", "count_sketch_estimate", "accuracy_report"])
+def test_items_are_scanned_and_counted_once(spark, sf_dir, name):
+    plan = final_plan(catalog.QUERIES[name](spark, sf_dir))
     final = plan.split("Initial Plan")[0]
     assert "ReusedExchange" in final and final.count("FileScan") == 1

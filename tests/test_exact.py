@@ -141,3 +141,8 @@ def test_key_columns_beside_the_key(spark):
     df = spark.createDataFrame([(1, "a|b", "v"), (1, "a|b", "w")], "n int, t string, v string")
     row = exact_gsum_of(df, ["n", "t"], ["v"], ["l1", "card"], keep_columns=True).first()
     assert row.asDict() == {"n": 1, "t": "a|b", "key": "1|a\\|b", "l1": 2, "card": 2}
+
+
+def test_pairs_of_weight_zero_do_not_occur(spark):
+    rows = spark.createDataFrame([("a", "x", 2), ("a", "y", 0)], "key string, value string, f bigint")
+    assert as_dict(exact_gsum(rows)) == {"a": (2.0, 4, 2, 1)}
