@@ -8,10 +8,14 @@ from pyspark.sql import functions as F
 from .chat import END, START, format_chats, read_chats
 from .common import table
 from .decontaminate import decontaminate
+from .html_wrappers import extract_pages
 from .lines import line_dedup
 from .pieces import round_trip_digests
 from .quality import quality_rules
+from .sharding import place
 from .simhash import simhash_groups
+from .suffixes import suffix_dedup
+from .token_files import read_token_digests, write_token_files
 
 
 def tokenizer(name: str) -> str:
@@ -48,6 +52,11 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extract_pages(table(spark, sf_dir, "pages"))
+    return found.withColumn("n_chars", F.char_length("text").cast("bigint"))
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip_digests(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
@@ -57,6 +66,11 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    written = write_token_files(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+    return read_token_digests(spark, written)
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -69,14 +83,33 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return place(table(spark, sf_dir, "documents").select("doc_id"))
+
+
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_dedup(table(spark, sf_dir, "documents"))
+    return cut.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("spans").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_quality_rules,
         op2_simhash,
         op3_chat_format,
+        op4_html_text,
         op5_sentencepiece,
         op6_line_dedup,
+        op7_token_files,
         op8_decontaminate,
+        op9_sharding,
+        op10_suffix_dedup,
     )
 }
