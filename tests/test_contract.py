@@ -8,7 +8,7 @@ import __spark_entry__ as contract
 from cohortlens.plans import catalog
 from cohortlens.plans.twins import SQL
 
-NAMES = sorted(contract.queries())
+NAMES = sorted(catalog.QUERIES)
 
 
 @pytest.fixture(scope="module")
