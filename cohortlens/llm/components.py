@@ -10,8 +10,9 @@ from ..session import write_and_read
 
 def _lowest(pairs: DataFrame) -> DataFrame:
     """Pairs (u, v) with ``m``, the smallest of u and its partners. The minimum is combined on
-    the map side; a node with very many partners is left to the skew join."""
-    least = pairs.groupBy("u").agg(F.min("v").alias("m"))
+    the map side and written, so that the join has a shuffle of its own on either side and can
+    split a node with very many partners."""
+    least = write_and_read(pairs.groupBy("u").agg(F.min("v").alias("m")), "least")
     return pairs.join(least, "u").withColumn("m", F.least("u", "m"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import write_and_read
 from .common import SPACES, ascii_lower, fresh, quoted, same_row, texts
 
 
@@ -42,11 +43,13 @@ def line_dedup(
     )
     long_lines = keyed.where(F.col("h1").isNotNull())
     holders = long_lines.select("h1", "h2", "doc_id").distinct()
-    shared = (
+    # Written, so that the join has a shuffle of its own on either side and can split a hot hash.
+    shared = write_and_read(
         holders.groupBy("h1", "h2")
         .agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("first"))
         .where(F.col("docs") >= min_docs)
-        .select("h1", "h2", "first")
+        .select("h1", "h2", "first"),
+        "shared-lines",
     )
     lost = (
         long_lines.join(shared, ["h1", "h2"])
