@@ -76,7 +76,7 @@ def main() -> None:
         ),
         "sketch_exact_counts": lambda: build_sketch(rows, params, items=items).hh,
         "sketch_count_sketch": lambda: build_sketch(rows, params, "count_sketch", items=items).hh,
-        "sketch_bounded": lambda: build_sketch(rows, params, "bounded", items_tracked=256).hh,
+        "sketch_bounded": lambda: build_sketch(rows, params, "bounded", items_tracked=4096).hh,
         "count_sketch_counters": lambda: count_sketch_build(items, params),
         "sketch_save": save,
         "sketch_query_keys": lambda: query_keys(load_sketch(spark, saved), keys),

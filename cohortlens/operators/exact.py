@@ -12,13 +12,16 @@ from ..functions.text import join_parts
 from .items import ColumnSpec, columns_of, count_items, native_columns
 
 
-def exact_gsum(rows: DataFrame, metrics: MetricSpec = None, by_key: bool = True) -> DataFrame:
-    """Per key (or over the whole table) the sum of g(f) over the values.
+def exact_gsum(
+    rows: DataFrame, metrics: MetricSpec = None, by_key: bool = True, counted: bool = False
+) -> DataFrame:
+    """Per key (or over the whole table) the sum of g(f) over the values. ``counted`` says that the
+    rows are items already, each pair once, and need no second count.
 
     Both aggregations combine on the map side: the second one moves at most one row per key
     and task, however large a group is.
     """
-    items = count_items(rows)
+    items = rows if counted else count_items(rows)
     groups = ["key"] if by_key else []
     freq = F.col("f")
     return items.groupBy(*groups).agg(

@@ -59,7 +59,8 @@ def count_items(rows: DataFrame) -> DataFrame:
     """items(key, value, f): frequency of every distinct pair.
 
     Spark combines repeats on the map side, and the shuffle is by key *and* value, so a key
-    that holds a third of all rows is spread like any other. Pairs of weight zero do not occur.
+    that holds a third of all rows is spread like any other. Pairs of weight zero do not occur;
+    negative weights, as of rows taken back, count as they are.
     """
     counted = rows.groupBy("key", "value").agg(F.sum(row_weight(rows)).alias("f"))
     return _occurring(counted)
@@ -68,7 +69,7 @@ def count_items(rows: DataFrame) -> DataFrame:
 def _occurring(counted: DataFrame) -> DataFrame:
     # Also keeps the shuffles of two uses of the items alike when one of them has no need of f,
     # so that Spark runs the scan and the counting once for both.
-    return counted.where(F.col("f") > 0)
+    return counted.where(F.col("f") != 0)
 
 
 # Types whose text is different for different values; others are grouped as text.

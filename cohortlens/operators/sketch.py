@@ -31,6 +31,7 @@ class Sketch:
     hh: DataFrame
     cells: DataFrame
     counters: DataFrame | None = None
+    items: DataFrame | None = None
 
     def materialize(self) -> Sketch:
         """The same sketch read from tables in the session's shared folder, for many queries."""
@@ -40,6 +41,7 @@ class Sketch:
             hh=write_and_read(self.hh, "hh"),
             cells=write_and_read(self.cells, "cells"),
             counters=None if counters is None else write_and_read(counters, "counters"),
+            items=None if self.items is None else write_and_read(self.items, "items"),
         )
 
 
@@ -93,8 +95,10 @@ def build_sketch(
     mode: str = "exact_counts",
     items_tracked: int = 4096,
     items: DataFrame | None = None,
+    keep_items: bool = False,
 ) -> Sketch:
-    """Sketch of rows(key, value[, f]). ``items`` are the counted rows, if there already.
+    """Sketch of rows(key, value[, f]). ``items`` are the counted rows, if there already;
+    ``keep_items`` keeps them with the sketch, so that it can be merged without loss.
 
     exact_counts  count every distinct item, then keep the top of each cell layer
     count_sketch  the same, but rank by and store Count-Sketch estimates
@@ -121,7 +125,9 @@ def build_sketch(
             counters = count_sketch_build(items, params)
             ranked = count_sketch_estimate(items, counters, params)
             hh = top_of_cells(ranked.select(*HH_COLUMNS), params, params.k_kept)
-    return Sketch(params, hh, cell_totals(rows, params), counters)
+    if keep_items and items is None:
+        items = count_items(rows)
+    return Sketch(params, hh, cell_totals(rows, params), counters, items if keep_items else None)
 
 
 def empty_sketch(spark, params: SketchParams) -> Sketch:
@@ -137,14 +143,19 @@ def empty_sketch(spark, params: SketchParams) -> Sketch:
 def merge_sketches(*sketches: Sketch) -> Sketch:
     """One sketch of all inputs, in any order: counts are added per item, then cut again.
 
-    What an input had already cut is gone, so keep ``k_store`` above ``k`` for sketches that
-    will be merged. Counters are kept when all inputs have them.
+    Inputs that all carry their items are merged without loss: the items are added up and the
+    result is the sketch of everything. Otherwise what an input had already cut is gone, and
+    a ``k_store`` above ``k`` keeps more. Counters are kept when all inputs have them.
     """
     if not sketches:
         raise ValueError("nothing to merge")
     params = sketches[0].params
     if any(s.params != params for s in sketches):
         raise ValueError("only sketches with the same parameters can be merged")
+    if all(s.items is not None for s in sketches):
+        every = count_items(reduce(DataFrame.unionByName, [s.items for s in sketches]))
+        mode = "count_sketch" if all(s.counters is not None for s in sketches) else "exact_counts"
+        return build_sketch(every, params, mode, items=every, keep_items=True)
     hh = reduce(DataFrame.unionByName, [s.hh.select(*HH_COLUMNS) for s in sketches])
     summed = hh.groupBy(*CELL_LAYER, "key", "value").agg(F.sum("cnt").alias("cnt"))
     cells = reduce(DataFrame.unionByName, [s.cells for s in sketches])

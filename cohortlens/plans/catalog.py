@@ -48,7 +48,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 # md5 lanes, so that any SQL engine can check the sketch.
 PARAMS = SketchParams(d=3, w=64, levels=15, k=30, rows=3, cols=400, algo="md5")
 WIDE_PARAMS = SketchParams(d=3, w=1_000_000, levels=25, k=30, algo="md5")
-KEPT_FOR_MERGE = 2000
 SMALL_K = 5
 POINT_KEY = "7"
 TOP_KEYS = 10
@@ -155,7 +154,7 @@ def exact_gsum_custom_g(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("exact_gsum_global")
 def exact_gsum_global(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _tidy(exact_gsum(_items(spark, sf_dir), by_key=False))
+    return _tidy(exact_gsum(_items(spark, sf_dir), by_key=False, counted=True))
 
 
 @_query("exact_gsum_cube")
@@ -182,7 +181,7 @@ def repeat_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("repeat_counted")
 def repeat_counted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same answer from one read: frequencies times the number of repeats."""
-    return _tidy(exact_gsum(repeat_items(_items(spark, sf_dir), REPEATS)))
+    return _tidy(exact_gsum(repeat_items(_items(spark, sf_dir), REPEATS), counted=True))
 
 
 @_query("split_quoted")
@@ -209,7 +208,8 @@ def split_quoted_props(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("restrict_top_keys")
 def restrict_top_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     suppliers = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("key"))
-    kept = restrict_to_keys(_items(spark, sf_dir), suppliers, TOP_KEYS, ["key"])
+    # before anything is counted
+    kept = restrict_to_keys(_rows(spark, sf_dir), suppliers, TOP_KEYS, ["key"])
     return _tidy(exact_gsum(kept))
 
 
@@ -342,9 +342,8 @@ def merged_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("merge_sketches_kept")
 def merged_without_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Inputs that keep more than they read: the answers are those of one sketch of everything."""
-    params = replace(PARAMS, k_store=KEPT_FOR_MERGE)
-    merged = merge_sketches(*[build_sketch(h, params) for h in _halves(spark, sf_dir)])
+    """Inputs that carry their counted items: the answers are those of one sketch of everything."""
+    merged = merge_sketches(*[build_sketch(h, PARAMS, keep_items=True) for h in _halves(spark, sf_dir)])
     return _tidy(key_estimates(merged))
 
 
@@ -475,7 +474,7 @@ def array_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _exact_and_estimated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    exact = exact_gsum(_items(spark, sf_dir))
+    exact = exact_gsum(_items(spark, sf_dir), counted=True)
     return exact, key_estimates(_sketch(spark, sf_dir))
 
 
@@ -493,7 +492,7 @@ def errors_of_grid_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[F.max(F.when(F.col("d") == d, F.col("l1"))).alias(f"_{d}") for d in range(PARAMS.d)]
     )
     answers = F.array(*[F.coalesce(f"_{d}", F.lit(0)) for d in range(PARAMS.d)])
-    exact = exact_gsum(_items(spark, sf_dir), ["l1"])
+    exact = exact_gsum(_items(spark, sf_dir), ["l1"], counted=True)
     errors = exact.join(per_row, "key", "left").select(
         "key", relative_errors_pct(F.col("l1"), answers).alias("errors")
     )
@@ -510,9 +509,11 @@ def report_of_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("sketch_bounded")
 def sketch_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Without counting distinct items first. At small scale no state overflows, and the answers
-    are those of the exact counts; at large scale they are approximate."""
-    sketch = build_sketch(_rows(spark, sf_dir), PARAMS, "bounded", items_tracked=4096)
+    """Frequent-items states as large as the fullest cell layer needs, which is measured first:
+    no state overflows, and the answers are those of the exact counts at any scale."""
+    per_cell_layer = place_items(_items(spark, sf_dir), PARAMS).groupBy("d", "w", "layer").count()
+    most = per_cell_layer.agg(F.max("count")).first()[0] or 0
+    sketch = build_sketch(_rows(spark, sf_dir), PARAMS, "bounded", items_tracked=max(most, PARAMS.k_kept))
     return _tidy(query_keys(sketch, _supplier_keys(spark, sf_dir)))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import replace
 
 from pyspark.errors import AnalysisException
@@ -17,52 +18,73 @@ W_BLOCKS = 64
 ROWS_PER_FILE = 1_000_000
 
 
+def _saved(spark: SparkSession, path: str) -> tuple[int, str | None]:
+    """Number and folder of the latest complete save, (0, None) if there is none."""
+    try:
+        pointers = spark.read.schema("number bigint, version string").parquet(f"{path}/current")
+        last = pointers.orderBy(F.col("number").desc(), "version").first()
+    except AnalysisException:
+        last = None
+    return (last["number"], f"{path}/versions/{last['version']}") if last else (0, None)
+
+
 def save_sketch(sketch: Sketch, path: str, mode: str = "overwrite") -> None:
-    """Save as Parquet tables under ``path``: ``hh``, ``cells``, ``counters`` if there are any,
-    and last of all ``params``, which marks a complete sketch.
+    """Save under ``path``, by default in place of what was saved there.
 
-    ``hh`` is split by grid row and sorted by cell, so a query for one key reads little. The
-    sketch must not be one that was loaded from the same path.
+    The tables (``hh``, ``cells``, ``counters`` if there are any, ``params``) go to a new folder;
+    then one row is added to the table of versions, and from there on the sketch is the one
+    that is loaded. A save that stops anywhere before leaves the old sketch as it was, and
+    whoever reads an older version goes on reading it: no file is ever replaced.
+
+    ``hh`` is split by grid row and sorted by cell, so a query for one key reads little.
     """
     spark = sketch.hh.sparkSession
+    number, old = _saved(spark, path)
+    if old is not None and mode in ("error", "errorifexists"):
+        raise FileExistsError(f"{path} has a sketch")
+    if old is not None and mode == "ignore":
+        return
+    version = uuid.uuid4().hex
+    folder = f"{path}/versions/{version}"
     block = F.floor(F.col("w") / F.lit(-(-sketch.params.w // W_BLOCKS)))
     sorted_hh = sketch.hh.repartition("d", block).sortWithinPartitions("d", "w", "layer")
     (
-        sorted_hh.write.mode(mode)
-        .option("maxRecordsPerFile", ROWS_PER_FILE)
+        sorted_hh.write.option("maxRecordsPerFile", ROWS_PER_FILE)
         .partitionBy("d")
-        .parquet(f"{path}/hh")
+        .parquet(f"{folder}/hh")
     )
-    sketch.cells.write.mode(mode).parquet(f"{path}/cells")
+    sketch.cells.write.parquet(f"{folder}/cells")
     if sketch.counters is not None:
-        sketch.counters.write.mode(mode).parquet(f"{path}/counters")
+        sketch.counters.write.parquet(f"{folder}/counters")
     params = spark.createDataFrame([(*sketch.params.to_row(), sketch.counters is not None)],
                                    PARAMS_SCHEMA + ", has_counters boolean")
-    params.coalesce(1).write.mode(mode).parquet(f"{path}/params")
+    params.coalesce(1).write.parquet(f"{folder}/params")
+    pointer = spark.createDataFrame([(number + 1, version)], "number bigint, version string")
+    pointer.coalesce(1).write.mode("append").parquet(f"{path}/current")
 
 
 def load_sketch(spark: SparkSession, path: str) -> Sketch:
     """A saved sketch. Its tables stay on disk until a query reads the part it needs."""
-    row = spark.read.parquet(f"{path}/params").first()
+    _, folder = _saved(spark, path)
+    if folder is None:
+        raise FileNotFoundError(f"no sketch at {path}")
+    row = spark.read.parquet(f"{folder}/params").first()
     params = SketchParams.from_row(row)
     hh = spark.read.schema(
         "w int, layer int, key string, value string, cnt bigint, d int"
-    ).parquet(f"{path}/hh")
-    counters = spark.read.parquet(f"{path}/counters") if row["has_counters"] else None
+    ).parquet(f"{folder}/hh")
+    counters = spark.read.parquet(f"{folder}/counters") if row["has_counters"] else None
     return Sketch(
         params,
         hh.select("d", "w", "layer", "key", "value", "cnt"),
-        spark.read.parquet(f"{path}/cells"),
+        spark.read.parquet(f"{folder}/cells"),
         counters,
     )
 
 
 def has_sketch(spark: SparkSession, path: str) -> bool:
     """Whether ``path`` holds a complete sketch."""
-    try:
-        return bool(spark.read.schema(PARAMS_SCHEMA).parquet(f"{path}/params").head(1))
-    except AnalysisException:
-        return False
+    return _saved(spark, path)[1] is not None
 
 
 def without_counters(sketch: Sketch) -> Sketch:

@@ -13,6 +13,7 @@ from ..operators.counters import count_sketch_build
 from ..operators.items import count_items
 from ..operators.sketch import Sketch, build_sketch, merge_sketches
 from ..params import SketchParams
+from ..session import write_and_read
 from ..sources.store import has_sketch, load_sketch, save_sketch
 
 SLOTS = 2
@@ -59,19 +60,17 @@ def sketch_updater(
         found, expected = _batch_of(spark, before), batch_id - 1 if batch_id > 0 else None
         if found != expected:
             raise ValueError(f"{before} ends with batch {found}, expected {expected}")
-        batch.persist()
-        try:
-            part = build_sketch(batch, params, mode)
-            if with_counters and part.counters is None:
-                part = replace(part, counters=count_sketch_build(count_items(batch), params))
-            if expected is not None:
-                part = merge_sketches(load_sketch(spark, before), part)
-            slot = _slot(path, batch_id)
-            save_sketch(part, slot)
-            # last of all: until this is written, the other slot is the latest
-            mark = spark.createDataFrame([(batch_id,)], "batch_id bigint")
-            mark.coalesce(1).write.mode("overwrite").parquet(f"{slot}/batch")
-        finally:
-            batch.unpersist()
+        # Counted once and written, so that no raw rows are held and a lost executor costs little.
+        items = write_and_read(count_items(batch), "batch-items")
+        part = build_sketch(batch if mode == "bounded" else items, params, mode, items=items)
+        if with_counters and part.counters is None:
+            part = replace(part, counters=count_sketch_build(items, params))
+        if expected is not None:
+            part = merge_sketches(load_sketch(spark, before), part)
+        slot = _slot(path, batch_id)
+        save_sketch(part, slot)
+        # last of all: until this is written, the other slot is the latest
+        mark = spark.createDataFrame([(batch_id,)], "batch_id bigint")
+        mark.coalesce(1).write.mode("overwrite").parquet(f"{slot}/batch")
 
     return update

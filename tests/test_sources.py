@@ -1,3 +1,5 @@
+from dataclasses import replace
+
 import subprocess
 import sys
 
@@ -164,3 +166,30 @@ def test_min_partitions_is_a_floor(spark, files):
     many = read_rows(spark, [str(files / "rows.csv")] * 4, min_partitions=2)
     assert many.rdd.getNumPartitions() >= 2
     assert many.agg(F.count(F.lit(1))).first()[0] == 1600
+
+
+@pytest.mark.parametrize("stop_at", ["cells", "counters", "current"])
+def test_a_save_that_stops_leaves_the_old_sketch(spark, tmp_path, monkeypatch, stop_at):
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    path, rows = str(tmp_path / "sketch"), spark.range(300).selectExpr("'k' key", "cast(id as string) value")
+    save_sketch(build_sketch(rows, PARAMS, "count_sketch"), path)
+    reader = load_sketch(spark, path)
+    before = query_key(reader, "k").first()
+    write = DataFrameWriter.parquet
+
+    def stopping(self, where, *args, **kwargs):
+        if where.endswith(f"/{stop_at}"):
+            raise RuntimeError("stopped")
+        return write(self, where, *args, **kwargs)
+
+    other = build_sketch(rows.limit(20), replace(PARAMS, w=16), "count_sketch")
+    monkeypatch.setattr(DataFrameWriter, "parquet", stopping)
+    with pytest.raises(RuntimeError):
+        save_sketch(other, path)
+    monkeypatch.undo()
+    assert load_sketch(spark, path).params == PARAMS
+    assert query_key(load_sketch(spark, path), "k").first() == before
+    save_sketch(other, path)
+    assert query_key(load_sketch(spark, path), "k").first() != before
+    assert query_key(reader, "k").first() == before
