@@ -20,7 +20,7 @@ def _parser() -> argparse.ArgumentParser:
         if name in ("ingest", "run"):
             p.add_argument("--input", required=True, nargs="+")
             p.add_argument("--format", default="lines")
-            p.add_argument("--key", default="1", help="key columns by position, such as 1,3")
+            p.add_argument("--key", default="1", help="positions of the key columns, comma-separated")
             p.add_argument("--value", default="0,3,4,5", help="value columns by position")
             p.add_argument("--mode", default="exact_counts")
             p.add_argument("--repeat", type=int, default=1)
@@ -36,6 +36,8 @@ def _parser() -> argparse.ArgumentParser:
             p.add_argument("--min-group-size", type=float)
             p.add_argument("--query-partitions", type=int)
             p.add_argument("--single-file", action="store_true")
+            p.add_argument("--quoted", action="store_true", help="quotes protect commas in keys")
+            p.add_argument("--spaced", action="store_true", help="a blank after every comma")
     return parser
 
 
@@ -69,6 +71,8 @@ def main(argv: list[str] | None = None) -> None:
             min_group_size=args.min_group_size,
             min_partitions=args.query_partitions,
             single_file=args.single_file,
+            quoted=args.quoted,
+            spaced=args.spaced,
         )
 
 

@@ -34,7 +34,9 @@ def key_errors(
 def accuracy_report(
     exact: DataFrame, estimates: DataFrame, metrics: Sequence[str] = tuple(METRICS)
 ) -> DataFrame:
-    """Per metric: number of keys, mean, maximum, median and 95th percentile of the error."""
+    """Per metric: number of keys, mean, maximum, median and 95th percentile of the error. The two
+    percentiles are those of a summary of fixed size: up to ``PERCENTILE_ACCURACY`` keys exact,
+    beyond that off by at most one rank in so many."""
     errors = key_errors(exact, estimates, metrics)
     long = errors.select(
         F.inline(
@@ -50,6 +52,6 @@ def accuracy_report(
         F.count(F.lit(1)).alias("n_keys"),
         F.avg("err").alias("mean_err"),
         F.max("err").alias("max_err"),
-        F.percentile_approx("err", 0.5, PERCENTILE_ACCURACY).alias("p50_err"),
-        F.percentile_approx("err", 0.95, PERCENTILE_ACCURACY).alias("p95_err"),
+        F.percentile_approx("err", 0.5, PERCENTILE_ACCURACY).alias("approx_p50_err"),
+        F.percentile_approx("err", 0.95, PERCENTILE_ACCURACY).alias("approx_p95_err"),
     )

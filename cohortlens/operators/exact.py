@@ -61,8 +61,9 @@ def exact_gsum_cube(
     ``grouping_id`` has bit i set (last dimension = bit 0) when a dimension is rolled up.
     Frequencies are counted at the finest level first; only these counts are expanded.
     """
-    value = join_parts([F.col(c) for c in value_cols]).alias("value")
-    finest = df.select(*dims, value).groupBy(*dims, "value").agg(F.count(F.lit(1)).alias("f"))
+    parts = [f"_v{i}" for i in range(len(value_cols))]
+    values = native_columns(df, value_cols, "_v")
+    finest = df.select(*dims, *values).groupBy(*dims, *parts).agg(F.count(F.lit(1)).alias("f"))
     # A value counted under a coarser grouping must keep its identity: it joins the cube as a
     # dimension, and only the groupings that do not roll it up are built.
     n = len(dims)
@@ -70,12 +71,11 @@ def exact_gsum_cube(
         [d for i, d in enumerate(dims) if not (gid >> (n - 1 - i)) & 1] for gid in range(1 << n)
     ]
     freq = finest.groupingSets(
-        [[F.col(c) for c in s] + [F.col("value")] for s in sets],
-        *[F.col(d) for d in dims],
-        F.col("value"),
+        [[F.col(c) for c in [*s, *parts]] for s in sets],
+        *[F.col(c) for c in [*dims, *parts]],
     ).agg(F.grouping_id().alias("_gid"), F.sum("f").alias("f"))
-    # value is the last grouping column and never rolled up: its bit is the lowest and zero
-    freq = freq.withColumn("grouping_id", F.shiftright("_gid", 1).cast("bigint"))
+    # the value columns come last and are never rolled up: their bits are the lowest and zero
+    freq = freq.withColumn("grouping_id", F.shiftright("_gid", len(parts)).cast("bigint"))
     return freq.groupBy(*dims, "grouping_id").agg(
         *[m.total(F.col("f")).alias(name) for name, m in resolve_metrics(metrics).items()]
     )

@@ -18,7 +18,7 @@ from .bounded import bounded_states, tracked_items
 from .cells import cell_totals, place_items, with_tie_break
 from .counters import count_sketch_build, count_sketch_estimate, merge_counters
 from .items import count_items
-from .topk import buckets_for, kth_best_floor, topk_items
+from .topk import kth_best_floor, topk_items
 
 CELL_LAYER = ["d", "w", "layer"]
 HH_COLUMNS = ["d", "w", "layer", "key", "value", "cnt"]
@@ -32,6 +32,7 @@ class Sketch:
     cells: DataFrame
     counters: DataFrame | None = None
     items: DataFrame | None = None
+    mode: str = "exact_counts"
 
     def materialize(self) -> Sketch:
         """The same sketch read from tables in the session's shared folder, for many queries."""
@@ -48,8 +49,6 @@ class Sketch:
 TIE_BREAK = ["_tie", "key", "value"]
 _COUNT_BITS = 31
 
-# Finding floors deals every cell layer into buckets; a task may hold a number for each of them.
-MAX_BUCKETS = 10_000_000
 # Floors are broadcast, 16 bytes for each of at most d*w*levels cell layers, up to this many.
 MAX_BROADCAST_CELL_LAYERS = 1_000_000
 
@@ -66,10 +65,9 @@ def _top_of_many(ranked: DataFrame, params: SketchParams, k: int) -> DataFrame:
     """``top_of_cells`` for a table far larger than the sketch.
 
     A first pass finds a floor per cell layer, a second one keeps what reaches it; only these
-    few rows are sorted and shuffled. Both passes read the same shuffled items.
+    few rows are sorted and shuffled. Both passes read the same shuffled items. There are never
+    more buckets in use than items, and their aggregation spills, so any k takes this path.
     """
-    if params.d * params.w * params.levels * buckets_for(k) > MAX_BUCKETS:
-        return top_of_cells(ranked, params, k).select(*HH_COLUMNS)
     cell = (F.col("d") * F.lit(params.w) + F.col("w")).cast("bigint") * F.lit(
         params.levels
     ) + F.col("layer")
@@ -89,11 +87,17 @@ def _top_of_many(ranked: DataFrame, params: SketchParams, k: int) -> DataFrame:
     return topk_items(passing, ["_cell"], k, tie_break=TIE_BREAK).select(*HH_COLUMNS)
 
 
+def fullest_cell_layer(items: DataFrame, params: SketchParams) -> int:
+    """Number of distinct items in the fullest cell layer."""
+    sizes = place_items(items, params).groupBy(*CELL_LAYER).agg(F.count(F.lit(1)).alias("n"))
+    return sizes.agg(F.max("n")).first()[0] or 0
+
+
 def build_sketch(
     rows: DataFrame,
     params: SketchParams,
     mode: str = "exact_counts",
-    items_tracked: int = 4096,
+    items_tracked: int | None = None,
     items: DataFrame | None = None,
     keep_items: bool = False,
 ) -> Sketch:
@@ -101,10 +105,12 @@ def build_sketch(
     ``keep_items`` keeps them with the sketch, so that it can be merged without loss.
 
     exact_counts  count every distinct item, then keep the top of each cell layer
-    count_sketch  the same, but rank by and store Count-Sketch estimates
-    bounded       no counting of distinct items: one frequent-items state of fixed size
-                  (``items_tracked``) per cell layer; for inputs with too many distinct items.
-                  Equal to exact_counts as long as no cell layer has more items than that
+    count_sketch  the same, but rank by and store Count-Sketch estimates. Items and counters
+                  are written to the shared folder first, each counted once
+    bounded       one frequent-items state of fixed size (``items_tracked``) per cell layer.
+                  Equal to exact_counts as long as no cell layer has more items than that;
+                  without ``items_tracked`` the fullest cell layer is measured first, so that
+                  this always holds
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
@@ -112,6 +118,9 @@ def build_sketch(
         raise ValueError("a layered build needs exact counts")
     counters = None
     if mode == "bounded":
+        if items_tracked is None:
+            counted = count_items(rows) if items is None else items
+            items_tracked = max(fullest_cell_layer(counted, params), params.k_kept)
         states = bounded_states(rows, params, items_tracked)
         hh = top_of_cells(tracked_items(states, items_tracked), params, params.k_kept)
     else:
@@ -122,12 +131,14 @@ def build_sketch(
                 ranked = ranked.withColumn("layer", F.explode(F.sequence(F.lit(0), "layer")))
             hh = _top_of_many(ranked, params, params.k_kept)
         else:
-            counters = count_sketch_build(items, params)
+            items = write_and_read(items, "items")
+            counters = write_and_read(count_sketch_build(items, params), "counters")
             ranked = count_sketch_estimate(items, counters, params)
             hh = top_of_cells(ranked.select(*HH_COLUMNS), params, params.k_kept)
     if keep_items and items is None:
         items = count_items(rows)
-    return Sketch(params, hh, cell_totals(rows, params), counters, items if keep_items else None)
+    kept = items if keep_items else None
+    return Sketch(params, hh, cell_totals(rows, params), counters, kept, mode)
 
 
 def empty_sketch(spark, params: SketchParams) -> Sketch:
@@ -153,9 +164,13 @@ def merge_sketches(*sketches: Sketch) -> Sketch:
     if any(s.params != params for s in sketches):
         raise ValueError("only sketches with the same parameters can be merged")
     if all(s.items is not None for s in sketches):
-        every = count_items(reduce(DataFrame.unionByName, [s.items for s in sketches]))
-        mode = "count_sketch" if all(s.counters is not None for s in sketches) else "exact_counts"
-        return build_sketch(every, params, mode, items=every, keep_items=True)
+        union = reduce(DataFrame.unionByName, [s.items for s in sketches])
+        every = write_and_read(count_items(union), "items")
+        mode = "count_sketch" if all(s.mode == "count_sketch" for s in sketches) else "exact_counts"
+        merged = build_sketch(every, params, mode, items=every, keep_items=True)
+        if mode == "exact_counts" and all(s.counters is not None for s in sketches):
+            merged = replace(merged, counters=merge_counters(*[s.counters for s in sketches]))
+        return merged
     hh = reduce(DataFrame.unionByName, [s.hh.select(*HH_COLUMNS) for s in sketches])
     summed = hh.groupBy(*CELL_LAYER, "key", "value").agg(F.sum("cnt").alias("cnt"))
     cells = reduce(DataFrame.unionByName, [s.cells for s in sketches])
@@ -167,6 +182,7 @@ def merge_sketches(*sketches: Sketch) -> Sketch:
         top_of_cells(summed, params, params.k_kept),
         cells.groupBy("d", "w").agg(F.sum("total_count").alias("total_count")),
         counters,
+        mode=sketches[0].mode,
     )
 
 

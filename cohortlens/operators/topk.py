@@ -20,8 +20,8 @@ def _cut(df: DataFrame, groups: Sequence[str], order: list[Column], k: int) -> D
     return ranked.where(F.col("_rn") <= k).drop("_rn")
 
 
-def _salt(cols: Sequence[str]) -> Column:
-    return F.pmod(F.xxhash64(F.lit("salt"), *cols), F.lit(SALTS)).cast("int")
+def _salt(cols: Sequence[str], salts: int = SALTS) -> Column:
+    return F.pmod(F.xxhash64(F.lit("salt"), *cols), F.lit(salts)).cast("int")
 
 
 def topk_items(
@@ -39,14 +39,15 @@ def topk_items(
 
     Spark cuts a ranking to k before the shuffle, so a task receives at most k rows per group
     and map task. It does so only up to a configured k; beyond, the cut is made in two steps,
-    the first on salted groups.
+    the first on groups salted to as many parts as the session's shuffles have.
     """
     if ties:
         return _topk_with_ties(df, list(groups), k, count, list(tie_break))
     order = _order(count, tie_break)
     threshold = int(df.sparkSession.conf.get(_LIMIT_CONF, "1000"))
     if k > threshold:
-        salted = df.withColumn("_salt", _salt([count, *tie_break]))
+        salts = max(SALTS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        salted = df.withColumn("_salt", _salt([count, *tie_break], salts))
         df = _cut(salted, [*groups, "_salt"], order, k).drop("_salt")
     return _cut(df, groups, order, k)
 

@@ -36,7 +36,7 @@ from ..operators.sketch import (
 )
 from ..operators.topk import topk_items
 from ..params import SketchParams
-from ..session import new_path
+from ..session import new_path, write_and_read
 from ..sources.rows import query_keys_of, read_rows, repeat_rows
 from ..sources.store import format_estimates, load_sketch, save_sketch
 from ..streaming.incremental import latest_sketch, sketch_updater
@@ -53,6 +53,8 @@ POINT_KEY = "7"
 TOP_KEYS = 10
 REPEATS = 3
 MIN_GROUP_SIZE = 600
+MIN_PAIR_SIZE = 3
+DELAY_DAYS = 1
 ENTROPY_DIGITS = 4
 
 QUERIES: dict[str, Query] = {}
@@ -279,8 +281,8 @@ def count_sketch_low_sign(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("count_sketch_estimate")
 def count_sketch_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = _items(spark, sf_dir)
-    counters = count_sketch_build(items, PARAMS)
+    items = write_and_read(_items(spark, sf_dir), "items")
+    counters = write_and_read(count_sketch_build(items, PARAMS), "counters")
     return count_sketch_estimate(items, counters, PARAMS).drop("f")
 
 
@@ -401,6 +403,25 @@ def point_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tidy(query_key(_sketch(spark, sf_dir), POINT_KEY))
 
 
+@_query("saved_point_query")
+def saved_point_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One key of a saved sketch; the other cells are not read."""
+    path = new_path(spark, "sketch")
+    save_sketch(_sketch(spark, sf_dir), path)
+    return _tidy(query_key(load_sketch(spark, path), POINT_KEY))
+
+
+@_query("sketch_xx_whole")
+def sketch_that_holds_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The default hash, and room for the fullest cell: whatever the hash, every item stays in
+    layer 0 and the answers are the exact ones."""
+    params = replace(PARAMS, algo="xxhash64")
+    items = write_and_read(_items(spark, sf_dir), "items")
+    sizes = assign_cells(items, params).groupBy("d", "w").agg(F.count(F.lit(1)).alias("n"))
+    fullest = sizes.agg(F.max("n")).first()[0] or 1
+    return _tidy(key_estimates(build_sketch(items, replace(params, k=fullest), items=items)))
+
+
 @_query("missing_keys")
 def missing_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every supplier once under its own key and once under one that does not exist."""
@@ -456,6 +477,28 @@ def files_to_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.text(f"{out}/answers").select(F.col("value").alias("line"))
 
 
+@_query("file_job_batch")
+def batch_of_keys_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of two fields, one of them quoted, from a file with group sizes; one file of spaced
+    lines out."""
+    events = _table(spark, sf_dir, "events")
+    out = new_path(spark, "file-job")
+    line = F.format_string(
+        '%s,%s,%s,"%s,%s",%s', "event_id", "user_id", "event_id", "event_type", "event_type", "props"
+    )
+    events.select(line).write.text(f"{out}/rows")
+    groups = events.groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
+    key_line = F.format_string('%s,"%s,%s",0,0,%s', "user_id", "event_type", "event_type", "n")
+    groups.select(key_line).write.text(f"{out}/keys")
+    jobs.ingest_and_answer(
+        spark, f"{out}/rows", f"{out}/sketch", f"{out}/keys", f"{out}/answers", PARAMS,
+        {"key_cols": [1, 3], "value_cols": [4]},
+        {"key_fields": 2, "quoted": True, "min_group_size": MIN_PAIR_SIZE,
+         "combine": "median", "spaced": True, "single_file": True},
+    )
+    return spark.read.text(f"{out}/answers").select(F.col("value").alias("line"))
+
+
 # --- output and accuracy -------------------------------------------------------------------
 
 
@@ -509,11 +552,9 @@ def report_of_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("sketch_bounded")
 def sketch_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frequent-items states as large as the fullest cell layer needs, which is measured first:
-    no state overflows, and the answers are those of the exact counts at any scale."""
-    per_cell_layer = place_items(_items(spark, sf_dir), PARAMS).groupBy("d", "w", "layer").count()
-    most = per_cell_layer.agg(F.max("count")).first()[0] or 0
-    sketch = build_sketch(_rows(spark, sf_dir), PARAMS, "bounded", items_tracked=max(most, PARAMS.k_kept))
+    """Frequent-items states as large as the fullest cell layer needs: no state overflows, and
+    the answers are those of the exact counts at any scale."""
+    sketch = _sketch(spark, sf_dir, mode="bounded")
     return _tidy(query_keys(sketch, _supplier_keys(spark, sf_dir)))
 
 
@@ -528,7 +569,7 @@ def _utc(ts: str) -> Column:
 
 @_query("stream_window_gsum")
 def stream_window_gsum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Days of the event stream that the watermark has closed."""
+    """Days of the event stream that the watermark has closed; rows may be a day late."""
     schema = _table(spark, sf_dir, "events").schema
     events = (
         spark.readStream.schema(schema)
@@ -541,7 +582,7 @@ def stream_window_gsum(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     out = new_path(spark, "windows")
     query = (
-        window_gsum(rows, "ts", "1 day", "0 seconds")
+        window_gsum(rows, "ts", "1 day", f"{DELAY_DAYS} days")
         .writeStream.outputMode("append")
         .format("parquet")
         .option("path", f"{out}/table")
@@ -559,6 +600,17 @@ def stream_window_gsum(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("stream_sketch_merge")
 def stream_sketch_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event stream in two micro-batches, merged into one stored sketch: its counters."""
+    return _streamed_sketch(spark, sf_dir).counters
+
+
+@_query("stream_sketch_answers")
+def stream_sketch_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same stream, with the counted items kept: the answers are those of one sketch of
+    everything."""
+    return _tidy(key_estimates(_streamed_sketch(spark, sf_dir, keep_items=True)))
+
+
+def _streamed_sketch(spark: SparkSession, sf_dir: str, **options: bool) -> Sketch:
     out = new_path(spark, "stream-sketch")
     events = _table(spark, sf_dir, "events").select("user_id", "event_type", "props")
     events.repartition(2).write.parquet(f"{out}/input")
@@ -569,10 +621,10 @@ def stream_sketch_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     rows = to_items(stream, ["user_id"], ["event_type", "props"])
     query = (
-        rows.writeStream.foreachBatch(sketch_updater(f"{out}/sketch", PARAMS))
+        rows.writeStream.foreachBatch(sketch_updater(f"{out}/sketch", PARAMS, **options))
         .option("checkpointLocation", f"{out}/progress")
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
-    return latest_sketch(spark, f"{out}/sketch").counters
+    return latest_sketch(spark, f"{out}/sketch")

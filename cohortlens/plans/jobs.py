@@ -10,6 +10,7 @@ from ..operators.estimate import query_keys
 from ..operators.items import ColumnSpec, count_items_of, to_items
 from ..operators.sketch import Sketch, build_sketch
 from ..params import SketchParams
+from ..session import write_and_read
 from ..sources.rows import read_query_keys, read_rows
 from ..sources.store import load_sketch, save_sketch, write_estimates
 
@@ -30,10 +31,12 @@ def ingest(
     min_partitions: int | None = None,
     repeat: int = 1,
 ) -> Sketch:
-    """Build the sketch of the files, save it, and return the saved one."""
+    """Build the sketch of the files, save it, and return the saved one. The input is read once:
+    its counted items are written, and every table of the sketch comes from them. (``bounded``
+    counts raw rows and reads them again.)"""
     table = read_rows(spark, paths, fmt, min_partitions=min_partitions, repeat=repeat)
-    rows = to_items(table, key_cols, value_cols)
-    items = None if mode == "bounded" else count_items_of(table, key_cols, value_cols)
+    items = write_and_read(count_items_of(table, key_cols, value_cols), "items")
+    rows = to_items(table, key_cols, value_cols) if mode == "bounded" else items
     save_sketch(build_sketch(rows, params, mode, items=items), sketch_path)
     return load_sketch(spark, sketch_path)
 

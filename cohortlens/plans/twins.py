@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from .catalog import (
+    DELAY_DAYS,
     ENTROPY_DIGITS,
     MIN_GROUP_SIZE,
+    MIN_PAIR_SIZE,
     PARAMS,
     POINT_KEY,
     REPEATS,
@@ -35,6 +37,8 @@ items AS (
     replace(replace(props, '\\', '\\\\'), '|', '\\|') || '|' || event_type AS value, count(*) AS f
   FROM events GROUP BY 1, 2)"""
 
+PAIR_KEY = """CAST(user_id AS VARCHAR) || '|"' || event_type || ',' || event_type || '"'"""
+
 SUPPLIER_KEYS = "wanted AS (SELECT CAST(s_suppkey AS VARCHAR) AS key FROM supplier)"
 
 
@@ -206,8 +210,8 @@ errors AS (
 def _report() -> str:
     parts = " UNION ALL ".join(
         f"SELECT '{m}' AS metric, count(*) AS n_keys, round(avg(err_{m}), 4) AS mean_err, "
-        f"round(max(err_{m}), 4) AS max_err, round(quantile_disc(err_{m}, 0.5), 4) AS p50_err, "
-        f"round(quantile_disc(err_{m}, 0.95), 4) AS p95_err FROM errors"
+        f"round(max(err_{m}), 4) AS max_err, round(quantile_disc(err_{m}, 0.5), 4) AS approx_p50_err, "
+        f"round(quantile_disc(err_{m}, 0.95), 4) AS approx_p95_err FROM errors"
         for m in METRICS
     )
     return f"{ERRORS} {parts}"
@@ -349,6 +353,8 @@ SQL: dict[str, str] = {
     "cell_gsum_all": _gsum("d, w"),
     "table_gsum": _gsum("d"),
     "point_query": _answers("min", f"wanted AS (SELECT '{POINT_KEY}' AS key)"),
+    "saved_point_query": _answers("min", f"wanted AS (SELECT '{POINT_KEY}' AS key)"),
+    "sketch_xx_whole": _exact_sql(LINEITEM_ITEMS),
     "missing_keys": _answers(
         "median",
         """wanted AS (SELECT CAST(s_suppkey AS VARCHAR) AS key FROM supplier
@@ -376,6 +382,12 @@ SQL: dict[str, str] = {
         ",".join([LINE_ITEMS, HASHED, PLACED, HH, ASSIGNED]),
         tail=RESULT_LINES,
     ),
+    "file_job_batch": _answers(
+        "median",
+        f"wanted AS (SELECT {PAIR_KEY} AS key FROM events GROUP BY 1 HAVING count(*) >= {MIN_PAIR_SIZE})",
+        ",".join([_items("events", PAIR_KEY, "props"), HASHED, PLACED, HH, ASSIGNED]),
+        tail=RESULT_LINES.replace("%s,%.2f,%.2f,%.2f,%.2f", "%s, %.2f, %.2f, %.2f, %.2f"),
+    ),
     "format_array": f"""WITH {LINEITEM_ITEMS}, sums AS (SELECT key, {_sums()} FROM items GROUP BY key)
       SELECT key, printf('[%.2f, %.2f, %.2f, %.2f]', entropy, l2,
         CAST(l1 AS DOUBLE), CAST(card AS DOUBLE)) AS line FROM sums""",
@@ -396,6 +408,9 @@ SQL: dict[str, str] = {
       sums AS (SELECT day, key, {_sums()} FROM items GROUP BY day, key)
       SELECT CAST(epoch(day) AS BIGINT) AS window_start, key,
         round(entropy, {ENTROPY_DIGITS}) AS entropy, l2, l1, card
-      FROM sums WHERE day + INTERVAL 1 DAY <= (SELECT max(ts) FROM events)""",
+      FROM sums WHERE day + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL {DELAY_DAYS} DAY""",
     "stream_sketch_merge": _counters(EVENT_ITEMS),
+    "stream_sketch_answers": _answers(
+        "median", HELD_KEYS, ",".join([EVENT_ITEMS, HASHED, PLACED, HH, ASSIGNED])
+    ),
 }

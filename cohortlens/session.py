@@ -7,8 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Settings that suit these plans. They are advice for whoever starts the session; nothing here
-# changes a running one.
+# Settings that suit these plans. They are advice for whoever starts the session. Of a running
+# one only ``spark.checkpoint.dir`` is set, by ``work_dir`` on a local master without it.
 RECOMMENDED = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -22,15 +22,13 @@ RECOMMENDED = {
 }
 
 SHUFFLE_PARTITION_BYTES = 256 << 20
-MAX_SHUFFLE_PARTITIONS = 200_000
 
 
 def settings_for(input_bytes: int, cores: int) -> dict[str, str]:
     """``RECOMMENDED`` with partitions sized for an input: counting items shuffles at most about
     the columns read. Start high; adaptive execution joins what turns out small."""
     partitions = -(-input_bytes // SHUFFLE_PARTITION_BYTES)
-    partitions = min(max(partitions, cores), MAX_SHUFFLE_PARTITIONS)
-    return {**RECOMMENDED, "spark.sql.shuffle.partitions": str(partitions)}
+    return {**RECOMMENDED, "spark.sql.shuffle.partitions": str(max(partitions, cores))}
 
 
 _CHECKPOINT_DIR = "spark.checkpoint.dir"

@@ -13,11 +13,17 @@ from ..functions.text import format_line
 from ..operators.sketch import Sketch
 from ..params import PARAMS_SCHEMA, SketchParams
 
-# Neighbouring cells are stored together: so many stretches of cells per grid row.
-W_BLOCKS = 64
+# Neighbouring cells are stored together: at least so many stretches of cells per grid row, and
+# more where a stretch could hold more rows than a file should.
+MIN_W_BLOCKS = 64
 ROWS_PER_FILE = 1_000_000
 
 
+def _cells_per_block(params: SketchParams) -> int:
+    fitting = max(1, ROWS_PER_FILE // (params.levels * params.k_kept))
+    return min(-(-params.w // MIN_W_BLOCKS), fitting)
+
+
 def _saved(spark: SparkSession, path: str) -> tuple[int, str | None]:
     """Number and folder of the latest complete save, (0, None) if there is none."""
     try:
@@ -31,7 +37,7 @@ def _saved(spark: SparkSession, path: str) -> tuple[int, str | None]:
 def save_sketch(sketch: Sketch, path: str, mode: str = "overwrite") -> None:
     """Save under ``path``, by default in place of what was saved there.
 
-    The tables (``hh``, ``cells``, ``counters`` if there are any, ``params``) go to a new folder;
+    The tables (``hh``, ``cells``, ``counters`` and ``items`` if there are any, ``params``) go to a new folder;
     then one row is added to the table of versions, and from there on the sketch is the one
     that is loaded. A save that stops anywhere before leaves the old sketch as it was, and
     whoever reads an older version goes on reading it: no file is ever replaced.
@@ -46,7 +52,7 @@ def save_sketch(sketch: Sketch, path: str, mode: str = "overwrite") -> None:
         return
     version = uuid.uuid4().hex
     folder = f"{path}/versions/{version}"
-    block = F.floor(F.col("w") / F.lit(-(-sketch.params.w // W_BLOCKS)))
+    block = F.floor(F.col("w") / F.lit(_cells_per_block(sketch.params)))
     sorted_hh = sketch.hh.repartition("d", block).sortWithinPartitions("d", "w", "layer")
     (
         sorted_hh.write.option("maxRecordsPerFile", ROWS_PER_FILE)
@@ -56,8 +62,13 @@ def save_sketch(sketch: Sketch, path: str, mode: str = "overwrite") -> None:
     sketch.cells.write.parquet(f"{folder}/cells")
     if sketch.counters is not None:
         sketch.counters.write.parquet(f"{folder}/counters")
-    params = spark.createDataFrame([(*sketch.params.to_row(), sketch.counters is not None)],
-                                   PARAMS_SCHEMA + ", has_counters boolean")
+    if sketch.items is not None:
+        sketch.items.write.parquet(f"{folder}/items")
+    has = (sketch.counters is not None, sketch.items is not None)
+    params = spark.createDataFrame(
+        [(*sketch.params.to_row(), *has, sketch.mode)],
+        PARAMS_SCHEMA + ", has_counters boolean, has_items boolean, mode string",
+    )
     params.coalesce(1).write.parquet(f"{folder}/params")
     pointer = spark.createDataFrame([(number + 1, version)], "number bigint, version string")
     pointer.coalesce(1).write.mode("append").parquet(f"{path}/current")
@@ -79,6 +90,8 @@ def load_sketch(spark: SparkSession, path: str) -> Sketch:
         hh.select("d", "w", "layer", "key", "value", "cnt"),
         spark.read.parquet(f"{folder}/cells"),
         counters,
+        spark.read.parquet(f"{folder}/items") if row["has_items"] else None,
+        row["mode"],
     )
 
 

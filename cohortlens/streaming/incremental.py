@@ -44,13 +44,20 @@ def latest_sketch(spark: SparkSession, path: str) -> Sketch:
 
 
 def sketch_updater(
-    path: str, params: SketchParams, mode: str = "exact_counts", with_counters: bool = True
+    path: str,
+    params: SketchParams,
+    mode: str = "exact_counts",
+    with_counters: bool = True,
+    keep_items: bool = False,
 ) -> Callable[[DataFrame, int], None]:
     """Function for ``foreachBatch``: merges a batch of rows(key, value) into the sketch at
     ``path``.
 
     Batch n reads the state of batch n-1 in one slot and writes the other, so a batch that is
     run again, after whatever failure, gives the same state. One path belongs to one query.
+
+    A batch cuts the sketch to its size, and what it cuts is gone. ``keep_items`` carries the
+    counted items along, so that nothing is lost; the state then grows with the distinct items.
     """
 
     def update(batch: DataFrame, batch_id: int) -> None:
@@ -62,7 +69,9 @@ def sketch_updater(
             raise ValueError(f"{before} ends with batch {found}, expected {expected}")
         # Counted once and written, so that no raw rows are held and a lost executor costs little.
         items = write_and_read(count_items(batch), "batch-items")
-        part = build_sketch(batch if mode == "bounded" else items, params, mode, items=items)
+        part = build_sketch(
+            batch if mode == "bounded" else items, params, mode, items=items, keep_items=keep_items
+        )
         if with_counters and part.counters is None:
             part = replace(part, counters=count_sketch_build(items, params))
         if expected is not None:
