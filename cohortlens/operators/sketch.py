@@ -131,7 +131,7 @@ def build_sketch(
                 ranked = ranked.withColumn("layer", F.explode(F.sequence(F.lit(0), "layer")))
             hh = _top_of_many(ranked, params, params.k_kept)
         else:
-            items = write_and_read(items, "items")
+            items = rows = write_and_read(items, "items")
             counters = write_and_read(count_sketch_build(items, params), "counters")
             ranked = count_sketch_estimate(items, counters, params)
             hh = top_of_cells(ranked.select(*HH_COLUMNS), params, params.k_kept)

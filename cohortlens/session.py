@@ -8,7 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 # Settings that suit these plans. They are advice for whoever starts the session. Of a running
-# one only ``spark.checkpoint.dir`` is set, by ``work_dir`` on a local master without it.
+# one only two are set: ``spark.checkpoint.dir``, by ``work_dir`` on a local master without it, and
+# ``spark.sql.files.minPartitionNum``, where a read asks for a number of partitions.
 RECOMMENDED = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",

@@ -11,6 +11,22 @@ from pyspark.sql.types import StructType
 from ..functions.text import make_key, split_quoted
 
 
+_MIN_SPLITS_CONF = "spark.sql.files.minPartitionNum"
+
+
+def _at_least(df: DataFrame, min_partitions: int | None) -> DataFrame:
+    """``df``, a scan, in at least so many partitions. The session's wish for splits is raised to
+    that, so that files are cut smaller where they are read; it stays raised for later reads.
+    Only what a reader will not cut any more, a few MB a split or a compressed file, is dealt
+    out anew."""
+    if min_partitions is None:
+        return df
+    spark = df.sparkSession
+    if int(spark.conf.get(_MIN_SPLITS_CONF, None) or 0) < min_partitions:
+        spark.conf.set(_MIN_SPLITS_CONF, str(min_partitions))
+    return df.repartition(min_partitions) if df.rdd.getNumPartitions() < min_partitions else df
+
+
 def read_rows(
     spark: SparkSession,
     paths: str | Sequence[str],
@@ -34,9 +50,7 @@ def read_rows(
         if schema is not None:
             reader = reader.schema(schema)
         df = reader.load(paths)
-    if min_partitions is not None and df.rdd.getNumPartitions() < min_partitions:
-        df = df.repartition(min_partitions)
-    return df
+    return _at_least(df, min_partitions)
 
 
 def repeat_rows(df: DataFrame, n: int) -> DataFrame:
@@ -66,9 +80,7 @@ def read_query_keys(
         size = F.get("fields", F.lit(group_size_field)).cast("double")
         fields = fields.where(size >= F.lit(float(min_group_size)))
     keys = fields.select(make_key([F.get("fields", F.lit(i)) for i in range(key_fields)]).alias("key"))
-    if min_partitions is not None and keys.rdd.getNumPartitions() < min_partitions:
-        keys = keys.repartition(min_partitions)
-    return keys
+    return _at_least(keys, min_partitions)
 
 
 def query_keys_of(

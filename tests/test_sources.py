@@ -152,7 +152,7 @@ def test_command_line(spark, files, tmp_path):
 
 
 def test_settings_for_an_input():
-    assert settings_for(100 << 40, 8000)["spark.sql.shuffle.partitions"] == "200000"
+    assert settings_for(100 << 40, 8000)["spark.sql.shuffle.partitions"] == "409600"  # 256 MB each, at any size
     assert settings_for(1 << 40, 800)["spark.sql.shuffle.partitions"] == "4096"
     assert settings_for(1 << 20, 8)["spark.sql.shuffle.partitions"] == "8"
 
@@ -168,6 +168,39 @@ def test_min_partitions_is_a_floor(spark, files):
     assert many.agg(F.count(F.lit(1))).first()[0] == 1600
 
 
+def test_splits_are_cut_where_files_are_read(spark, tmp_path):
+    path = tmp_path / "long.csv"
+    path.write_text("".join(f"{i},{'x' * 90}\n" for i in range(400_000)))
+    before = spark.conf.get("spark.sql.files.minPartitionNum", None)
+    try:
+        rows = read_rows(spark, str(path), min_partitions=9)
+        assert rows.rdd.getNumPartitions() >= 9
+        assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+        assert rows.count() == 400_000
+    finally:
+        if before is None:
+            spark.conf.unset("spark.sql.files.minPartitionNum")
+        else:
+            spark.conf.set("spark.sql.files.minPartitionNum", before)
+
+
+@pytest.mark.parametrize("mode", ["exact_counts", "count_sketch"])
+def test_a_build_reads_its_input_once(spark, files, tmp_path, monkeypatch, mode):
+    path = tmp_path / "rows.csv"
+    path.write_text((files / "rows.csv").read_text())
+    want = jobs.ingest(spark, str(path), str(tmp_path / "a"), PARAMS, mode=mode)
+    build = jobs.build_sketch
+
+    def after_the_input_is_gone(*args, **kwargs):
+        path.unlink()
+        return build(*args, **kwargs)
+
+    monkeypatch.setattr(jobs, "build_sketch", after_the_input_is_gone)
+    got = jobs.ingest(spark, str(path), str(tmp_path / "b"), PARAMS, mode=mode)
+    for name in ("hh", "cells"):
+        assert sorted(getattr(got, name).collect()) == sorted(getattr(want, name).collect())
+
+
 @pytest.mark.parametrize("stop_at", ["cells", "counters", "current"])
 def test_a_save_that_stops_leaves_the_old_sketch(spark, tmp_path, monkeypatch, stop_at):
     from pyspark.sql.readwriter import DataFrameWriter
