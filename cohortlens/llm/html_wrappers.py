@@ -208,28 +208,21 @@ def judge(wrapper: list[Node], facts: dict[str, tuple[int, int, bool]]) -> dict[
     """The wrapper's slots that hold an article: ``main`` for pages that mark one, ``rest`` for
     pages that don't. facts: pages, characters and whether the text ever changes, by slot.
 
-    Without a mark, the article is where the most text is: the innermost element that holds
-    most of what is neither noise nor the same on all pages.
+    Without a mark, whatever is neither noise nor the same on all pages is the article's. It is
+    not narrowed to the place with the most text: layouts of one host put their texts in
+    different places, and an article's lists can be longer than its paragraphs.
     """
     clean = [s for s in dict.fromkeys(slots(wrapper)) if not _is_noise(s)]
     main = [s for s in clean if _is_main(s)]
     other = [s for s in clean if s not in set(main)]
-    varied = [s for s in other if facts.get(s, (1, 0, True))[2]] or other
-    mass: dict[str, int] = {}
-    for s in varied:
-        parts = s.split("/")
-        for n in range(len(parts)):
-            home = "/".join(parts[:n])
-            mass[home] = mass.get(home, 0) + facts.get(s, (0, 0, True))[1]
-    best = max(mass.values(), default=0)
-    home = max((h for h, n in mass.items() if 2 * n > best), key=lambda h: (len(h.split("/")), h), default="")
-    rest = [s for s in varied if s == home or s.startswith(home + "/") or not home]
-    return {"main": main, "rest": rest}
+    return {"main": main, "rest": [s for s in other if facts.get(s, (1, 0, True))[2]]}
 
 
 def extract(page: str, rules: dict[str, set[str]]) -> str:
+    """The page's own clean slots stand in where the host's rules know none of them."""
     found = list(blocks_of(page))
     kept = [t for p, t in found if p in rules["main"]] or [t for p, t in found if p in rules["rest"]]
+    kept = kept or [t for p, t in found if not _is_noise(p)]
     texts = (" ".join(t.split()) for t in kept)
     return "\n\n".join(t for t in texts if t)
 

@@ -220,6 +220,27 @@ def test_pages_without_marks_and_awkward_pages(spark):
     assert extract_pages(pages).count() == len(rows) and extract_pages(pages.limit(0)).count() == 0
 
 
+def extracted(spark, rows):
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    return {r["page_id"]: r["text"] for r in extract_pages(pages).collect()}
+
+
+def test_pages_of_several_layouts_and_long_lists(spark):
+    a = "<body><div><section><h1>Head {n}</h1><p>" + "long text {n} " * 9 + "</p></section></div></body>"
+    b = "<body><table><tr><td><h1>Cell {n}</h1><p>short text {n}</td></tr></table></body>"
+    c = "<body><div><h1>List {n}</h1><p>Before {n}</p><ul><li>" + "item {n} " * 50 + "</li></ul><p>After {n}</p></div></body>"
+    want = {"a": lambda n: f"Head {n}\n\n" + " ".join(f"long text {n}" for _ in range(9)), "b": lambda n: f"Cell {n}\n\nshort text {n}"}
+    want["c"] = lambda n: f"List {n}\n\nBefore {n}\n\n" + " ".join(f"item {n}" for _ in range(50)) + f"\n\nAfter {n}"
+    kinds = [(n, "aaabb"[n % 5]) for n in range(20)]
+    rows = [(n, url and f"{url}/{n}", {"a": a, "b": b}[k].format(n=n + at)) for at, url in ((0, "http://h"), (100, None)) for n, k in kinds]
+    rows = [(i, url, page) for i, (_, url, page) in enumerate(rows)] + [(40, "http://one/", c.format(n=40))]
+    got = extracted(spark, rows)
+    for at in (0, 100):
+        for n, k in kinds:
+            assert got[n + at // 5] == want[k](n + at)
+    assert got[40] == want["c"](40)
+
+
 def test_wrappers_cover_both_streams():
     a, b = ([("slot", x) for x in s] for s in ("abbbc", "adbc"))
     folded = fold(a, 4)
