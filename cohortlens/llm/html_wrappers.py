@@ -37,6 +37,12 @@ _DROPPED = set(
     "canvas object head title menu dialog audio video map xmp".split()
 )
 _MAIN = {"article", "main"}
+# Texts, lists, tables and quotes: an article may stand around these, not in them.
+_TEXTS = set(
+    "p h1 h2 h3 h4 h5 h6 hgroup ul ol li dl dt dd table caption thead tbody tfoot tr td th blockquote pre address "
+    "figure figcaption details summary".split()
+)
+_ALL = "#"  # no path: in the counts of a host's slots, all its pages without a mark
 _WORDS = re.compile(r"[a-z]+")
 _NOISE = set(
     "ad ads adv advert adverts advertisement advertising banner banners sponsor sponsored promo promotion nav navbar "
@@ -204,36 +210,62 @@ def _is_noise(path: str) -> bool:
     return False
 
 
-def judge(wrapper: list[Node], facts: dict[str, tuple[int, int, bool]]) -> dict[str, list[str]]:
-    """The wrapper's slots that hold an article: ``main`` for pages that mark one, ``rest`` for
-    pages that don't. facts: pages, characters and whether the text ever changes, by slot.
-
-    Without a mark, whatever is neither noise nor the same on all pages is the article's. It is
-    not narrowed to the place with the most text: layouts of one host put their texts in
-    different places, and an article's lists can be longer than its paragraphs.
+def judge(wrapper: list[Node], facts: dict[str, tuple[int, bool]]) -> dict[str, list[str]]:
+    """The wrapper's slots that hold an article on pages that mark one (``main``), and those whose
+    text is the ``same`` on most pages that don't. facts: different pages without a mark, and
+    whether the text ever changes, by slot; under ``_ALL`` the number of these pages.
     """
     clean = [s for s in dict.fromkeys(slots(wrapper)) if not _is_noise(s)]
-    main = [s for s in clean if _is_main(s)]
-    other = [s for s in clean if s not in set(main)]
-    return {"main": main, "rest": [s for s in other if facts.get(s, (1, 0, True))[2]]}
+    pages = facts.get(_ALL, (0, True))[0]
+    found = {s: facts.get(s, (0, True)) for s in clean}
+    same = [s for s, (n, changes) in found.items() if n > 1 and 2 * n > pages and not changes]
+    return {"main": [s for s in clean if _is_main(s)], "same": same}
+
+
+def _home(blocks: list[tuple[str, str]]) -> str:
+    """The innermost container that holds most of the blocks' text; lists, tables and quotes are
+    no containers."""
+    mass: dict[str, int] = {}
+    for path, text in blocks:
+        parts = path.split("/") if path else []
+        end = next((i for i, x in enumerate(parts) if x in _TEXTS), len(parts))
+        for n in range(end + 1):
+            home = "/".join(parts[:n])
+            mass[home] = mass.get(home, 0) + len(text)
+    total = sum(len(t) for _, t in blocks)
+    return max((h for h, n in mass.items() if 2 * n > total), key=lambda h: h.count("/") + bool(h), default="")
+
+
+def without_mark(clean: list[tuple[str, str]], same: set[str]) -> list[str]:
+    """The article of a page that marks none: all clean text but what the host repeats outside of
+    the container with most of the page's own text.
+
+    The rest is not narrowed to that container: an article may stand in several. Where repeated
+    text is at least half of the page, the host's pages are copies of each other, and all is kept.
+    """
+    own = [(p, t) for p, t in clean if p not in same]
+    chars = sum(len(t) for _, t in own)
+    if 2 * chars <= sum(len(t) for _, t in clean):
+        return [t for _, t in clean]
+    home = _home(own)
+    return [t for p, t in clean if p not in same or not home or p == home or p.startswith(home + "/")]
 
 
 def extract(page: str, rules: dict[str, set[str]]) -> str:
-    """The page's own clean slots stand in where the host's rules know none of them."""
-    found = list(blocks_of(page))
-    kept = [t for p, t in found if p in rules["main"]] or [t for p, t in found if p in rules["rest"]]
-    kept = kept or [t for p, t in found if not _is_noise(p)]
-    texts = (" ".join(t.split()) for t in kept)
-    return "\n\n".join(t for t in texts if t)
+    found = [(p, " ".join(t.split())) for p, t in blocks_of(page)]
+    kept = [t for p, t in found if p in rules["main"]]
+    kept = kept or without_mark([(p, t) for p, t in found if not _is_noise(p)], rules["same"])
+    return "\n\n".join(t for t in kept if t)
 
 
 # --- the job --------------------------------------------------------------------------------
 
-_SEEN = "kind string, host string, what string, pages bigint, chars bigint, least bigint, most bigint"
+_SEEN = "kind string, host string, what string, least bigint, most bigint"
 
 
 def _observing(params: WrapperParams) -> Callable:
-    """Per task: the folded streams of each host and its slots' facts, each once."""
+    """Per task: the folded streams of each host; of pages without a mark the slots' facts, and
+    each page's digest with its slots. Each once."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "html"):
@@ -241,23 +273,22 @@ def _observing(params: WrapperParams) -> Callable:
             for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
                 found = list(blocks_of(page))
                 stream = json.dumps(fold([("slot", p) for p, _ in found], params.longest))
-                rows = [("stream", stream, 0, 0)]
-                texts: dict[str, list[str]] = {}
-                for path, text in found:
-                    texts.setdefault(path, []).append(text)
-                for path, parts in texts.items():
-                    joined = "\n".join(parts)
-                    rows.append(("slot", path, len(joined), xxhash.xxh64_intdigest(joined) >> 1))
-                for kind, what, chars, digest in rows:
-                    x = seen.setdefault((kind, host, what), [0, 0, digest, digest])
-                    x[0] += 1
-                    x[1] += chars
-                    x[2], x[3] = min(x[2], digest), max(x[3], digest)
+                rows = [("stream", stream, 0)]
+                clean = [(p, t) for p, t in found if not _is_noise(p)]
+                if clean and not any(_is_main(p) for p, _ in clean):
+                    texts: dict[str, list[str]] = {}
+                    for path, text in clean:
+                        texts.setdefault(path, []).append(text)
+                    rows += [("slot", p, xxhash.xxh64_intdigest("\n".join(x)) >> 1) for p, x in texts.items()]
+                    rows.append(("page", "\n".join([xxhash.xxh128_hexdigest(json.dumps(clean)), *sorted(texts)]), 0))
+                for kind, what, digest in rows:
+                    x = seen.setdefault((kind, host, what), [digest, digest])
+                    x[0], x[1] = min(x[0], digest), max(x[1], digest)
             keys = list(zip(*seen)) or [(), (), ()]
-            numbers = list(zip(*seen.values())) or [()] * 4
+            numbers = list(zip(*seen.values())) or [()] * 2
             yield pa.RecordBatch.from_arrays(
                 [*[pa.array(k, pa.string()) for k in keys], *[pa.array(n, pa.int64()) for n in numbers]],
-                ["kind", "host", "what", "pages", "chars", "least", "most"],
+                ["kind", "host", "what", "least", "most"],
             )
 
     return run
@@ -297,7 +328,7 @@ def _judging(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         hosts, rules = batch.column("host").to_pylist(), []
         for text, facts in zip(batch.column("wrapper").to_pylist(), batch.column("facts").to_pylist()):
-            known = {f["what"]: (f["pages"], f["chars"], f["pages"] < 2 or f["least"] != f["most"]) for f in facts or ()}
+            known = {f["what"]: (f["pages"], f["changes"]) for f in facts or ()}
             rules.append(json.dumps(judge(_nodes(text), known)))
         yield pa.RecordBatch.from_arrays(
             [pa.array(hosts, pa.string()), batch.column("wrapper"), pa.array(rules, pa.string())],
@@ -311,9 +342,7 @@ def infer_wrappers(pages: DataFrame, params: WrapperParams = WrapperParams()) ->
     parts whose wrappers are then aligned with each other."""
     observed = pages.mapInArrow(_observing(params), _SEEN)
     facts = write_and_read(
-        observed.groupBy("kind", "host", "what").agg(
-            F.sum("pages").alias("pages"), F.sum("chars").alias("chars"), F.min("least").alias("least"), F.max("most").alias("most")
-        ),
+        observed.groupBy("kind", "host", "what").agg(F.min("least").alias("least"), F.max("most").alias("most")),
         "page-facts",
     )
     parts = facts.where("kind = 'stream'").select("host", F.pmod(F.xxhash64("what"), F.lit(16)).alias("salt"), "what")
@@ -323,11 +352,19 @@ def infer_wrappers(pages: DataFrame, params: WrapperParams = WrapperParams()) ->
         return dealt.mapInArrow(_aligning(params), "host string, what string")
 
     wrappers = aligned(aligned(parts).withColumn("salt", F.lit(0))).withColumnRenamed("what", "wrapper")
+    paths = F.slice(F.split("what", "\n"), 2, 1 << 30)
+    counted = (
+        facts.where("kind = 'page'")  # copies are one row
+        .select("host", F.explode(F.concat(F.array(F.lit(_ALL)), paths)).alias("what"))
+        .groupBy("host", "what")
+        .agg(F.count(F.lit(1)).alias("pages"))
+    )
+    texts = facts.where("kind = 'slot'").select("host", "what", (F.col("least") != F.col("most")).alias("changes"))
     per_host = (
-        facts.where("kind = 'slot'")
+        counted.join(texts, ["host", "what"], "left")
         .groupBy("host")
-        .agg(F.collect_list(F.struct("what", "pages", "chars", "least", "most")).alias("facts"))  # a row for each slot
-    )
+        .agg(F.collect_list(F.struct("what", "pages", F.coalesce("changes", F.lit(True)).alias("changes"))).alias("facts"))
+    )  # a row for each slot
     joined = wrappers.join(per_host, "host", "left").select("host", "wrapper", "facts")
     return write_and_read(joined.mapInArrow(_judging, "host string, wrapper string, rules string"), "wrappers")
 

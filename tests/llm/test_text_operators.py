@@ -241,6 +241,24 @@ def test_pages_of_several_layouts_and_long_lists(spark):
     assert got[40] == want["c"](40)
 
 
+def test_repeated_text_is_no_boilerplate_in_an_article_or_among_copies(spark):
+    page = "<body><h4>Our site</h4><div><h2>Abstract</h2><p>own text of page {n}, long enough</p>{more}</div></body>"
+    quote = "<blockquote><p>Twice the same quote.</p></blockquote>"
+    few = "<body><h4>Our site</h4><div><p>own text of page {n}, long enough</p></div>{more}</body>"
+    dated = "<body><section><p>{n} May</p></section><div><h1>One</h1><p>article on all pages of the host</p></div></body>"
+    rows = [(n, f"http://q/{n}", page.format(n=n, more=quote if n < 2 else "")) for n in range(9)]
+    rows += [(10 + n, f"http://d/{n}", dated.format(n=n)) for n in range(5)]
+    rows += [(20 + n, f"http://f/{n}", few.format(n=n, more=quote if n < 2 else "")) for n in range(9)]
+    rows += [(30 + n, f"http://f/copy{n}", few.format(n=0, more=quote)) for n in range(20)]  # copies of one page
+    got = extracted(spark, rows)
+    for n in range(9):
+        more = "\n\nTwice the same quote." if n < 2 else ""
+        assert got[n] == f"Abstract\n\nown text of page {n}, long enough{more}"
+        assert got[20 + n] == f"own text of page {n}, long enough{more}"
+    for n in range(5):
+        assert got[10 + n] == f"{n} May\n\nOne\n\narticle on all pages of the host"
+
+
 def test_wrappers_cover_both_streams():
     a, b = ([("slot", x) for x in s] for s in ("abbbc", "adbc"))
     folded = fold(a, 4)
