@@ -15,6 +15,7 @@ import re
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pyarrow as pa
 import xxhash
@@ -51,6 +52,10 @@ _NOISE = set(
     "subscribe subscription signup login search share sharing social related recommended recommendations pagination "
     "pager widget widgets copyright legal toolbar skip".split()
 )
+# A name like "top-ad" is noise; "has-sidebar" or "comments-open" only tells the layout.
+_BESIDE = set("site top bottom list box bar links buttons slot unit container area x".split())
+_TALK = set("comment comments reply replies respond disqus".split())
+_NEVER = _MAIN | {"html", "body"}
 # A start tag ends an open element of the same kind, or of these.
 _ENDS = {t: {"p"} for t in "article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()}
 _ENDS |= {"li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
@@ -69,15 +74,18 @@ class WrapperParams:
 
 
 def _label(tag: str, rest: str) -> str:
-    """A tag with what its class, id and role say, if that marks it as not the article's."""
+    """A tag with what its class, id and role say, if a whole name among these marks it as not the
+    article's: "!" before it, and for readers' comments also "!" behind it."""
     if tag in _DROPPED:
         return "!" + tag
     for _, a, b, c in _ATTRIBUTE.findall(rest):
         value = (a or b or c).lower()
         if value in ("main", "article"):
             return tag + ".main"
-        if _NOISE & set(_WORDS.findall(value)):
-            return "!" + tag
+        for name in value.split() if tag not in _NEVER else ():
+            words = set(_WORDS.findall(name))
+            if words & _NOISE and words <= _NOISE | _BESIDE:
+                return "!" + tag + ("!" if words & _TALK else "")
     return tag
 
 
@@ -143,7 +151,7 @@ def _key(node: Node) -> str:
     return node[1] if node[0] == "slot" else _key(node[1][0])
 
 
-def _bare(node: Node) -> list[Node]:
+def _body(node: Node) -> list[Node]:
     return [node] if node[0] == "slot" else node[1]
 
 
@@ -179,7 +187,7 @@ def align(a: list[Node], b: list[Node], longest: int) -> list[Node]:
                 if x == y:
                     out.append(x)
                     continue
-                bodies = _bare(x), _bare(y)
+                bodies = _body(x), _body(y)
                 body = align(*bodies, longest) if len(bodies[0]) + len(bodies[1]) < len(a) + len(b) else bodies[0] + bodies[1]
                 kinds = {x[0], y[0]}
                 out.append(("rep", body) if "rep" in kinds else ("opt", body) if "opt" in kinds else body[0])
@@ -196,10 +204,12 @@ def slots(nodes: list[Node]) -> Iterator[str]:
             yield from slots(value)
 
 
+@lru_cache(4096)
 def _is_main(path: str) -> bool:
     return any(x in _MAIN or x.endswith(".main") for x in path.split("/"))
 
 
+@lru_cache(4096)
 def _is_noise(path: str) -> bool:
     """Under a menu, header, form or the like; a header inside the article is the article's."""
     inside = False
@@ -210,16 +220,59 @@ def _is_noise(path: str) -> bool:
     return False
 
 
-def judge(wrapper: list[Node], facts: dict[str, tuple[int, bool]]) -> dict[str, list[str]]:
-    """The wrapper's slots that hold an article on pages that mark one (``main``), and those whose
-    text is the ``same`` on most pages that don't. facts: different pages without a mark, and
-    whether the text ever changes, by slot; under ``_ALL`` the number of these pages.
+@lru_cache(4096)
+def _marked(path: str) -> str:
+    """The path to the outermost element whose class, id or role marks it; empty without one, or
+    under a tag that is never the article's."""
+    parts = path.split("/")
+    if any(x[1:] in _DROPPED for x in parts if x.startswith("!")):
+        return ""
+    at = next((i for i, x in enumerate(parts) if x.startswith("!")), None)
+    return "" if at is None else "/".join(parts[: at + 1])
+
+
+def _bare(path: str, holders: Iterable[str]) -> str:
+    """The path with the marks of ``holders``, outermost first, taken away."""
+    for h in holders:
+        if path == h or path.startswith(h + "/"):
+            head, _, last = h.rpartition("/")
+            path = (head + "/" if head else "") + last.strip("!") + path[len(h) :]
+    return path
+
+
+def holders_of(chars: dict[str, int]) -> list[str]:
+    """Marked elements that hold most of the text (characters by path, in all), and so the article:
+    their marks tell a layout. Readers' comments count only where nothing else is left."""
+    holders: list[str] = []
+    open_ = {p: n for p, n in chars.items() if not _is_noise(p) or _marked(p)}
+    while True:
+        mass: dict[str, int] = {}
+        for p, n in open_.items():
+            mass[_marked(p)] = mass.get(_marked(p), 0) + n
+        best = max((h for h in mass if h), key=lambda h: (mass[h], h), default="")
+        if not best or 2 * mass[best] <= sum(mass.values()) or (best.endswith("!") and mass.get("")):
+            return holders
+        holders.append(best)
+        moved: dict[str, int] = {}
+        for p, n in open_.items():
+            p = _bare(p, [best])
+            moved[p] = moved.get(p, 0) + n
+        open_ = moved
+
+
+def judge(wrapper: list[Node], facts: dict[str, tuple[int, int, bool]]) -> dict[str, list[str]]:
+    """The wrapper's slots that hold an article on pages that mark one (``main``), those whose
+    text is the ``same`` on most pages that don't, and elements that are not noise whatever
+    their class says (``holders``). facts: different pages without a mark, characters and whether
+    the text ever changes, by slot; under ``_ALL`` the number of these pages.
     """
-    clean = [s for s in dict.fromkeys(slots(wrapper)) if not _is_noise(s)]
-    pages = facts.get(_ALL, (0, True))[0]
-    found = {s: facts.get(s, (0, True)) for s in clean}
-    same = [s for s, (n, changes) in found.items() if n > 1 and 2 * n > pages and not changes]
-    return {"main": [s for s in clean if _is_main(s)], "same": same}
+    known = dict.fromkeys(slots(wrapper))
+    holders = holders_of({s: facts[s][1] for s in known if s in facts})
+    clean = [s for s in known if not _is_noise(_bare(s, holders))]
+    pages = facts.get(_ALL, (0, 0, True))[0]
+    found = {s: facts.get(s, (0, 0, True)) for s in clean}
+    same = [s for s, (n, _, changes) in found.items() if n > 1 and 2 * n > pages and not changes]
+    return {"main": [s for s in clean if _is_main(_bare(s, holders))], "same": same, "holders": holders}
 
 
 def _home(blocks: list[tuple[str, str]]) -> str:
@@ -251,16 +304,27 @@ def without_mark(clean: list[tuple[str, str]], same: set[str]) -> list[str]:
     return [t for p, t in clean if p not in same or not home or p == home or p.startswith(home + "/")]
 
 
-def extract(page: str, rules: dict[str, set[str]]) -> str:
-    found = [(p, " ".join(t.split())) for p, t in blocks_of(page)]
-    kept = [t for p, t in found if p in rules["main"]]
-    kept = kept or without_mark([(p, t) for p, t in found if not _is_noise(p)], rules["same"])
+def extract(page: str, rules: dict) -> str:
+    """A page without clean text looks for its article under its own marked elements."""
+    found = list(blocks_of(page))
+    main, same, holders = rules["main"], rules["same"], rules["holders"]
+    kept = [" ".join(t.split()) for p, t in found if p in main]
+    if not kept:
+        found = [(p, " ".join(t.split())) for p, t in found]
+        if all(_is_noise(_bare(p, holders)) for p, _ in found):
+            chars: dict[str, int] = {}
+            for p, t in found:
+                chars[p] = chars.get(p, 0) + len(t)
+            holders = holders_of(chars)
+        same = {_bare(p, holders) for p in same}
+        bare = [(_bare(p, holders), t) for p, t in found]
+        kept = without_mark([(p, t) for p, t in bare if not _is_noise(p)], same)
     return "\n\n".join(t for t in kept if t)
 
 
 # --- the job --------------------------------------------------------------------------------
 
-_SEEN = "kind string, host string, what string, least bigint, most bigint"
+_SEEN = "kind string, host string, what string, chars bigint, least bigint, most bigint"
 
 
 def _observing(params: WrapperParams) -> Callable:
@@ -273,22 +337,27 @@ def _observing(params: WrapperParams) -> Callable:
             for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
                 found = list(blocks_of(page))
                 stream = json.dumps(fold([("slot", p) for p, _ in found], params.longest))
-                rows = [("stream", stream, 0)]
-                clean = [(p, t) for p, t in found if not _is_noise(p)]
-                if clean and not any(_is_main(p) for p, _ in clean):
+                rows = [("stream", stream, 0, 0)]
+                open_ = [(p, t) for p, t in found if not _is_noise(p) or _marked(p)]
+                clean = [(p, t) for p, t in open_ if not _is_noise(p)]
+                if open_ and not any(_is_main(p) for p, _ in clean):
                     texts: dict[str, list[str]] = {}
-                    for path, text in clean:
+                    for path, text in open_:
                         texts.setdefault(path, []).append(text)
-                    rows += [("slot", p, xxhash.xxh64_intdigest("\n".join(x)) >> 1) for p, x in texts.items()]
-                    rows.append(("page", "\n".join([xxhash.xxh128_hexdigest(json.dumps(clean)), *sorted(texts)]), 0))
-                for kind, what, digest in rows:
-                    x = seen.setdefault((kind, host, what), [digest, digest])
-                    x[0], x[1] = min(x[0], digest), max(x[1], digest)
+                    for path, parts in texts.items():
+                        joined = "\n".join(parts)
+                        rows.append(("slot", path, len(joined), xxhash.xxh64_intdigest(joined) >> 1))
+                    digest = xxhash.xxh128_hexdigest(json.dumps(clean or open_))
+                    rows.append(("page", "\n".join([digest, *sorted({p for p, _ in clean or open_})]), 0, 0))
+                for kind, what, chars, digest in rows:
+                    x = seen.setdefault((kind, host, what), [0, digest, digest])
+                    x[0] += chars
+                    x[1], x[2] = min(x[1], digest), max(x[2], digest)
             keys = list(zip(*seen)) or [(), (), ()]
-            numbers = list(zip(*seen.values())) or [()] * 2
+            numbers = list(zip(*seen.values())) or [()] * 3
             yield pa.RecordBatch.from_arrays(
                 [*[pa.array(k, pa.string()) for k in keys], *[pa.array(n, pa.int64()) for n in numbers]],
-                ["kind", "host", "what", "least", "most"],
+                ["kind", "host", "what", "chars", "least", "most"],
             )
 
     return run
@@ -328,7 +397,7 @@ def _judging(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         hosts, rules = batch.column("host").to_pylist(), []
         for text, facts in zip(batch.column("wrapper").to_pylist(), batch.column("facts").to_pylist()):
-            known = {f["what"]: (f["pages"], f["changes"]) for f in facts or ()}
+            known = {f["what"]: (f["pages"], f["chars"], f["changes"]) for f in facts or ()}
             rules.append(json.dumps(judge(_nodes(text), known)))
         yield pa.RecordBatch.from_arrays(
             [pa.array(hosts, pa.string()), batch.column("wrapper"), pa.array(rules, pa.string())],
@@ -342,7 +411,9 @@ def infer_wrappers(pages: DataFrame, params: WrapperParams = WrapperParams()) ->
     parts whose wrappers are then aligned with each other."""
     observed = pages.mapInArrow(_observing(params), _SEEN)
     facts = write_and_read(
-        observed.groupBy("kind", "host", "what").agg(F.min("least").alias("least"), F.max("most").alias("most")),
+        observed.groupBy("kind", "host", "what").agg(
+            F.sum("chars").alias("chars"), F.min("least").alias("least"), F.max("most").alias("most")
+        ),
         "page-facts",
     )
     parts = facts.where("kind = 'stream'").select("host", F.pmod(F.xxhash64("what"), F.lit(16)).alias("salt"), "what")
@@ -359,25 +430,26 @@ def infer_wrappers(pages: DataFrame, params: WrapperParams = WrapperParams()) ->
         .groupBy("host", "what")
         .agg(F.count(F.lit(1)).alias("pages"))
     )
-    texts = facts.where("kind = 'slot'").select("host", "what", (F.col("least") != F.col("most")).alias("changes"))
+    texts = facts.where("kind = 'slot'").select("host", "what", "chars", (F.col("least") != F.col("most")).alias("changes"))
     per_host = (
-        counted.join(texts, ["host", "what"], "left")
+        texts.join(counted, ["host", "what"], "full")
+        .na.fill({"pages": 0, "chars": 0, "changes": True})
         .groupBy("host")
-        .agg(F.collect_list(F.struct("what", "pages", F.coalesce("changes", F.lit(True)).alias("changes"))).alias("facts"))
-    )  # a row for each slot
+        .agg(F.collect_list(F.struct("what", "pages", "chars", "changes")).alias("facts"))  # a row for each slot
+    )
     joined = wrappers.join(per_host, "host", "left").select("host", "wrapper", "facts")
     return write_and_read(joined.mapInArrow(_judging, "host string, wrapper string, rules string"), "wrappers")
 
 
 def _extracting(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known: dict[str, dict[str, set[str]]] = {}
+    known: dict[str, dict] = {}
     for batch in small_batches(batches, "html"):
         out = []
         for page, text in zip(batch.column("html").to_pylist(), batch.column("rules").to_pylist()):
             if text not in known:
                 if len(known) > 1000:
                     known.clear()
-                known[text] = {k: set(v) for k, v in json.loads(text).items()}
+                known[text] = {k: v if k == "holders" else set(v) for k, v in json.loads(text).items()}
             out.append(extract(page, known[text]))
         yield pa.RecordBatch.from_arrays(
             [batch.column("page_id"), batch.column("url"), pa.array(out, pa.string())], ["page_id", "url", "text"]

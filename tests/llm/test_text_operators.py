@@ -259,6 +259,29 @@ def test_repeated_text_is_no_boilerplate_in_an_article_or_among_copies(spark):
         assert got[10 + n] == f"{n} May\n\nOne\n\narticle on all pages of the host"
 
 
+def test_layout_classes_do_not_hide_articles(spark):
+    text = "<h1>Head {n}</h1><p>text of page {n}, longer than what stands beside it</p>"
+    side = "<div class='sidebar'><p>aside {n}</p></div><div class='top-ad'>ad {n}</div><div id=comments><p>nice {n}</p></div>"
+    pages = {
+        "a": "<body class='has-sidebar'>" + text + side,
+        "b": "<body><div id='content' class='with-sidebar'>" + text + side + "</div>",
+        "c": "<body><article class='post comments-open share'>" + text + "</article>" + side,
+        "d": "<body><section class='sidebar'>" + text + side + "</section><p>x{n}</p>",  # a mark on the article's container
+        "e": "<body><section class='widgets'><article>" + text + "</article></section>" + side,
+        "f": "<body class='sidebar'><main class='search'>" + text + "</main>" + side,
+    }
+    rows = [(10 * k + n, f"http://{h}/{n}", page.format(n=n)) for k, (h, page) in enumerate(pages.items()) for n in range(4)]
+    rows += [(90, "http://a/one", "<body><section class='sidebar'>" + text.format(n=9) + "</section>")]  # unlike the host's others
+    rows += [(91, "http://a/ad", "<body><div class=ad>an ad that is longer than the text</div><p>short</p>")]
+    got = extracted(spark, rows)
+    for k, h in enumerate(pages):
+        for n in range(4):
+            want = f"Head {n}\n\ntext of page {n}, longer than what stands beside it"
+            assert got[10 * k + n] == want + (f"\n\nx{n}" if h == "d" else "")
+    assert got[90] == "Head 9\n\ntext of page 9, longer than what stands beside it"
+    assert got[91] == "short"
+
+
 def test_wrappers_cover_both_streams():
     a, b = ([("slot", x) for x in s] for s in ("abbbc", "adbc"))
     folded = fold(a, 4)
