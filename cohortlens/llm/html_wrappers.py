@@ -3,8 +3,9 @@
 A page is a stream of tags and texts. Streams of one host are aligned step by step: where they
 differ, what only some have becomes optional, what repeats becomes a group, and texts become
 slots. The result is a regular expression without alternatives, the host's wrapper. Its slots are
-judged once for the host, by where they stand and by whether their text ever changes; pages
-are then read slot by slot.
+judged once for the host, by where they stand and by whether their text ever changes. A slot is
+known by its path alone: pages are read by path and not matched against the wrapper, whose order
+and optional and repeated groups do not enter the verdict.
 """
 
 from __future__ import annotations
