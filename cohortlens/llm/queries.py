@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import new_path
 from .chat import END, START, format_chats, read_chats
 from .common import table
 from .decontaminate import decontaminate
@@ -12,7 +13,7 @@ from .html_wrappers import extract_pages
 from .lines import line_dedup
 from .pieces import round_trip_digests
 from .quality import quality_rules
-from .sharding import place
+from .sharding import place, read_shards, write_shards
 from .simhash import simhash_groups
 from .suffixes import suffix_dedup
 from .token_files import read_token_digests, write_token_files
@@ -84,7 +85,10 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return place(table(spark, sf_dir, "documents").select("doc_id"))
+    placed = place(table(spark, sf_dir, "documents"))
+    path = new_path(spark, "shards")
+    write_shards(placed, path)
+    return read_shards(spark, path, placed.schema).select("doc_id", "slot", "shard")
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

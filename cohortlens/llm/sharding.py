@@ -6,10 +6,11 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import fresh
+from .common import fresh, quoted
 
 
 @dataclass(frozen=True)
@@ -60,7 +61,19 @@ def place(rows: DataFrame, key: str = "doc_id", params: ShardParams = ShardParam
     return keyed.join(F.broadcast(lookup), slot).select(*rows.columns, slot, shard)
 
 
-def write_shards(placed: DataFrame, path: str, shard: str = "shard", slot: str = "slot", files: int = 4) -> None:
-    """One folder for each shard. A shard's slots are dealt over ``files`` tasks, so a shard is
-    not bound to one writer."""
-    placed.repartition(shard, F.pmod(F.col(slot), F.lit(files))).write.partitionBy(shard).parquet(path)
+def write_shards(placed: DataFrame, path: str, shard: str = "shard", files: int = 4, rows: int = 20_000) -> None:
+    """One folder for each shard. Its rows are dealt into ``files`` parts, or as many more as make
+    parts of about ``rows`` rows, by their own hash, so neither a shard nor a key, null included,
+    is bound to one writer; copies of a row go apart by the input partition they come from.
+    Adaptive execution may write small parts together."""
+    n, dealt = fresh(placed, "n", "dealt")
+    hashed = [F.col(quoted(c)) for c, kind in placed.dtypes if "map<" not in kind and kind != "variant"]
+    counts = placed.groupBy(shard).agg(F.greatest(F.lit(files), F.ceil(F.count(F.lit(1)) / rows)).alias(n))
+    salted = placed.withColumn(dealt, F.xxhash64(*hashed, F.spark_partition_id())).join(F.broadcast(counts), shard)
+    out = salted.repartition(shard, F.pmod(F.col(dealt), F.col(n)))
+    out.select(*[quoted(c) for c in placed.columns]).write.partitionBy(shard).parquet(path)
+
+
+def read_shards(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The rows of all shards; ``schema`` is that of the rows written."""
+    return spark.read.schema(schema).parquet(path)

@@ -8,10 +8,11 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cohortlens.llm.html_wrappers import WrapperParams, align, extract_pages, fold, slots
-from cohortlens.llm.queries import tokenizer
-from cohortlens.llm.sharding import ShardParams, fill_table, place
+from cohortlens.llm.queries import op9_sharding, tokenizer
+from cohortlens.llm.sharding import ShardParams, fill_table, place, read_shards, write_shards
 from cohortlens.llm.suffixes import (
     SuffixParams, blind_trie_order, deep_shallow_order, samples, shared_offsets, suffix_dedup,
 )
@@ -186,6 +187,26 @@ def test_place(spark):
     assert place(table(spark, []), params=params).count() == 0
 
 
+def test_shards_hold_whole_rows_and_split_hot_keys(spark, sf_dir, tmp_path):
+    rows = [(None if i % 3 else i, f"text {i % 700}") for i in range(3000)] + [(None, "copy")] * 900
+    placed = place(table(spark, rows), params=ShardParams(tuple("012"), 101))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else small parts are joined
+    try:
+        write_shards(placed, str(tmp_path / "out"), rows=500)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    back = read_shards(spark, str(tmp_path / "out"), placed.schema)
+    assert Counter(map(tuple, back.select(*placed.columns).collect())) == Counter(map(tuple, placed.collect()))
+    sizes = Counter(r[0] for r in back.where("doc_id is null").select(F.input_file_name()).collect())
+    assert len(sizes) >= 3 and len({f.split("shard=")[1][0] for f in sizes}) == 1
+    found = op9_sharding(spark, sf_dir)
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    assert all("/shard=shard-" in f for f in found.inputFiles()) and found.columns == ["doc_id", "slot", "shard"]
+    assert sorted(found.collect()) == sorted(place(documents.select("doc_id")).collect())
+    stored = spark.read.parquet(found.inputFiles()[0].split("/shard=")[0])
+    assert set(documents.columns) < set(stored.columns) and stored.select(documents.columns).exceptAll(documents).isEmpty()
+
+
 # --- pages
 
 
