@@ -479,8 +479,8 @@ def files_to_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("file_job_batch")
 def batch_of_keys_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keys of two fields, one of them quoted, from a file with group sizes; one file of spaced
-    lines out."""
+    """Keys of two fields, one of them quoted, from a file with group sizes; spaced lines out, in
+    as many files as there are writers: they grow with the users."""
     events = _table(spark, sf_dir, "events")
     out = new_path(spark, "file-job")
     line = F.format_string(
@@ -494,7 +494,7 @@ def batch_of_keys_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark, f"{out}/rows", f"{out}/sketch", f"{out}/keys", f"{out}/answers", PARAMS,
         {"key_cols": [1, 3], "value_cols": [4]},
         {"key_fields": 2, "quoted": True, "min_group_size": MIN_PAIR_SIZE,
-         "combine": "median", "spaced": True, "single_file": True},
+         "combine": "median", "spaced": True},
     )
     return spark.read.text(f"{out}/answers").select(F.col("value").alias("line"))
 

@@ -77,3 +77,11 @@ def test_items_are_scanned_and_counted_once(spark, sf_dir, name):
     plan = final_plan(catalog.QUERIES[name](spark, sf_dir))
     final = plan.split("Initial Plan")[0]
     assert "ReusedExchange" in final and final.count("FileScan") == 1
+
+
+def test_batch_answers_have_several_writers(spark, sf_dir):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else small parts are joined
+    try:
+        assert len(contract.queries()["file_job_batch"](spark, sf_dir).inputFiles()) > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
