@@ -597,6 +597,16 @@ def stream_window_gsum(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query("batch_window_gsum")
+def batch_window_gsum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same sums from the table itself: every day, also those a stream still holds open."""
+    rows = _table(spark, sf_dir, "events").select(
+        _utc("ts").alias("ts"), F.col("user_id").cast("string").alias("key"), F.col("event_type").alias("value")
+    )
+    sums = window_gsum(rows, "ts", "1 day", f"{DELAY_DAYS} days")
+    return _tidy(sums.select(F.unix_seconds("window_start").alias("window_start"), "key", *METRICS))
+
+
 @_query("stream_sketch_merge")
 def stream_sketch_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event stream in two micro-batches, merged into one stored sketch: its counters."""

@@ -409,6 +409,12 @@ SQL: dict[str, str] = {
       SELECT CAST(epoch(day) AS BIGINT) AS window_start, key,
         round(entropy, {ENTROPY_DIGITS}) AS entropy, l2, l1, card
       FROM sums WHERE day + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL {DELAY_DAYS} DAY""",
+    "batch_window_gsum": f"""WITH items AS (
+        SELECT date_trunc('day', ts) AS day, CAST(user_id AS VARCHAR) AS key, event_type AS value,
+          count(*) AS f FROM events GROUP BY 1, 2, 3)
+      SELECT CAST(epoch(day) AS BIGINT) AS window_start, key,
+        round(entropy, {ENTROPY_DIGITS}) AS entropy, l2, l1, card
+      FROM (SELECT day, key, {_sums()} FROM items GROUP BY day, key)""",
     "stream_sketch_merge": _counters(EVENT_ITEMS),
     "stream_sketch_answers": _answers(
         "median", HELD_KEYS, ",".join([EVENT_ITEMS, HASHED, PLACED, HH, ASSIGNED])

@@ -85,3 +85,11 @@ def test_batch_answers_have_several_writers(spark, sf_dir):
         assert len(contract.queries()["file_job_batch"](spark, sf_dir).inputFiles()) > 1
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_batch_windows_hold_every_day(spark, sf_dir):
+    found = contract.queries()["batch_window_gsum"](spark, sf_dir)
+    days = {r[0] for r in found.select("window_start").distinct().collect()}
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    assert days == {r[0] for r in events.selectExpr("unix_date(cast(ts as date)) * 86400L").distinct().collect()}
+    assert found.selectExpr("sum(l1)").first()[0] == events.count()
