@@ -10,11 +10,14 @@ from .chat import END, START, format_chats, read_chats
 from .common import table
 from .decontaminate import decontaminate
 from .html_wrappers import extract_pages
+from .jaccard import jaccard_groups
 from .lines import line_dedup
 from .pieces import round_trip_digests
 from .quality import quality_rules
+from .resample import resample
 from .sharding import place, read_shards, write_shards
 from .simhash import simhash_groups
+from .spelling import spelling_variants
 from .suffixes import suffix_dedup
 from .token_files import read_token_digests, write_token_files
 
@@ -102,6 +105,19 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_groups(table(spark, sf_dir, "documents"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank", "n_words")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -115,5 +131,8 @@ QUERIES = {
         op8_decontaminate,
         op9_sharding,
         op10_suffix_dedup,
+        op11_jaccard_join,
+        op12_spelling_variants,
+        op13_resampling,
     )
 }
