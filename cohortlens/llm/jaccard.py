@@ -43,8 +43,8 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
 
-def shingle_set(raw: bytes, shingle: int) -> np.ndarray:
-    """Sorted 64-bit hashes of the distinct n-grams; fewer words than one are an n-gram of their own."""
+def shingle_hashes(raw: bytes, shingle: int) -> np.ndarray:
+    """64-bit hashes of the n-grams in order; fewer words than one are an n-gram of their own."""
     hashes = word_hashes(raw.lower().split())  # bytes: A-Z only, and exactly [\x20\x09-\x0D]
     n = min(shingle, len(hashes))
     if not n:
@@ -55,7 +55,11 @@ def shingle_set(raw: bytes, shingle: int) -> np.ndarray:
         out = (out ^ hashes[i : last + i]) * _ODD
         out ^= out >> np.uint64(31)
     out *= _MIX
-    return np.unique(out ^ (out >> np.uint64(29)))
+    return out ^ (out >> np.uint64(29))
+
+
+def shingle_set(raw: bytes, shingle: int) -> np.ndarray:
+    return np.unique(shingle_hashes(raw, shingle))
 
 
 def prefix_size(n: int, percent: int) -> int:
@@ -73,7 +77,7 @@ def _counting(params: JaccardParams) -> Callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(params.counters, np.int64)
         for batch in small_batches(batches, "text"):
-            grams = [shingle_set((t or "").encode(), params.shingle) for t in batch.column("text").to_pylist()]
+            grams = [shingle_hashes((t or "").encode(), params.shingle) for t in batch.column("text").to_pylist()]
             total += np.bincount(_counter_of(np.concatenate(grams), params), minlength=params.counters)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["counter", "n"])
@@ -82,7 +86,7 @@ def _counting(params: JaccardParams) -> Callable:
 
 
 def gram_counts(docs: DataFrame, params: JaccardParams) -> np.ndarray:
-    """Documents per counter, over all documents; ``counters`` numbers, whatever the corpus."""
+    """N-grams per counter, over all documents; ``counters`` numbers, whatever the corpus."""
     rows = docs.select("text").mapInArrow(_counting(params), "counter bigint, n bigint")
     summed = rows.groupBy("counter").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(params.counters, np.int64)
@@ -90,19 +94,26 @@ def gram_counts(docs: DataFrame, params: JaccardParams) -> np.ndarray:
     return out
 
 
-_SETS = "doc_id bigint, _th bigint, key binary, n int, prefix array<bigint>"
+_SETS = "doc_id bigint, _th bigint, key binary, n int, prefix array<bigint>, parts array<tinyint>"
+
+
+def _part_sizes(grams: np.ndarray, parts: int) -> np.ndarray:
+    """Sizes beyond 127 stay 127: their differences can only get smaller by that."""
+    of = (grams >> np.uint64(32)) % np.uint64(parts)
+    return np.minimum(np.bincount(of.astype(np.int64), minlength=parts), 127).astype(np.int8)
 
 
 def _prefixes(params: JaccardParams, counts) -> Callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):
-            keys, sizes, prefixes = [], [], []
+            keys, sizes, prefixes, parts = [], [], [], []
             for text in batch.column("text").to_pylist():
                 grams = shingle_set((text or "").encode(), params.shingle)
                 keys.append(hashlib.blake2b(grams.tobytes(), digest_size=16).digest())
                 sizes.append(len(grams))
                 rare_first = np.argsort(counts.value[_counter_of(grams, params)], kind="stable")
                 prefixes.append(grams[rare_first[: prefix_size(len(grams), params.percent)]].view(np.int64))
+                parts.append(_part_sizes(grams, params.parts))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
@@ -110,8 +121,9 @@ def _prefixes(params: JaccardParams, counts) -> Callable:
                     pa.array(keys, pa.binary()),
                     pa.array(sizes, pa.int32()),
                     pa.array(prefixes, pa.list_(pa.int64())),
+                    pa.array(parts, pa.list_(pa.int8())),
                 ],
-                ["doc_id", "_th", "key", "n", "prefix"],
+                ["doc_id", "_th", "key", "n", "prefix", "parts"],
             )
 
     return run
@@ -120,19 +132,11 @@ def _prefixes(params: JaccardParams, counts) -> Callable:
 def _whole_sets(params: JaccardParams) -> Callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):
-            grams = [shingle_set((t or "").encode(), params.shingle) for t in batch.column("text").to_pylist()]
-            # counts beyond 127 stay 127: differences can only get smaller by that
-            parts = [
-                np.minimum(np.bincount((g >> np.uint64(32)) % np.uint64(params.parts), minlength=params.parts), 127)
-                for g in grams
+            grams = [
+                shingle_set((t or "").encode(), params.shingle).view(np.int64) for t in batch.column("text").to_pylist()
             ]
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("key"),
-                    pa.array([g.view(np.int64) for g in grams], pa.list_(pa.int64())),
-                    pa.array([p.astype(np.int8) for p in parts], pa.list_(pa.int8())),
-                ],
-                ["key", "grams", "parts"],
+                [batch.column("key"), pa.array(grams, pa.list_(pa.int64()))], ["key", "grams"]
             )
 
     return run
@@ -168,8 +172,13 @@ def _pairs(x: DataFrame, y: DataFrame, on: list[str], params: JaccardParams, ord
     return met.select(F.least("x.key", "y.key").alias("u"), F.greatest("x.key", "y.key").alias("v")).distinct()
 
 
-def _verified(pairs: DataFrame, whole: DataFrame, params: JaccardParams) -> DataFrame:
-    """The pairs whose whole sets are similar."""
+def _verified(pairs: DataFrame, leads: DataFrame, docs: DataFrame, params: JaccardParams) -> DataFrame:
+    """The pairs whose whole sets are similar. Sets are made anew from the texts of those documents that are in
+    a pair, so that no table of all sets is needed."""
+    ends = pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct()
+    wanted = write_and_read(leads.join(ends, "key", "left_semi").select("key", "lead.doc_id", "lead._th"), "wanted")
+    texts = docs.join(wanted, same_row(docs, wanted)).select("key", "text").dropDuplicates(["key"])
+    whole = write_and_read(texts.mapInArrow(_whole_sets(params), "key binary, grams array<bigint>"), "whole")
     a = whole.select(F.col("key").alias("u"), F.col("grams").alias("a"))
     b = whole.select(F.col("key").alias("v"), F.col("grams").alias("b"))
     fetched = pairs.join(a, "u").join(b, "v")
@@ -206,9 +215,9 @@ def _rest(members: DataFrame, params: JaccardParams) -> tuple[DataFrame, DataFra
     return others.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))), every
 
 
-def similar_sets(sets: DataFrame, docs: DataFrame, params: JaccardParams) -> DataFrame:
+def similar_sets(sets: DataFrame, docs: DataFrame, params: JaccardParams) -> DataFrame | None:
     """links(u, v) between keys of different sets that connect what linking all similar sets would
-    connect.
+    connect; None where no pair passes the filters.
 
     Each n-gram's sets meet one of them first, and what turns out similar is joined into groups.
     In later rounds only sets of different groups meet: in random cells, small and then larger, and
@@ -216,19 +225,13 @@ def similar_sets(sets: DataFrame, docs: DataFrame, params: JaccardParams) -> Dat
     every similar pair is either compared or already connected, and a large group of near copies
     costs a few comparisons per copy instead of one per pair. No pair is compared twice.
     """
-    one = sets.where("n > 0").groupBy("key").agg(
-        F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.min(F.struct("doc_id", "_th")).alias("lead")
-    )
+    firsts = [F.first(c).alias(c) for c in ("n", "prefix", "parts")]
+    one = sets.where("n > 0").groupBy("key").agg(*firsts, F.min(F.struct("doc_id", "_th")).alias("lead"))
     one = write_and_read(one, "sets-once")
-    rows = write_and_read(one.select("key", "n", F.posexplode("prefix").alias("pos", "gram")), "prefixes")
-    often = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    met = write_and_read(rows.join(write_and_read(often, "often"), "gram"), "met")
-    wanted = one.join(met.select("key").distinct(), "key", "left_semi").select("key", "lead.doc_id", "lead._th")
-    texts = docs.join(wanted, same_row(docs, wanted)).select("key", "text").dropDuplicates(["key"])
-    whole = write_and_read(
-        texts.mapInArrow(_whole_sets(params), "key binary, grams array<bigint>, parts array<tinyint>"), "whole"
-    )
-    members = write_and_read(met.join(whole.select("key", "parts"), "key"), "members")
+    rows = write_and_read(one.select("key", F.posexplode("prefix").alias("pos", "gram")), "prefixes")
+    often = write_and_read(rows.groupBy("gram").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "often")
+    met = write_and_read(rows.join(often, "gram"), "met")
+    members = write_and_read(met.join(one.select("key", "n", "parts"), "key"), "members")
     links = tried = None
     for size in (2, *params.cells, None):
         now = write_and_read(_grouped(members, links), "grouped")
@@ -244,9 +247,10 @@ def similar_sets(sets: DataFrame, docs: DataFrame, params: JaccardParams) -> Dat
         if tried is not None:
             pairs = pairs.join(tried, ["u", "v"], "left_anti")
         pairs = write_and_read(pairs, "pairs")
-        found = write_and_read(_verified(pairs, whole, params), "links")
-        links = found if links is None else links.union(found)
-        tried = pairs if tried is None else tried.union(pairs)
+        if not pairs.isEmpty():
+            found = write_and_read(_verified(pairs, one, docs, params), "links")
+            links = found if links is None else links.union(found)
+            tried = pairs if tried is None else tried.union(pairs)
         if size is not None:
             members = members.where(F.col("m") > size)  # smaller ones have met completely
             if members.isEmpty():
@@ -267,11 +271,8 @@ def jaccard_groups(documents: DataFrame, params: JaccardParams = JaccardParams()
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", text_hash().alias("_th"))
     counts = docs.sparkSession.sparkContext.broadcast(gram_counts(docs, params))
     sets = write_and_read(docs.mapInArrow(_prefixes(params, counts), _SETS), "sets")
-    linked = components(similar_sets(sets, docs, params))
     leads = sets.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("lead"))
-    rooted = leads.join(linked.withColumnRenamed("node", "key"), "key", "left").select(
-        "key", "lead", F.coalesce("root", "key").alias("root")
-    )
+    rooted = _grouped(leads, similar_sets(sets, docs, params)).withColumnRenamed("group", "root")
     rooted = write_and_read(rooted, "rooted")
     least = rooted.groupBy("root").agg(F.min("lead").alias("component_id"))
     named = write_and_read(rooted.join(write_and_read(least, "least"), "root").select("key", "component_id"), "named")

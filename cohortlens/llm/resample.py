@@ -170,10 +170,20 @@ def _word_counting(params: ResampleParams) -> Callable:
 
 
 def frequent_words(texts: DataFrame, params: ResampleParams) -> list[str]:
-    """The ``dictionary`` most frequent words of ``texts(text)``, counted over all of them."""
+    """The most frequent words of ``texts(text)``, counted over all of them: as many of the fine classes of
+    equal frequency, from the top, as have at most ``dictionary`` words together."""
     counted = texts.mapInArrow(_word_counting(params), "word string, n bigint").where("word <> ''")
-    ranked = counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word")
-    return [r["word"] for r in ranked.select("word").limit(params.dictionary).collect()]  # bounded by two parameters
+    level = F.floor(F.log2("n") * 32).alias("level")  # at most 32 * 63 levels
+    words = write_and_read(counted.groupBy("word").agg(F.sum("n").alias("n")).select("word", level), "words")
+    sizes = words.groupBy("level").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("level")).collect()
+    lowest, room = math.inf, params.dictionary
+    for level, n in sizes:
+        room -= n
+        if room < 0:
+            break
+        lowest = level
+    wanted = words.where(F.col("level") >= F.lit(lowest))  # bounded by two parameters
+    return [r["word"] for r in wanted.select("word").collect()]
 
 
 def _bucket_counting(params: ResampleParams, shared) -> Callable:
