@@ -62,37 +62,67 @@ def count_sketch_build(rows: DataFrame, params: SketchParams) -> DataFrame:
     return sums.select(*_unpacked(params), "c")
 
 
+# Counters of a cell layer are packed in blocks of so many neighbouring addresses.
+BLOCK = 20
+# The items of layer 0 are dealt to so many parts of their cell, those of every deeper layer, which holds
+# half as many, to half as many.
+PARTS = 16
+
+
+def _cell_layer(params: SketchParams) -> Column:
+    cell = F.col("d").cast("bigint") * F.lit(params.w) + F.col("w")
+    return cell * F.lit(params.levels) + F.col("layer")
+
+
+def _parts() -> Column:
+    return F.greatest(F.call_function("shiftright", F.lit(PARTS), F.col("layer")), F.lit(1))
+
+
+def packed_counters(counters: DataFrame, params: SketchParams) -> DataFrame:
+    """(_cell, layer, _packed): the counters of a cell layer as a map from block to its counters, at most
+    rows*cols numbers. Only blocks in use are there."""
+    addr = F.col("r") * F.lit(params.cols) + F.col("pos")
+    block = F.call_function("div", addr, F.lit(BLOCK)).cast("int").alias("_block")
+    at = counters.select(
+        _cell_layer(params).alias("_cell"), "layer", block, F.pmod(addr, F.lit(BLOCK)).alias("_at"), "c"
+    )
+    places = [F.sum(F.when(F.col("_at") == i, F.col("c"))).alias(f"_p{i}") for i in range(BLOCK)]
+    blocks = at.groupBy("_cell", "layer", "_block").agg(*places)
+    entry = F.struct("_block", F.array(*[f"_p{i}" for i in range(BLOCK)]))
+    return blocks.groupBy("_cell", "layer").agg(F.map_from_entries(F.collect_list(entry)).alias("_packed"))
+
+
 def count_sketch_estimate(
     items: DataFrame, counters: DataFrame, params: SketchParams
 ) -> DataFrame:
     """Items per grid row with ``cnt``: the median of their signed counters, at least 1.
 
-    One equi-join per Count-Sketch row on the packed counter address. The items keep their own
-    row throughout, so nothing has to be grouped back; addresses spread even the items of one
-    hot cell over ``cols`` join keys, and what is still skewed is left to Spark's skew join.
-    The counters of one row, at most d*w*levels*cols, are hashed instead of sorting the items.
-    Rows are kept narrow on the way: cell and layer are read back from the first address.
+    The items cross one shuffle, by cell layer, and meet all counters of theirs there, packed. The
+    cells of hot keys are dealt to several tasks, most of them in layer 0, which holds half of all
+    items; the packed counters are a fixed size that goes to each. What is still skewed is left to Spark's
+    skew join.
     """
     rows = range(params.rows)
+    part = F.pmod(F.xxhash64("key", "value"), _parts()).cast("int")
     located = assign_cells(counter_addresses(items, params), params).select(
         *items.columns,
-        *[_packed(params, F.lit(r), F.col(f"_pos{r}")).alias(f"_addr{r}") for r in rows],
+        "d", "w", "layer",
+        _cell_layer(params).alias("_cell"),
+        part.alias("_part"),
+        *[(F.lit(r * params.cols) + F.col(f"_pos{r}")).alias(f"_addr{r}") for r in rows],
         sum(F.when(F.col(f"_sign{r}") > 0, 1 << r).otherwise(0) for r in rows).alias("_signs"),
     )
-    packed = _packed(params, F.col("r"), F.col("pos"))
-    for r in rows:
-        row = counters.where(F.col("r") == r).select(
-            packed.alias(f"_addr{r}"), F.col("c").alias(f"_c{r}")
-        )
-        located = located.join(row.hint("shuffle_hash"), f"_addr{r}", "left")
+    packed = packed_counters(counters, params)
+    each = packed.select("_cell", F.explode(F.sequence(F.lit(0), _parts() - 1)).alias("_part"), "_packed")
+    met = located.join(each.hint("shuffle_hash"), ["_cell", "_part"], "left")
     signed = []
     for r in rows:
         sign = F.lit(2) * F.shiftright("_signs", r).bitwiseAND(F.lit(1)) - F.lit(1)
-        signed.append(sign * F.coalesce(F.col(f"_c{r}"), F.lit(0).cast("bigint")))
+        block = F.call_function("div", F.col(f"_addr{r}"), F.lit(BLOCK)).cast("int")
+        counter = F.get(F.element_at("_packed", block), F.pmod(F.col(f"_addr{r}"), F.lit(BLOCK)))
+        signed.append(sign * F.coalesce(counter, F.lit(0).cast("bigint")))
     estimate = F.greatest(median_of(F.array(*signed), params.rows), F.lit(1).cast("bigint"))
-    found = located.select(*items.columns, F.col("_addr0").alias("_addr"), estimate.alias("cnt"))
-    d, w, layer = _unpacked(params)[:3]
-    return found.select(*items.columns, d, w, layer, "cnt")
+    return met.select(*items.columns, "d", "w", "layer", estimate.alias("cnt"))
 
 
 def merge_counters(*tables: DataFrame) -> DataFrame:

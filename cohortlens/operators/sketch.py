@@ -1,7 +1,7 @@
 """The sketch: heavy hitters per cell layer. Build, merge, inspect.
 
 A sketch is a bundle of tables. ``hh(d, w, layer, key, value, cnt)`` is what queries read; it
-never exceeds d*w*levels*k_kept rows.
+never exceeds d*w*levels*k_kept rows. ``cuts`` tells what it may be short of.
 """
 
 from __future__ import annotations
@@ -9,12 +9,12 @@ from __future__ import annotations
 from dataclasses import dataclass, replace
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..params import SketchParams
 from ..session import write_and_read
-from .bounded import bounded_states, tracked_items
+from .bounded import TRACKED, first_cuts, layer_totals, merge_cuts
 from .cells import cell_totals, place_items, with_tie_break
 from .counters import count_sketch_build, count_sketch_estimate, merge_counters
 from .items import count_items
@@ -33,6 +33,7 @@ class Sketch:
     counters: DataFrame | None = None
     items: DataFrame | None = None
     mode: str = "exact_counts"
+    cuts: DataFrame | None = None
 
     def materialize(self) -> Sketch:
         """The same sketch read from tables in the session's shared folder, for many queries."""
@@ -43,6 +44,7 @@ class Sketch:
             cells=write_and_read(self.cells, "cells"),
             counters=None if counters is None else write_and_read(counters, "counters"),
             items=None if self.items is None else write_and_read(self.items, "items"),
+            cuts=None if self.cuts is None else write_and_read(self.cuts, "cuts"),
         )
 
 
@@ -87,10 +89,16 @@ def _top_of_many(ranked: DataFrame, params: SketchParams, k: int) -> DataFrame:
     return topk_items(passing, ["_cell"], k, tie_break=TIE_BREAK).select(*HH_COLUMNS)
 
 
-def fullest_cell_layer(items: DataFrame, params: SketchParams) -> int:
-    """Number of distinct items in the fullest cell layer."""
-    sizes = place_items(items, params).groupBy(*CELL_LAYER).agg(F.count(F.lit(1)).alias("n"))
-    return sizes.agg(F.max("n")).first()[0] or 0
+def _cut(ranked: DataFrame, params: SketchParams, few: bool) -> tuple[DataFrame, DataFrame]:
+    """The top of every cell layer, and dropped(d, w, layer, most): the count of the heaviest item that is
+    not in it. One more than is kept is ranked, and written, as both tables come from it."""
+    k = params.k_kept + 1
+    top = top_of_cells(ranked, params, k) if few else _top_of_many(ranked, params, k)
+    top = with_tie_break(write_and_read(top.select(*HH_COLUMNS), "top"), params)
+    order = [F.col("cnt").desc(), *TIE_BREAK]
+    numbered = top.withColumn("_rn", F.row_number().over(Window.partitionBy(*CELL_LAYER).orderBy(*order)))
+    hh = numbered.where(F.col("_rn") < k).select(*HH_COLUMNS)
+    return hh, numbered.where(F.col("_rn") == k).select(*CELL_LAYER, F.col("cnt").alias("most"))
 
 
 def build_sketch(
@@ -107,38 +115,36 @@ def build_sketch(
     exact_counts  count every distinct item, then keep the top of each cell layer
     count_sketch  the same, but rank by and store Count-Sketch estimates. Items and counters
                   are written to the shared folder first, each counted once
-    bounded       one frequent-items state of fixed size (``items_tracked``) per cell layer.
-                  Equal to exact_counts as long as no cell layer has more items than that;
-                  without ``items_tracked`` the fullest cell layer is measured first, so that
-                  this always holds
+    bounded       like exact_counts, but ``items_tracked`` items of each cell layer are kept (by default
+                  ``TRACKED`` times ``k``) and what is not is accounted for in ``cuts``: merged or
+                  not, ``key_bounds`` tells between which limits the exact answers lie. Answers of a
+                  sketch that was never merged are those of exact_counts
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
     if params.layered and mode != "exact_counts":
         raise ValueError("a layered build needs exact counts")
-    counters = None
-    if mode == "bounded":
-        if items_tracked is None:
-            counted = count_items(rows) if items is None else items
-            items_tracked = max(fullest_cell_layer(counted, params), params.k_kept)
-        states = bounded_states(rows, params, items_tracked)
-        hh = top_of_cells(tracked_items(states, items_tracked), params, params.k_kept)
+    counters = cuts = None
+    items = count_items(rows) if items is None else items
+    if mode == "count_sketch":
+        items = write_and_read(items, "items")
+        counters = write_and_read(count_sketch_build(items, params), "counters")
+        ranked = count_sketch_estimate(items, counters, params)
+        hh = top_of_cells(ranked.select(*HH_COLUMNS), params, params.k_kept)
     else:
-        items = count_items(rows) if items is None else items
+        ranked = place_items(items, params, tie_break=True).withColumnRenamed("f", "cnt")
+        if params.layered:
+            ranked = ranked.withColumn("layer", F.explode(F.sequence(F.lit(0), "layer")))
         if mode == "exact_counts":
-            ranked = place_items(items, params, tie_break=True).withColumnRenamed("f", "cnt")
-            if params.layered:
-                ranked = ranked.withColumn("layer", F.explode(F.sequence(F.lit(0), "layer")))
             hh = _top_of_many(ranked, params, params.k_kept)
         else:
-            items = rows = write_and_read(items, "items")
-            counters = write_and_read(count_sketch_build(items, params), "counters")
-            ranked = count_sketch_estimate(items, counters, params)
-            hh = top_of_cells(ranked.select(*HH_COLUMNS), params, params.k_kept)
-    if keep_items and items is None:
-        items = count_items(rows)
-    kept = items if keep_items else None
-    return Sketch(params, hh, cell_totals(rows, params), counters, kept, mode)
+            tracked = items_tracked or max(TRACKED * params.k, params.k_kept)
+            if tracked < params.k_kept:
+                raise ValueError("items_tracked must not be below the number of heavy hitters kept")
+            params = replace(params, k_store=tracked)
+            hh, dropped = _cut(ranked, params, few=False)
+            cuts = first_cuts(layer_totals(items, params), dropped)
+    return Sketch(params, hh, cell_totals(items, params), counters, items if keep_items else None, mode, cuts)
 
 
 def empty_sketch(spark, params: SketchParams) -> Sketch:
@@ -156,7 +162,8 @@ def merge_sketches(*sketches: Sketch) -> Sketch:
 
     Inputs that all carry their items are merged without loss: the items are added up and the
     result is the sketch of everything. Otherwise what an input had already cut is gone, and
-    a ``k_store`` above ``k`` keeps more. Counters are kept when all inputs have them.
+    a ``k_store`` above ``k`` keeps more. Counters are kept when all inputs have them, and so are
+    cuts: bounded sketches stay bounded, and their bounds hold for the merged one.
     """
     if not sketches:
         raise ValueError("nothing to merge")
@@ -166,8 +173,8 @@ def merge_sketches(*sketches: Sketch) -> Sketch:
     if all(s.items is not None for s in sketches):
         union = reduce(DataFrame.unionByName, [s.items for s in sketches])
         every = write_and_read(count_items(union), "items")
-        mode = "count_sketch" if all(s.mode == "count_sketch" for s in sketches) else "exact_counts"
-        merged = build_sketch(every, params, mode, items=every, keep_items=True)
+        mode = sketches[0].mode if len({s.mode for s in sketches}) == 1 else "exact_counts"
+        merged = build_sketch(every, params, mode, params.k_store, items=every, keep_items=True)
         if mode == "exact_counts" and all(s.counters is not None for s in sketches):
             merged = replace(merged, counters=merge_counters(*[s.counters for s in sketches]))
         return merged
@@ -177,12 +184,19 @@ def merge_sketches(*sketches: Sketch) -> Sketch:
     counters = None
     if all(s.counters is not None for s in sketches):
         counters = merge_counters(*[s.counters for s in sketches])
+    cuts = None
+    if all(s.cuts is not None for s in sketches):
+        top, dropped = _cut(summed, params, few=True)
+        cuts = merge_cuts([s.cuts for s in sketches], dropped)
+    else:
+        top = top_of_cells(summed, params, params.k_kept)
     return Sketch(
         params,
-        top_of_cells(summed, params, params.k_kept),
+        top,
         cells.groupBy("d", "w").agg(F.sum("total_count").alias("total_count")),
         counters,
         mode=sketches[0].mode,
+        cuts=cuts,
     )
 
 

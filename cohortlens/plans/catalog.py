@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import hash_lanes, item_layer, wide_layer_hash
 from ..functions.metrics import METRICS, Metric, relative_errors_pct, shannon_entropy
 from ..functions.text import format_array, split_quoted
+from ..operators.bounded import key_bounds
 from ..operators.cells import assign_cells, cell_totals, place_items, with_layer
 from ..operators.counters import count_sketch_build, count_sketch_estimate, merge_counters
 from ..operators.estimate import cell_gsum, key_estimates, propagate, query_key, query_keys
@@ -52,6 +53,7 @@ SMALL_K = 5
 POINT_KEY = "7"
 TOP_KEYS = 10
 REPEATS = 3
+BOUNDED_ITEMS = 40
 MIN_GROUP_SIZE = 600
 MIN_PAIR_SIZE = 3
 DELAY_DAYS = 1
@@ -552,8 +554,8 @@ def report_of_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("sketch_bounded")
 def sketch_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frequent-items states as large as the fullest cell layer needs: no state overflows, and
-    the answers are those of the exact counts at any scale."""
+    """A fixed number of items per cell layer and limits for the rest: the answers of a sketch that was
+    never merged are those of the exact counts at any scale."""
     sketch = _sketch(spark, sf_dir, mode="bounded")
     return _tidy(query_keys(sketch, _supplier_keys(spark, sf_dir)))
 
@@ -607,6 +609,32 @@ def batch_window_gsum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tidy(sums.select(F.unix_seconds("window_start").alias("window_start"), "key", *METRICS))
 
 
+@_query("merged_bounds")
+def merged_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two bounded sketches merged: limits between which the exact answers of every supplier lie."""
+    bounds = key_bounds(_merged_bounded(spark, sf_dir), _supplier_keys(spark, sf_dir))
+    names = [c for c in bounds.columns if c != "key"]
+    return bounds.select("key", *[F.round(c, ENTROPY_DIGITS).alias(c) for c in names])
+
+
+@_query("bounds_hold")
+def bounds_hold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the exact sums of every key lie between the limits of a sketch that was cut and merged."""
+    exact = exact_gsum(_items(spark, sf_dir), counted=True)
+    bounds = key_bounds(_merged_bounded(spark, sf_dir), exact.select("key"))
+    slack = F.lit(1e-6)  # of sums in floating point
+    inside = [
+        F.col(m).between(F.col(f"{m}_low") * (1 - slack) - slack, F.col(f"{m}_high") * (1 + slack) + slack)
+        for m in METRICS
+    ]
+    return exact.join(bounds, "key").select("key", *[c.alias(f"{m}_inside") for c, m in zip(inside, METRICS)])
+
+
+def _merged_bounded(spark: SparkSession, sf_dir: str) -> Sketch:
+    parts = [build_sketch(h, PARAMS, "bounded", BOUNDED_ITEMS) for h in _halves(spark, sf_dir)]
+    return merge_sketches(*parts)
+
+
 @_query("stream_sketch_merge")
 def stream_sketch_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event stream in two micro-batches, merged into one stored sketch: its counters."""
@@ -620,10 +648,18 @@ def stream_sketch_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tidy(key_estimates(_streamed_sketch(spark, sf_dir, keep_items=True)))
 
 
-def _streamed_sketch(spark: SparkSession, sf_dir: str, **options: bool) -> Sketch:
+@_query("stream_sketch_log")
+def stream_sketch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stream in seven micro-batches, so that segments of several levels are merged: the answers
+    are those of one sketch of everything."""
+    sketch = _streamed_sketch(spark, sf_dir, batches=7, keep_items=True, with_counters=False, fan=2)
+    return _tidy(key_estimates(sketch))
+
+
+def _streamed_sketch(spark: SparkSession, sf_dir: str, batches: int = 2, **options) -> Sketch:
     out = new_path(spark, "stream-sketch")
     events = _table(spark, sf_dir, "events").select("user_id", "event_type", "props")
-    events.repartition(2).write.parquet(f"{out}/input")
+    events.repartition(batches).write.parquet(f"{out}/input")
     stream = (
         spark.readStream.schema(events.schema)
         .option("maxFilesPerTrigger", 1)

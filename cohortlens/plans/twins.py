@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .catalog import (
+    BOUNDED_ITEMS,
     DELAY_DAYS,
     ENTROPY_DIGITS,
     MIN_GROUP_SIZE,
@@ -233,6 +234,67 @@ parts AS (
 SELECT d, w, layer, key, value, cnt FROM hh"""
 
 
+def _bounds() -> str:
+    m = BOUNDED_ITEMS
+    halves = LINEITEM_ITEMS.replace("count(*) AS f", "l_orderkey % 2 AS part, count(*) AS f").replace(
+        "GROUP BY 1, 2", "GROUP BY 1, 2, 3"
+    )
+    hashed = HASHED.replace("SELECT key, value, f, hk,", "SELECT part, key, value, f, hk,")
+    placed = PLACED.replace("SELECT key, value, f,", "SELECT part, key, value, f,")
+    g = {"entropy": "cnt * log2(cnt)", "l2": "cnt * cnt", "l1": "cnt", "card": "1"}
+    top = "(coalesce(heaviest, 0) + short)"
+    on_kept = "short > 0 AND heaviest IS NOT NULL"
+    more = {
+        "entropy": f"missing * greatest(log2(greatest(cut, 1)), "
+        f"CASE WHEN {on_kept} THEN log2({top}) + 1 / ln(2) ELSE 0 END)",
+        "l2": f"missing * greatest(cut, CASE WHEN {on_kept} THEN 2 * {top} ELSE 0 END)",
+        "l1": "missing",
+        "card": "missing",
+    }
+    low, high = (
+        ", ".join(f"sum(coalesce(g_{x}, 0){plus(x)}) AS {x}_{side}" for x in METRICS)
+        for side, plus in (("low", lambda x: ""), ("high", lambda x: f" + {more[x]}"))
+    )
+    best = ", ".join(
+        f"round(CAST(max({x}_low) AS DOUBLE), {ENTROPY_DIGITS}) AS {x}_low, "
+        f"round(CAST(CASE WHEN count(*) = {P.d} THEN min({x}_high) ELSE 0 END AS DOUBLE), {ENTROPY_DIGITS}) AS {x}_high"
+        for x in METRICS
+    )
+    cols = ", ".join(
+        f"coalesce({x}_{side}, CAST(0 AS DOUBLE)) AS {x}_{side}" for x in METRICS for side in ("low", "high")
+    )
+    return f"""WITH {halves},{hashed},{placed},
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY part, d, w, layer ORDER BY f DESC, tie, key, value) AS rn
+  FROM placed),
+part_cuts AS (
+  SELECT part, d, w, layer, sum(f) AS total, coalesce(max(f) FILTER (rn = {m + 1}), 0) AS cut
+  FROM ranked GROUP BY ALL),
+summed AS (
+  SELECT d, w, layer, key, value, tie, sum(f) AS cnt FROM ranked WHERE rn <= {m} GROUP BY ALL),
+again AS (
+  SELECT *, row_number() OVER (PARTITION BY d, w, layer ORDER BY cnt DESC, tie, key, value) AS rn FROM summed),
+dropped AS (SELECT d, w, layer, cnt AS most FROM again WHERE rn = {m + 1}),
+hh AS (SELECT * FROM again WHERE rn <= {m}),
+held AS (SELECT d, w, layer, sum(cnt) AS held FROM hh GROUP BY ALL),
+totals AS (SELECT d, w, layer, sum(total) AS total, sum(cut) AS short FROM part_cuts GROUP BY ALL),
+slack AS (
+  SELECT d, w, layer, CAST(total - coalesce(held, 0) AS DOUBLE) AS missing, CAST(short AS DOUBLE) AS short,
+    CAST(short + coalesce(most, 0) AS DOUBLE) AS cut
+  FROM totals LEFT JOIN held USING (d, w, layer) LEFT JOIN dropped USING (d, w, layer)),
+kept AS (
+  SELECT key, d, w, layer, {", ".join(f"CAST(sum({e}) AS DOUBLE) AS g_{x}" for x, e in g.items())},
+    CAST(max(cnt) AS DOUBLE) AS heaviest
+  FROM hh GROUP BY key, d, w, layer),
+hashed_keys AS (SELECT CAST(s_suppkey AS VARCHAR) AS key, md5('cell|' || s_suppkey) AS hk FROM supplier),
+wanted AS (SELECT key, CAST(d AS INTEGER) AS d, {_cell("hk")} AS w FROM hashed_keys, {GRID}),
+grid_rows AS (
+  SELECT key, d, {low}, {high}
+  FROM wanted JOIN slack USING (d, w) LEFT JOIN kept USING (key, d, w, layer) GROUP BY key, d),
+best AS (SELECT key, {best} FROM grid_rows GROUP BY key)
+SELECT key, {cols} FROM hashed_keys LEFT JOIN best USING (key)"""
+
+
 def _gsum(groups: str) -> str:
     return (
         f"WITH {SKETCH}, sums AS (SELECT {groups}, {_sums('cnt', WEIGHT)} FROM assigned "
@@ -415,6 +477,12 @@ SQL: dict[str, str] = {
       SELECT CAST(epoch(day) AS BIGINT) AS window_start, key,
         round(entropy, {ENTROPY_DIGITS}) AS entropy, l2, l1, card
       FROM (SELECT day, key, {_sums()} FROM items GROUP BY day, key)""",
+    "merged_bounds": _bounds(),
+    "bounds_hold": f"""SELECT DISTINCT CAST(l_suppkey AS VARCHAR) AS key,
+      {", ".join(f"true AS {m}_inside" for m in METRICS)} FROM lineitem""",
+    "stream_sketch_log": _answers(
+        "median", HELD_KEYS, ",".join([EVENT_ITEMS, HASHED, PLACED, HH, ASSIGNED])
+    ),
     "stream_sketch_merge": _counters(EVENT_ITEMS),
     "stream_sketch_answers": _answers(
         "median", HELD_KEYS, ",".join([EVENT_ITEMS, HASHED, PLACED, HH, ASSIGNED])

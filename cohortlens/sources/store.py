@@ -3,101 +3,169 @@
 from __future__ import annotations
 
 import uuid
-from dataclasses import replace
+from collections.abc import Iterator
+from contextlib import contextmanager
+from dataclasses import asdict, replace
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import format_line
 from ..operators.sketch import Sketch
-from ..params import PARAMS_SCHEMA, SketchParams
+from ..params import SketchParams
+from . import files
 
 # Neighbouring cells are stored together: at least so many stretches of cells per grid row, and
 # more where a stretch could hold more rows than a file should.
 MIN_W_BLOCKS = 64
 ROWS_PER_FILE = 1_000_000
 
+# The tables a sketch may have, as they are stored. ``hh`` is split by grid row.
+STORED = {
+    "hh": "w int, layer int, key string, value string, cnt bigint, d int",
+    "cells": "d int, w int, total_count bigint",
+    "counters": "d int, w int, layer int, r int, pos int, c bigint",
+    "items": "key string, value string, f bigint",
+    "cuts": "d int, w int, layer int, total_count bigint, short bigint, cut bigint",
+}
+
+
+class SaveConflict(RuntimeError):
+    """Another writer saved to the same path meanwhile; what it saved stands."""
+
 
 def _cells_per_block(params: SketchParams) -> int:
     fitting = max(1, ROWS_PER_FILE // (params.levels * params.k_kept))
     return min(-(-params.w // MIN_W_BLOCKS), fitting)
 
 
-def _saved(spark: SparkSession, path: str) -> tuple[int, str | None]:
-    """Number and folder of the latest complete save, (0, None) if there is none."""
-    try:
-        pointers = spark.read.schema("number bigint, version string").parquet(f"{path}/current")
-        last = pointers.orderBy(F.col("number").desc(), "version").first()
-    except AnalysisException:
-        last = None
-    return (last["number"], f"{path}/versions/{last['version']}") if last else (0, None)
+def write_tables(tables: dict[str, DataFrame], params: SketchParams, folder: str) -> None:
+    """Write some of the ``STORED`` tables to a new folder. ``hh`` is split by grid row and sorted by
+    cell, so a query for one key reads little."""
+    for name, table in tables.items():
+        if name == "hh":
+            block = F.floor(F.col("w") / F.lit(_cells_per_block(params)))
+            sorted_hh = table.repartition("d", block).sortWithinPartitions("d", "w", "layer")
+            writer = sorted_hh.write.option("maxRecordsPerFile", ROWS_PER_FILE).partitionBy("d")
+        else:
+            writer = table.write
+        writer.parquet(f"{folder}/{name}")
+
+
+def read_tables(spark: SparkSession, folder: str, has: list[str]) -> dict[str, DataFrame]:
+    """The tables of a folder; they stay on disk until a query reads the part it needs."""
+    tables = {name: spark.read.schema(STORED[name]).parquet(f"{folder}/{name}") for name in has}
+    if "hh" in tables:
+        tables["hh"] = tables["hh"].select("d", "w", "layer", "key", "value", "cnt")
+    return tables
+
+
+def tables_of(sketch: Sketch) -> dict[str, DataFrame]:
+    return {name: table for name in STORED if (table := getattr(sketch, name)) is not None}
+
+
+def _versions(spark: SparkSession, path: str) -> list[str]:
+    return files.names(spark, f"{path}/current")
+
+
+def _latest(spark: SparkSession, path: str) -> tuple[str, dict] | None:
+    """Name and content of the last complete save."""
+    for name in reversed(_versions(spark, path)):
+        if content := files.read_content(spark, f"{path}/current/{name}"):
+            return name, content
+    return None
 
 
 def save_sketch(sketch: Sketch, path: str, mode: str = "overwrite") -> None:
     """Save under ``path``, by default in place of what was saved there.
 
-    The tables (``hh``, ``cells``, ``counters`` and ``items`` if there are any, ``params``) go to a new folder;
-    then one row is added to the table of versions, and from there on the sketch is the one
-    that is loaded. A save that stops anywhere before leaves the old sketch as it was, and
-    whoever reads an older version goes on reading it: no file is ever replaced.
+    The tables (``hh``, ``cells``, and ``counters``, ``items`` and ``cuts`` if there are any) go to a
+    new folder; then one small file with the next version's number names it, and from there on it
+    is the sketch that is loaded. A save that stops anywhere before leaves the old sketch as it
+    was, and whoever reads an older version goes on reading it: no file is ever replaced.
 
-    ``hh`` is split by grid row and sorted by cell, so a query for one key reads little.
+    Of two writers that start from the same version, the one that names its folder first wins; the
+    other one's folder is removed and it gets a ``SaveConflict``, so nothing is lost unseen.
     """
     spark = sketch.hh.sparkSession
-    number, old = _saved(spark, path)
-    if old is not None and mode in ("error", "errorifexists"):
+    if mode in ("error", "errorifexists", "ignore") and has_sketch(spark, path):
+        if mode == "ignore":
+            return
         raise FileExistsError(f"{path} has a sketch")
-    if old is not None and mode == "ignore":
-        return
+    # unfinished ones count: their writer may still be at work
+    number = max((int(name) for name in _versions(spark, path)), default=0) + 1
     version = uuid.uuid4().hex
     folder = f"{path}/versions/{version}"
-    block = F.floor(F.col("w") / F.lit(_cells_per_block(sketch.params)))
-    sorted_hh = sketch.hh.repartition("d", block).sortWithinPartitions("d", "w", "layer")
-    (
-        sorted_hh.write.option("maxRecordsPerFile", ROWS_PER_FILE)
-        .partitionBy("d")
-        .parquet(f"{folder}/hh")
-    )
-    sketch.cells.write.parquet(f"{folder}/cells")
-    if sketch.counters is not None:
-        sketch.counters.write.parquet(f"{folder}/counters")
-    if sketch.items is not None:
-        sketch.items.write.parquet(f"{folder}/items")
-    has = (sketch.counters is not None, sketch.items is not None)
-    params = spark.createDataFrame(
-        [(*sketch.params.to_row(), *has, sketch.mode)],
-        PARAMS_SCHEMA + ", has_counters boolean, has_items boolean, mode string",
-    )
-    params.coalesce(1).write.parquet(f"{folder}/params")
-    pointer = spark.createDataFrame([(number + 1, version)], "number bigint, version string")
-    pointer.coalesce(1).write.mode("append").parquet(f"{path}/current")
+    tables = tables_of(sketch)
+    write_tables(tables, sketch.params, folder)
+    content = {"version": version, "params": asdict(sketch.params), "has": list(tables), "mode": sketch.mode}
+    try:
+        files.write_once(spark, f"{path}/current/{number:020d}", content)
+    except FileExistsError:
+        files.remove(spark, folder)
+        raise SaveConflict(f"{path} was saved by another writer") from None
+
+
+def _read_version(spark: SparkSession, path: str, content: dict) -> Sketch:
+    tables = read_tables(spark, f"{path}/versions/{content['version']}", content["has"])
+    return Sketch(SketchParams(**content["params"]), mode=content["mode"], **tables)
 
 
 def load_sketch(spark: SparkSession, path: str) -> Sketch:
     """A saved sketch. Its tables stay on disk until a query reads the part it needs."""
-    _, folder = _saved(spark, path)
-    if folder is None:
+    latest = _latest(spark, path)
+    if latest is None:
         raise FileNotFoundError(f"no sketch at {path}")
-    row = spark.read.parquet(f"{folder}/params").first()
-    params = SketchParams.from_row(row)
-    hh = spark.read.schema(
-        "w int, layer int, key string, value string, cnt bigint, d int"
-    ).parquet(f"{folder}/hh")
-    counters = spark.read.parquet(f"{folder}/counters") if row["has_counters"] else None
-    return Sketch(
-        params,
-        hh.select("d", "w", "layer", "key", "value", "cnt"),
-        spark.read.parquet(f"{folder}/cells"),
-        counters,
-        spark.read.parquet(f"{folder}/items") if row["has_items"] else None,
-        row["mode"],
-    )
+    return _read_version(spark, path, latest[1])
 
 
 def has_sketch(spark: SparkSession, path: str) -> bool:
     """Whether ``path`` holds a complete sketch."""
-    return _saved(spark, path)[1] is not None
+    return _latest(spark, path) is not None
+
+
+@contextmanager
+def held_sketch(spark: SparkSession, path: str) -> Iterator[Sketch]:
+    """``load_sketch`` for the length of a ``with`` block, in which the version read is not removed."""
+    while True:
+        latest = _latest(spark, path)
+        if latest is None:
+            raise FileNotFoundError(f"no sketch at {path}")
+        name, content = latest
+        hold = f"{path}/holds/{name}-{uuid.uuid4().hex}"
+        files.write_once(spark, hold, {})
+        if name in _versions(spark, path):  # not removed before the hold was there
+            break
+        files.remove(spark, hold)
+    try:
+        yield _read_version(spark, path, content)
+    finally:
+        files.remove(spark, hold)
+
+
+def remove_old_versions(
+    spark: SparkSession, path: str, keep: int = 1, hold_seconds: float = 86_400.0
+) -> list[str]:
+    """Remove all versions but the last ``keep`` and those that ``held_sketch`` holds; a hold that is
+    older than ``hold_seconds`` was left by a reader that died. Returns the numbers removed."""
+    if keep < 1:
+        raise ValueError("the last version stays")
+    complete = {
+        name: content
+        for name in _versions(spark, path)
+        if (content := files.read_content(spark, f"{path}/current/{name}"))
+    }
+    gone = []
+    for name in sorted(complete)[:-keep]:
+        marker, holds = f"{path}/current/{name}", f"{path}/holds"
+        files.remove(spark, marker)  # from here on nobody starts to read it
+        held = [h for h in files.names(spark, holds) if h.startswith(f"{name}-")]
+        if any(files.age_seconds(spark, f"{holds}/{h}") < hold_seconds for h in held):
+            files.write_once(spark, marker, complete[name])
+            continue
+        files.remove(spark, f"{path}/versions/{complete[name]['version']}")
+        gone.append(name)
+    return gone
 
 
 def without_counters(sketch: Sketch) -> Sketch:

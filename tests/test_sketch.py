@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 from dataclasses import replace
 
 import pytest
@@ -21,11 +22,12 @@ from cohortlens import (
     query_keys,
     sketch_stats,
 )
-from cohortlens.operators.bounded import bounded_states, combine_states, tracked_items
+from cohortlens.operators.bounded import key_bounds
 from cohortlens.operators.cells import cell_totals, place_items
 from cohortlens.operators.counters import count_sketch_build, count_sketch_estimate, merge_counters
 from cohortlens.operators.sketch import HH_COLUMNS, _top_of_many, top_of_cells
 from cohortlens.operators.topk import topk_items
+from cohortlens.session import write_and_read
 
 from brute import gsums, lanes, layer_of, sketch_answers
 
@@ -244,31 +246,95 @@ def test_merge_with_empty_and_with_other_parameters(spark, rows):
     assert nothing.hh.count() == 0 and key_estimates(nothing).count() == 0
 
 
-def test_bounded_states_combine(spark, pairs):
+def test_bounded_sketches_merge(spark, pairs):
     schema = "key string, value string"
-    a, b = spark.createDataFrame(pairs[::2], schema), spark.createDataFrame(pairs[1::2], schema)
-    states = combine_states(*[bounded_states(x, SMALL, 4096) for x in (a, b)], items_tracked=4096)
-    got = top_of_cells(tracked_items(states, 4096), SMALL, SMALL.k)
-    assert table(got) == table(build_sketch(spark.createDataFrame(pairs, schema), SMALL).hh)
+    parts = [build_sketch(spark.createDataFrame(pairs[i::2], schema), SMALL, "bounded", 4096) for i in (0, 1)]
+    got = merge_sketches(*parts)
+    once = build_sketch(spark.createDataFrame(pairs, schema), SMALL)
+    assert table(top_of_cells(got.hh, SMALL, SMALL.k)) == table(once.hh)
+    assert got.cuts.agg(F.max("short"), F.max("cut")).first() == (0, 0)
 
 
 def test_bounded_overflow_keeps_the_heavy(spark):
     pairs = [("a", f"big{i}") for i in range(4) for _ in range(500)] + [("a", f"s{i}") for i in range(3000)]
     rows = spark.createDataFrame(pairs, "key string, value string")
     params = SketchParams(d=1, w=1, levels=1, k=4)
-    got = {r["value"] for r in build_sketch(rows, params, "bounded", items_tracked=64).hh.collect()}
-    assert got == {f"big{i}" for i in range(4)}
+    for given in (rows, count_items(rows)):
+        sketch = build_sketch(given, params, "bounded", items_tracked=64)
+        assert sketch.hh.count() == 64 and sketch.params.k_kept == 64
+        assert {r["value"] for r in sketch.hh.where("cnt = 500").collect()} == {f"big{i}" for i in range(4)}
+        assert [tuple(r) for r in sketch.cuts.collect()] == [(0, 0, 0, 5000, 0, 1)]
     with pytest.raises(ValueError):
-        build_sketch(count_items(rows), params, "bounded", items_tracked=64)
+        build_sketch(rows, params, "bounded", items_tracked=3)
 
 
 def test_bounded_items_keep_key_and_value_apart(spark):
     pairs = [("a:b", "c"), ("a", "b:c"), ("3:x", "y"), ("世界", "é"), ("", "v"), ("k", "")]
     rows = spark.createDataFrame(pairs, "key string, value string")
-    held = tracked_items(bounded_states(rows, SMALL, 64), 64)
+    held = build_sketch(rows, SMALL, "bounded", 64).hh
     assert {(r["key"], r["value"]) for r in held.collect()} == set(pairs)
 
 
+@pytest.mark.parametrize("tree", ["flat", "chain", "pairs"])
+def test_bounds_hold_however_a_sketch_was_merged(spark, tree):
+    """Skewed keys and values in few cells, parts of uneven size, cut hard: exact sums lie inside, and
+    the error of every count within the stated bound."""
+    rng = random.Random(len(tree))
+    pairs = [(f"k{int(rng.paretovariate(0.7)) % 30}", f"v{int(rng.paretovariate(0.4)) % 900}") for _ in range(6000)]
+    params = SketchParams(d=3, w=5, levels=4, k=3)
+    cut_at = sorted(rng.sample(range(1, 6000), 5))
+    parts = [pairs[a:b] for a, b in zip([0, *cut_at], [*cut_at, 6000])]
+    schema, m = "key string, value string", 6
+    sketches = [build_sketch(spark.createDataFrame(p, schema), params, "bounded", m) for p in parts]
+    if tree == "flat":
+        merged, rounds = merge_sketches(*sketches), 1
+    elif tree == "chain":
+        merged, rounds = sketches[0], 5
+        for s in sketches[1:]:
+            merged = merge_sketches(merged, s).materialize()
+    else:
+        halves = [merge_sketches(*sketches[i : i + 2]).materialize() for i in (0, 2, 4)]
+        merged, rounds = merge_sketches(*halves), 2
+    assert merged.hh.groupBy("d", "w", "layer").count().agg(F.max("count")).first()[0] <= m
+    keys = spark.createDataFrame([(f"k{i}", i) for i in range(31)] + [("k0", -1)], "key string, tag int")
+    exact = {r["key"]: r for r in exact_gsum(spark.createDataFrame(pairs, schema)).collect()}
+    seen = key_bounds(merged, keys).collect()
+    assert len(seen) == 32
+    for r in seen:
+        for name in ("entropy", "l2", "l1", "card"):
+            real = float(exact[r["key"]][name]) if r["key"] in exact else 0.0
+            assert r[f"{name}_low"] * (1 - 1e-9) - 1e-9 <= real <= r[f"{name}_high"] * (1 + 1e-9) + 1e-9
+    for c in merged.cuts.collect():
+        assert c["short"] <= c["cut"] <= (rounds + 1) * c["total_count"] / (m + 1)
+    true = Counter(pairs)
+    held = {(r["d"], r["w"], r["layer"]): r for r in merged.cuts.collect()}
+    for r in merged.hh.collect():
+        assert 0 <= true[r["key"], r["value"]] - r["cnt"] <= held[r["d"], r["w"], r["layer"]]["short"]
+
+
+def test_bounds_are_exact_without_a_cut(rows, pairs, spark):
+    sketch = build_sketch(rows, SketchParams(d=2, w=7), "bounded", 5000)
+    keys = rows.select("key").distinct()
+    for r in key_bounds(sketch, keys).collect():
+        for name in ("entropy", "l2", "l1", "card"):
+            assert r[f"{name}_low"] == pytest.approx(r[f"{name}_high"])
+    with pytest.raises(ValueError):
+        key_bounds(build_sketch(rows, SMALL), keys)
+    nothing = build_sketch(spark.createDataFrame([], "key string, value string"), SMALL, "bounded")
+    assert key_bounds(nothing, spark.createDataFrame([("x",)], "key string")).first()["l1_high"] == 0
+
+
+def test_estimates_cross_one_shuffle(spark, rows):
+    """Items meet their counters once; hot cells are dealt to parts."""
+    items = write_and_read(count_items(rows), "items")
+    counters = write_and_read(count_sketch_build(items, SMALL), "counters")
+    found = count_sketch_estimate(items, counters, SMALL)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Join") == 1 and "_part" in plan
+    wide = build_sketch(rows, replace(SMALL, rows=5, cols=7), "count_sketch")
+    assert wide.hh.count() and wide.counters.agg(F.max("r"), F.max("pos")).first() == (4, 6)
+
+
 def test_stats_and_heavy_hitters(rows, pairs):
     sketch = build_sketch(rows, SMALL)
     stats = {r["d"]: r for r in sketch_stats(sketch).collect()}

@@ -22,6 +22,7 @@ from cohortlens import (
 from cohortlens import __main__ as cli
 from cohortlens.plans import jobs
 from cohortlens.session import new_path, settings_for, work_dir
+from cohortlens.sources import store
 from cohortlens.sources.rows import query_keys_of
 from cohortlens.sources.store import format_estimates, has_sketch
 
@@ -217,6 +218,11 @@ def test_a_save_that_stops_leaves_the_old_sketch(spark, tmp_path, monkeypatch, s
         return write(self, where, *args, **kwargs)
 
     other = build_sketch(rows.limit(20), replace(PARAMS, w=16), "count_sketch")
+    def stopped(*args):
+        raise RuntimeError("stopped")
+
+    if stop_at == "current":
+        monkeypatch.setattr(store.files, "write_once", stopped)
     monkeypatch.setattr(DataFrameWriter, "parquet", stopping)
     with pytest.raises(RuntimeError):
         save_sketch(other, path)
@@ -226,3 +232,54 @@ def test_a_save_that_stops_leaves_the_old_sketch(spark, tmp_path, monkeypatch, s
     save_sketch(other, path)
     assert query_key(load_sketch(spark, path), "k").first() != before
     assert query_key(reader, "k").first() == before
+
+
+def test_two_writers_give_one_winner_and_one_error(spark, tmp_path, monkeypatch):
+    path, rows = str(tmp_path / "sketch"), spark.range(300).selectExpr("'k' key", "cast(id as string) value")
+    first, other = build_sketch(rows, PARAMS), build_sketch(rows, replace(PARAMS, w=16), "bounded")
+    write, done = store.write_tables, []
+
+    def while_another_saves(*args):
+        write(*args)
+        if not done:
+            done.append(1)
+            save_sketch(other, path)
+
+    monkeypatch.setattr(store, "write_tables", while_another_saves)
+    with pytest.raises(store.SaveConflict):
+        save_sketch(first, path)
+    monkeypatch.undo()
+    back = load_sketch(spark, path)
+    assert back.params == other.params and back.mode == "bounded"
+    assert sorted(back.cuts.collect()) == sorted(other.cuts.collect())
+    assert len(list((tmp_path / "sketch" / "versions").iterdir())) == 1
+    save_sketch(first, path)  # later, not at the same time
+    assert load_sketch(spark, path).params == PARAMS
+    # a writer that died between its tables and the end of its marker is in nobody's way
+    (tmp_path / "sketch" / "current" / f"{3:020d}").write_text("")
+    assert load_sketch(spark, path).params == PARAMS
+    save_sketch(other, path)
+    assert load_sketch(spark, path).params == other.params
+
+
+def test_old_versions_go_when_nobody_reads_them(spark, tmp_path):
+    path, rows = str(tmp_path / "sketch"), spark.range(300).selectExpr("'k' key", "cast(id as string) value")
+    with pytest.raises(FileNotFoundError), store.held_sketch(spark, path):
+        pass
+    save_sketch(build_sketch(rows.limit(7), PARAMS), path)
+    with store.held_sketch(spark, path) as held:
+        for n in (20, 300):
+            save_sketch(build_sketch(rows.limit(n), PARAMS), path)
+        assert store.remove_old_versions(spark, path) == [f"{2:020d}"]
+        assert held.cells.agg(F.max("total_count")).first()[0] == 7
+    assert load_sketch(spark, path).cells.agg(F.max("total_count")).first()[0] == 300
+    assert store.remove_old_versions(spark, path, keep=2) == []
+    assert store.remove_old_versions(spark, path) == [f"{1:020d}"]
+    assert len(list((tmp_path / "sketch" / "versions").iterdir())) == 1
+    # holds that a dead reader left do not last
+    (tmp_path / "sketch" / "holds" / f"{3:020d}-dead").write_text("{}")
+    save_sketch(build_sketch(rows, PARAMS), path)
+    assert store.remove_old_versions(spark, path) == []
+    assert store.remove_old_versions(spark, path, hold_seconds=0) == [f"{3:020d}"]
+    with pytest.raises(ValueError):
+        store.remove_old_versions(spark, path, keep=0)
