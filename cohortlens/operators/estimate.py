@@ -12,7 +12,7 @@ from .cells import assign_cells
 from .sketch import Sketch, top_of_cells
 
 
-def propagate(hh: DataFrame, params: SketchParams) -> DataFrame:
+def propagate(hh: DataFrame, params: SketchParams, in_place: bool = False) -> DataFrame:
     """assigned(d, w, m, key, value, cnt): every surviving item with its shallowest layer.
 
     An item of layer l is a candidate in all layers 0..l; each layer keeps its top k. The item
@@ -20,9 +20,9 @@ def propagate(hh: DataFrame, params: SketchParams) -> DataFrame:
     layer, so there the candidates are the rows themselves.
 
     One shuffle by cell serves the ranking, the assignment and the sums that follow; a cell
-    holds at most levels*k_kept rows.
+    holds at most levels*k_kept rows. ``in_place`` says that the rows lie together by cell already.
     """
-    by_cell = hh.repartition("d", "w")
+    by_cell = hh if in_place else hh.repartition("d", "w")
     if params.layered:
         candidates = by_cell.withColumnRenamed("layer", "m")
     else:
@@ -53,8 +53,12 @@ def key_estimates(
     A grid row in which no item of the key survived answers 0.
     """
     resolved = resolve_metrics(metrics)
-    per_cell = cell_gsum(propagate(sketch.hh, sketch.params), resolved)
-    rows = range(sketch.params.d)
+    per_cell = cell_gsum(propagate(sketch.hh, sketch.params, sketch.bucketed), resolved)
+    return _over_grid_rows(per_cell, sketch.params, resolved, combine)
+
+
+def _over_grid_rows(per_cell: DataFrame, params: SketchParams, resolved: dict, combine: str) -> DataFrame:
+    rows = range(params.d)
     answers = per_cell.groupBy("key").agg(
         *[
             F.max(F.when(F.col("d") == i, F.col(name))).alias(f"_{name}{i}")
@@ -71,12 +75,25 @@ def key_estimates(
     )
 
 
+def _found_in_cells(sketch: Sketch, keys: DataFrame, resolved: dict, combine: str) -> DataFrame:
+    """``key_estimates`` of some keys, fetched where their cells are stored: the keys travel to the
+    cells, one row per grid row, and the sketch stays where it is. A cell's answers are a map of at
+    most levels*k_kept keys."""
+    per_cell = cell_gsum(propagate(sketch.hh, sketch.params, in_place=True), resolved)
+    entry = F.struct("key", F.struct(*resolved))
+    cells = per_cell.groupBy("d", "w").agg(F.map_from_entries(F.collect_list(entry)).alias("_answers"))
+    wanted = assign_cells(keys.select("key").distinct(), sketch.params).select("key", "d", "w")
+    met = wanted.join(cells, ["d", "w"], "left").withColumn("_own", F.element_at("_answers", F.col("key")))
+    found = met.select("key", "d", *[F.col(f"_own.{name}").alias(name) for name in resolved])
+    return _over_grid_rows(found, sketch.params, resolved, combine)
+
+
 def _keep_cells_of(sketch: Sketch, keys: DataFrame) -> Sketch:
     # By cell, never by key: in a cell the other keys compete for the places.
     params = sketch.params
     wanted = assign_cells(keys.select("key").distinct(), params).select("d", "w").distinct()
     hh = sketch.hh.join(wanted, ["d", "w"], "left_semi")
-    return Sketch(params, hh, sketch.cells)
+    return Sketch(params, hh, sketch.cells, bucketed=sketch.bucketed)
 
 
 def query_keys(
@@ -91,14 +108,17 @@ def query_keys(
 
     All columns of ``keys`` are kept, and so are repeated keys unless ``distinct``.
     ``prune_cells`` first drops the cells that no key falls in; worth it for short key lists.
-    Which side is broadcast is left to Spark, which goes by the sizes it measures.
+    A sketch stored in buckets is not shuffled: the keys go to its cells. Which side is broadcast is left to Spark, which goes by the sizes it measures.
     """
     resolved = resolve_metrics(metrics)
     if distinct:
         keys = keys.select("key").distinct()
     if prune_cells:
         sketch = _keep_cells_of(sketch, keys)
-    answers = key_estimates(sketch, resolved, combine)
+    if sketch.bucketed:
+        answers = _found_in_cells(sketch, keys, resolved, combine)
+    else:
+        answers = key_estimates(sketch, resolved, combine)
     found = keys.join(answers, "key", "left")
     return found.select(
         *keys.columns, *[F.coalesce(name, m.zero()).alias(name) for name, m in resolved.items()]

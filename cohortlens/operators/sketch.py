@@ -34,6 +34,7 @@ class Sketch:
     items: DataFrame | None = None
     mode: str = "exact_counts"
     cuts: DataFrame | None = None
+    bucketed: bool = False  # hh is stored in buckets of cells
 
     def materialize(self) -> Sketch:
         """The same sketch read from tables in the session's shared folder, for many queries."""
@@ -45,6 +46,7 @@ class Sketch:
             counters=None if counters is None else write_and_read(counters, "counters"),
             items=None if self.items is None else write_and_read(self.items, "items"),
             cuts=None if self.cuts is None else write_and_read(self.cuts, "cuts"),
+            bucketed=False,
         )
 
 

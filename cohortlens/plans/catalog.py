@@ -41,7 +41,7 @@ from ..session import new_path, write_and_read
 from ..sources.rows import query_keys_of, read_rows, repeat_rows
 from ..sources.store import format_estimates, load_sketch, save_sketch
 from ..streaming.incremental import latest_sketch, sketch_updater
-from ..streaming.windows import window_gsum
+from ..streaming.windows import sliding_gsum, window_gsum
 from . import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,6 +54,8 @@ POINT_KEY = "7"
 TOP_KEYS = 10
 REPEATS = 3
 BOUNDED_ITEMS = 40
+BUCKETS = 16
+SLIDING_DAYS = 7
 MIN_GROUP_SIZE = 600
 MIN_PAIR_SIZE = 3
 DELAY_DAYS = 1
@@ -461,6 +463,14 @@ def sketch_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tidy(query_keys(load_sketch(spark, path), _supplier_keys(spark, sf_dir)))
 
 
+@_query("bucketed_query")
+def bucketed_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sketch stored in buckets of cells; the keys go to its cells, and it is not shuffled."""
+    path = new_path(spark, "sketch")
+    save_sketch(_sketch(spark, sf_dir), path, buckets=BUCKETS)
+    return _tidy(query_keys(load_sketch(spark, path), _supplier_keys(spark, sf_dir)))
+
+
 @_query("file_job")
 def files_to_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole job on text files: lines with quoted commas in, result lines out."""
@@ -609,6 +619,20 @@ def batch_window_gsum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tidy(sums.select(F.unix_seconds("window_start").alias("window_start"), "key", *METRICS))
 
 
+def _event_rows(events: DataFrame) -> DataFrame:
+    return events.select(
+        _utc("ts").alias("ts"), F.col("user_id").cast("string").alias("key"), F.col("event_type").alias("value")
+    )
+
+
+@_query("batch_sliding_gsum")
+def batch_sliding_gsum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A week's sums for every day, from shared panes of a day."""
+    rows = _event_rows(_table(spark, sf_dir, "events"))
+    sums = sliding_gsum(rows, "ts", f"{SLIDING_DAYS} days", "1 day", f"{DELAY_DAYS} days")
+    return _tidy(sums.select(F.unix_seconds("window_start").alias("window_start"), "key", *METRICS))
+
+
 @_query("merged_bounds")
 def merged_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two bounded sketches merged: limits between which the exact answers of every supplier lie."""

@@ -11,6 +11,7 @@ from .catalog import (
     PARAMS,
     POINT_KEY,
     REPEATS,
+    SLIDING_DAYS,
     SMALL_K,
     TOP_KEYS,
     WIDE_PARAMS,
@@ -437,6 +438,7 @@ SQL: dict[str, str] = {
     ),
     "sketch_bounded": _answers("median", SUPPLIER_KEYS),
     "sketch_roundtrip": _answers("median", SUPPLIER_KEYS),
+    "bucketed_query": _answers("median", SUPPLIER_KEYS),
     "format_estimates": _answers("min", SUPPLIER_KEYS, tail=RESULT_LINES),
     "file_job": _answers(
         "min",
@@ -477,6 +479,13 @@ SQL: dict[str, str] = {
       SELECT CAST(epoch(day) AS BIGINT) AS window_start, key,
         round(entropy, {ENTROPY_DIGITS}) AS entropy, l2, l1, card
       FROM (SELECT day, key, {_sums()} FROM items GROUP BY day, key)""",
+    "batch_sliding_gsum": f"""WITH items AS (
+        SELECT date_trunc('day', ts) - to_days(CAST(back AS INTEGER)) AS day, CAST(user_id AS VARCHAR) AS key,
+          event_type AS value, count(*) AS f
+        FROM events, (SELECT unnest(range({SLIDING_DAYS})) AS back) GROUP BY 1, 2, 3)
+      SELECT CAST(epoch(day) AS BIGINT) AS window_start, key,
+        round(entropy, {ENTROPY_DIGITS}) AS entropy, l2, l1, card
+      FROM (SELECT day, key, {_sums()} FROM items GROUP BY day, key)""",
     "merged_bounds": _bounds(),
     "bounds_hold": f"""SELECT DISTINCT CAST(l_suppkey AS VARCHAR) AS key,
       {", ".join(f"true AS {m}_inside" for m in METRICS)} FROM lineitem""",

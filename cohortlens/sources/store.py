@@ -76,7 +76,31 @@ def _latest(spark: SparkSession, path: str) -> tuple[str, dict] | None:
     return None
 
 
-def save_sketch(sketch: Sketch, path: str, mode: str = "overwrite") -> None:
+_BUCKETED_BY = "CLUSTERED BY (d, w) SORTED BY (d, w, layer) INTO {} BUCKETS"
+
+
+def _bucket_table(version: str) -> str:
+    return f"cohortlens_{version}"
+
+
+def _write_buckets(hh: DataFrame, version: str, folder: str, buckets: int) -> None:
+    # one writer per bucket: shuffles deal by the same hash as buckets
+    dealt = hh.repartition(buckets, "d", "w").sortWithinPartitions("d", "w", "layer")
+    writer = dealt.write.format("parquet").bucketBy(buckets, "d", "w").sortBy("d", "w", "layer")
+    writer.option("path", f"{folder}/hh").saveAsTable(_bucket_table(version))
+
+
+def _read_buckets(spark: SparkSession, version: str, folder: str, buckets: int) -> DataFrame:
+    """The buckets as a table of the session's catalog, which is what tells Spark how they lie."""
+    columns, where = "d int, w int, layer int, key string, value string, cnt bigint", f"{folder}/hh".replace("'", "\\'")
+    spark.sql(
+        f"CREATE TABLE IF NOT EXISTS {_bucket_table(version)} ({columns}) USING parquet "
+        f"{_BUCKETED_BY.format(buckets)} LOCATION '{where}'"
+    )
+    return spark.table(_bucket_table(version))
+
+
+def save_sketch(sketch: Sketch, path: str, mode: str = "overwrite", buckets: int | None = None) -> None:
     """Save under ``path``, by default in place of what was saved there.
 
     The tables (``hh``, ``cells``, and ``counters``, ``items`` and ``cuts`` if there are any) go to a
@@ -86,6 +110,10 @@ def save_sketch(sketch: Sketch, path: str, mode: str = "overwrite") -> None:
 
     Of two writers that start from the same version, the one that names its folder first wins; the
     other one's folder is removed and it gets a ``SaveConflict``, so nothing is lost unseen.
+
+    With ``buckets`` the heavy hitters are stored in so many buckets of cells, registered as a table
+    of the session's catalog, and tables of keys are answered without shuffling them; choose as
+    many as the tasks that should read them. Without, one key is found with the least reading.
     """
     spark = sketch.hh.sparkSession
     if mode in ("error", "errorifexists", "ignore") and has_sketch(spark, path):
@@ -97,18 +125,29 @@ def save_sketch(sketch: Sketch, path: str, mode: str = "overwrite") -> None:
     version = uuid.uuid4().hex
     folder = f"{path}/versions/{version}"
     tables = tables_of(sketch)
-    write_tables(tables, sketch.params, folder)
-    content = {"version": version, "params": asdict(sketch.params), "has": list(tables), "mode": sketch.mode}
+    plain = tables if buckets is None else {name: t for name, t in tables.items() if name != "hh"}
+    write_tables(plain, sketch.params, folder)
+    if buckets is not None:
+        _write_buckets(sketch.hh.select("d", "w", "layer", "key", "value", "cnt"), version, folder, buckets)
+    content = {
+        "version": version, "params": asdict(sketch.params), "has": list(plain), "mode": sketch.mode, "buckets": buckets,
+    }
     try:
         files.write_once(spark, f"{path}/current/{number:020d}", content)
     except FileExistsError:
+        if buckets is not None:
+            spark.sql(f"DROP TABLE IF EXISTS {_bucket_table(version)}")
         files.remove(spark, folder)
         raise SaveConflict(f"{path} was saved by another writer") from None
 
 
 def _read_version(spark: SparkSession, path: str, content: dict) -> Sketch:
-    tables = read_tables(spark, f"{path}/versions/{content['version']}", content["has"])
-    return Sketch(SketchParams(**content["params"]), mode=content["mode"], **tables)
+    version, buckets = content["version"], content["buckets"]
+    folder = f"{path}/versions/{version}"
+    tables = read_tables(spark, folder, content["has"])
+    if buckets is not None:
+        tables["hh"] = _read_buckets(spark, version, folder, buckets)
+    return Sketch(SketchParams(**content["params"]), mode=content["mode"], bucketed=buckets is not None, **tables)
 
 
 def load_sketch(spark: SparkSession, path: str) -> Sketch:
@@ -163,6 +202,8 @@ def remove_old_versions(
         if any(files.age_seconds(spark, f"{holds}/{h}") < hold_seconds for h in held):
             files.write_once(spark, marker, complete[name])
             continue
+        if complete[name]["buckets"] is not None:
+            spark.sql(f"DROP TABLE IF EXISTS {_bucket_table(complete[name]['version'])}")
         files.remove(spark, f"{path}/versions/{complete[name]['version']}")
         gone.append(name)
     return gone

@@ -13,6 +13,7 @@ from cohortlens import (
     key_estimates,
     load_sketch,
     query_key,
+    query_keys,
     read_query_keys,
     read_rows,
     save_sketch,
@@ -234,6 +235,40 @@ def test_a_save_that_stops_leaves_the_old_sketch(spark, tmp_path, monkeypatch, s
     assert query_key(reader, "k").first() == before
 
 
+def test_bucketed_sketch_is_not_shuffled(spark, tmp_path):
+    rows = spark.range(3000).selectExpr("concat('k', id % 40) key", "concat('v', id % 300) value")
+    params = SketchParams(d=3, w=50, k=8)
+    path = str(tmp_path / "it's a sketch")
+    save_sketch(build_sketch(rows, params), path)
+    keys = spark.createDataFrame([(f"k{i % 45}", i) for i in range(60)], "key string, tag int")
+    want = sorted(query_keys(load_sketch(spark, path), keys).collect())
+    save_sketch(build_sketch(rows, params), path, buckets=4)
+    sketch = load_sketch(spark, path)
+    spark.sql(f"DROP TABLE {store._bucket_table(store._latest(spark, path)[1]['version'])}")  # as in another session
+    sketch = load_sketch(spark, path)
+    assert sorted(query_keys(sketch, keys).collect()) == want
+    assert sorted(query_keys(sketch, keys, prune_cells=True).collect()) == want
+    assert query_key(sketch, "k7", combine="median").first()["l1"] == next(r["l1"] for r in want if r["key"] == "k7")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = query_keys(sketch, keys)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    above = plan.splitlines()
+    scan = next(i for i, line in enumerate(above) if "FileScan" in line)
+    depth = [len(line) - len(line.lstrip(" :+-*()0123456789")) for line in above]
+    ancestors, level = [], depth[scan]
+    for i in range(scan, -1, -1):
+        if depth[i] < level:
+            ancestors.append(above[i])
+            level = depth[i]
+    join = next(i for i, line in enumerate(ancestors) if "SortMergeJoin" in line)
+    assert "Bucketed: true" in above[scan] and not any("Exchange" in line for line in ancestors[:join])
+    save_sketch(build_sketch(rows, params), path)
+    assert len(store.remove_old_versions(spark, path)) == 2
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("cohortlens_")]
+
+
 def test_two_writers_give_one_winner_and_one_error(spark, tmp_path, monkeypatch):
     path, rows = str(tmp_path / "sketch"), spark.range(300).selectExpr("'k' key", "cast(id as string) value")
     first, other = build_sketch(rows, PARAMS), build_sketch(rows, replace(PARAMS, w=16), "bounded")

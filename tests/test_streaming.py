@@ -9,7 +9,7 @@ from cohortlens.session import new_path, write_and_read
 from cohortlens.sources import files
 from cohortlens.streaming import incremental
 from cohortlens.streaming.incremental import _cover, _logged, latest_sketch, remove_merged, sketch_updater
-from cohortlens.streaming.windows import window_gsum
+from cohortlens.streaming.windows import sliding_gsum, window_gsum
 
 PARAMS = SketchParams(w=8, k=20, k_store=5000)
 
@@ -62,6 +62,26 @@ def test_closed_windows_equal_batch(spark, events):
     )
 
 
+def test_sliding_windows_of_a_stream_equal_batch(spark, events):
+    out = new_path(spark, "windows")
+    query = (
+        sliding_gsum(stream_of(spark, events, 3), "ts", "3 days", "1 day", "2 hours")
+        .writeStream.outputMode("append")
+        .option("checkpointLocation", f"{out}/progress")
+        .trigger(availableNow=True)
+        .start(f"{out}/table", format="parquet")
+    )
+    query.awaitTermination()
+    got = spark.read.parquet(f"{out}/table")
+    end = events.agg(F.max("ts") - F.expr("interval 2 hours")).first()[0]
+    batch = sliding_gsum(events, "ts", "3 days", "1 day", "2 hours")
+    rounded = lambda df: table(df.withColumn("entropy", F.round("entropy", 6)))
+    assert rounded(got) == rounded(batch.where(F.col("window_end") <= F.lit(end)))
+    plain = events.withColumn("w", F.window("ts", "3 days", "1 day"))
+    one = plain.groupBy("w", "key").agg(F.count("value").alias("l1"), F.countDistinct("value").alias("card"))
+    assert table(one.select("w.start", "key", "l1", "card")) == table(batch.select("window_start", "key", "l1", "card"))
+
+
 def test_stream_sketch_equals_one_shot(spark, events):
     out = new_path(spark, "stream")
     rows = stream_of(spark, events, 3).select("key", "value")
