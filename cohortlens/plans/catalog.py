@@ -27,6 +27,7 @@ from ..operators.items import (
     restrict_to_keys,
     to_items,
 )
+from ..operators.lattice import cube_errors, cube_estimates
 from ..operators.sketch import (
     Sketch,
     build_sketch,
@@ -49,6 +50,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 # md5 lanes, so that any SQL engine can check the sketch.
 PARAMS = SketchParams(d=3, w=64, levels=15, k=30, rows=3, cols=400, algo="md5")
 WIDE_PARAMS = SketchParams(d=3, w=1_000_000, levels=25, k=30, algo="md5")
+CUBE_PARAMS = SketchParams(levels=15, k=30, k_store=120, algo="md5")
+CUBE_DIMS = ["l_returnflag", "l_linestatus"]
 SMALL_K = 5
 POINT_KEY = "7"
 TOP_KEYS = 10
@@ -555,6 +558,25 @@ def errors_of_grid_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return errors.select("key", *each)
 
 
+def _cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cube_estimates(_table(spark, sf_dir, "lineitem"), CUBE_DIMS, ["l_partkey"], CUBE_PARAMS)
+
+
+@_query("cube_estimates")
+def estimates_of_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every combination of dimensions from the sketches of the finest groups."""
+    return _tidy(_cube(spark, sf_dir))
+
+
+@_query("cube_errors")
+def errors_of_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far they are from the exact sums."""
+    exact = exact_gsum_cube(_table(spark, sf_dir, "lineitem"), CUBE_DIMS, ["l_partkey"])
+    report = cube_errors(exact, _cube(spark, sf_dir), CUBE_DIMS)
+    errors = [F.round(c, ENTROPY_DIGITS).alias(c) for c in ("mean_err", "max_err")]
+    return report.select("grouping_id", "metric", "n_groups", *errors)
+
+
 @_query("accuracy_report")
 def report_of_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     report = accuracy_report(*_exact_and_estimated(spark, sf_dir))

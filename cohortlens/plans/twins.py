@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from .catalog import (
     BOUNDED_ITEMS,
+    CUBE_DIMS,
+    CUBE_PARAMS,
     DELAY_DAYS,
     ENTROPY_DIGITS,
     MIN_GROUP_SIZE,
@@ -296,6 +298,52 @@ best AS (SELECT key, {best} FROM grid_rows GROUP BY key)
 SELECT key, {cols} FROM hashed_keys LEFT JOIN best USING (key)"""
 
 
+def _cube() -> str:
+    dims, p = ", ".join(CUBE_DIMS), CUBE_PARAMS
+
+    def top(name: str, source: str, groups: str, k: int) -> str:
+        return f"""{name} AS (
+  SELECT * EXCLUDE (rn) FROM (
+    SELECT *, row_number() OVER (PARTITION BY {groups} ORDER BY cnt DESC, tie, value) AS rn FROM {source})
+  WHERE rn <= {k})"""
+
+    return f"""
+items AS (
+  SELECT {dims}, CAST(l_partkey AS VARCHAR) AS value, count(*) AS cnt FROM lineitem GROUP BY ALL),
+hashed AS (SELECT *, md5('value|' || value) AS hv FROM items),
+placed AS (
+  SELECT {dims}, value, cnt, {_layer(_lane("hv", 3), p.levels)} AS layer,
+    (CAST({_lane("hv", 0)} AS BIGINT) << 16) | {_lane("hv", 1)} AS tie FROM hashed),
+{top("finest", "placed", f"{dims}, layer", p.k_kept)},
+summed AS (
+  SELECT {dims}, grouping_id({dims}) AS grouping_id, layer, value, tie, CAST(sum(cnt) AS BIGINT) AS cnt
+  FROM finest GROUP BY layer, value, tie, CUBE ({dims})),
+{top("merged", "summed", f"grouping_id, {dims}, layer", p.k)},
+cand AS (SELECT merged.*, m FROM merged, (SELECT unnest(range({p.levels})) AS m) WHERE m <= layer),
+{top("kept", "cand", f"grouping_id, {dims}, m", p.k)},
+assigned AS (
+  SELECT grouping_id, {dims}, value, min(m) AS m, max(cnt) AS cnt FROM kept GROUP BY grouping_id, {dims}, value),
+estimates AS (SELECT grouping_id, {dims}, {_sums("cnt", WEIGHT)} FROM assigned GROUP BY grouping_id, {dims})"""
+
+
+def _cube_errors() -> str:
+    dims = ", ".join(CUBE_DIMS)
+    same = " AND ".join(f"a.{c} IS NOT DISTINCT FROM e.{c}" for c in ["grouping_id", *CUBE_DIMS])
+    parts = " UNION ALL ".join(
+        f"""SELECT e.grouping_id, '{m}' AS metric, count(*) AS n_groups,
+          round(avg(abs(CAST(e.{m} AS DOUBLE) - coalesce(a.{m}, 0)) / e.{m} * 100), {ENTROPY_DIGITS}) AS mean_err,
+          round(max(abs(CAST(e.{m} AS DOUBLE) - coalesce(a.{m}, 0)) / e.{m} * 100), {ENTROPY_DIGITS}) AS max_err
+        FROM exact e LEFT JOIN estimates a ON {same} GROUP BY e.grouping_id"""
+        for m in METRICS
+    )
+    return f"""WITH {_cube()},
+counts AS (
+  SELECT {dims}, l_partkey, grouping_id({dims}) AS grouping_id, count(*) AS f
+  FROM lineitem GROUP BY l_partkey, CUBE ({dims})),
+exact AS (SELECT grouping_id, {dims}, {_sums()} FROM counts GROUP BY grouping_id, {dims})
+{parts}"""
+
+
 def _gsum(groups: str) -> str:
     return (
         f"WITH {SKETCH}, sums AS (SELECT {groups}, {_sums('cnt', WEIGHT)} FROM assigned "
@@ -465,6 +513,10 @@ SQL: dict[str, str] = {
         f"ELSE abs(any_value(n) - max(l1) FILTER (d = {d})) / any_value(n) * 100 END, 4) AS err{d}"
         for d in range(P.d)
       )} FROM found GROUP BY key""",
+    "cube_estimates": f"""WITH {_cube()}
+      SELECT grouping_id, {", ".join(CUBE_DIMS)}, round(entropy, {ENTROPY_DIGITS}) AS entropy, l2, l1, card
+      FROM estimates""",
+    "cube_errors": _cube_errors(),
     "accuracy_report": f"WITH {SKETCH},{PER_CELL},{HELD_KEYS},{_combined('median')},{_report()}",
     "stream_window_gsum": f"""WITH items AS (
         SELECT date_trunc('day', ts) AS day, CAST(user_id AS VARCHAR) AS key, event_type AS value,
