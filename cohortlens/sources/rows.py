@@ -12,19 +12,36 @@ from ..functions.text import make_key, split_quoted
 
 
 _MIN_SPLITS_CONF = "spark.sql.files.minPartitionNum"
+_OPEN_COST_CONF = "spark.sql.files.openCostInBytes"
+# Text in these codecs is read from its start to its end.
+_WHOLE_FILES = (".gz", ".zst", ".lz4", ".snappy", ".deflate", ".xz")
+
+
+def _session_with(spark: SparkSession, settings: dict[str, str]) -> SparkSession:
+    """A session like ``spark`` but for some settings; ``spark`` itself stays as it is."""
+    own = spark.newSession()
+    for name, value in {**spark.conf.getAll, **settings}.items():
+        if own.conf.get(name, None) != value:
+            own.conf.set(name, value)
+    return own
+
+
+def _reader_session(spark: SparkSession, min_partitions: int | None) -> SparkSession:
+    """The session to read with: one that cuts files into at least so many splits where they are read."""
+    if min_partitions is None:
+        return spark
+    # Splits are as large as their share of the input, however small: nothing is added per file.
+    return _session_with(spark, {_MIN_SPLITS_CONF: str(min_partitions), _OPEN_COST_CONF: "1"})
 
 
 def _at_least(df: DataFrame, min_partitions: int | None) -> DataFrame:
-    """``df``, a scan, in at least so many partitions. The session's wish for splits is raised to
-    that, so that files are cut smaller where they are read; it stays raised for later reads.
-    Only what a reader will not cut any more, a few MB a split or a compressed file, is dealt
-    out anew."""
+    """``df``, a scan by a session that cuts files. Only if they are too few and can't be cut, its rows
+    are dealt out anew."""
     if min_partitions is None:
         return df
-    spark = df.sparkSession
-    if int(spark.conf.get(_MIN_SPLITS_CONF, None) or 0) < min_partitions:
-        spark.conf.set(_MIN_SPLITS_CONF, str(min_partitions))
-    return df.repartition(min_partitions) if df.rdd.getNumPartitions() < min_partitions else df
+    found = df.inputFiles()
+    whole = len(found) < min_partitions and any(f.endswith(_WHOLE_FILES) for f in found)
+    return df.repartition(min_partitions) if whole else df
 
 
 def read_rows(
@@ -43,6 +60,7 @@ def read_rows(
     (``csv``, ``parquet``, ``orc``, ``json``, ...), with its options.
     """
     paths = ([paths] if isinstance(paths, str) else list(paths)) * repeat
+    spark = _reader_session(spark, min_partitions)
     if fmt == "lines":
         df = spark.read.text(paths).select(split_quoted(F.col("value")).alias("fields"))
     else:
@@ -73,7 +91,7 @@ def read_query_keys(
     ``quoted`` lets quotes protect commas. ``min_group_size`` keeps keys whose group size, given
     in field ``group_size_field``, is at least that.
     """
-    lines = spark.read.text(path)
+    lines = _reader_session(spark, min_partitions).read.text(path)
     split = split_quoted(F.col("value")) if quoted else F.split("value", ",", -1)
     fields = lines.select(split.alias("fields"))
     if min_group_size is not None:

@@ -173,17 +173,20 @@ def test_min_partitions_is_a_floor(spark, files):
 def test_splits_are_cut_where_files_are_read(spark, tmp_path):
     path = tmp_path / "long.csv"
     path.write_text("".join(f"{i},{'x' * 90}\n" for i in range(400_000)))
-    before = spark.conf.get("spark.sql.files.minPartitionNum", None)
-    try:
-        rows = read_rows(spark, str(path), min_partitions=9)
-        assert rows.rdd.getNumPartitions() >= 9
-        assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
-        assert rows.count() == 400_000
-    finally:
-        if before is None:
-            spark.conf.unset("spark.sql.files.minPartitionNum")
-        else:
-            spark.conf.set("spark.sql.files.minPartitionNum", before)
+    before = dict(spark.conf.getAll)
+    rows = read_rows(spark, str(path), min_partitions=9)
+    assert rows.rdd.getNumPartitions() >= 9
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert rows.count() == 400_000
+    assert spark.conf.getAll == before  # nothing of it stays
+    assert read_rows(spark, str(path)).rdd.getNumPartitions() < 100
+    # rows of both kinds of read can meet
+    both = rows.unionByName(read_rows(spark, str(path))).groupBy("fields").count()
+    assert both.where("count <> 2").isEmpty()
+    # a file that can't be cut
+    rows.select(F.array_join("fields", ",")).coalesce(1).write.option("compression", "gzip").text(str(tmp_path / "gz"))
+    packed = read_rows(spark, str(tmp_path / "gz"), min_partitions=4)
+    assert packed.rdd.getNumPartitions() == 4 and packed.count() == 400_000
 
 
 @pytest.mark.parametrize("mode", ["exact_counts", "count_sketch"])
