@@ -372,8 +372,10 @@ def repeated_spans(documents: DataFrame, params: SuffixParams = SuffixParams())
     """
     docs = texts(documents).withColumn("doc_id", F.col("doc_id").cast("bigint"))
     sampled = write_and_read(docs.mapInArrow(_sampling(params), _SAMPLE), "suffixes")
+    # What is counted per head is written before it is joined: the join then has a shuffle of its own on
+    # either side and can split a head that very many suffixes have.
     often = sampled.groupBy("head").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("head")
-    met = write_and_read(sampled.join(often, "head"), "met")
+    met = write_and_read(sampled.join(write_and_read(often, "often"), "head"), "met")
     rep = F.min(F.struct("doc_id", "_th", "at", "least", "most"))
     classes = write_and_read(
         met.groupBy("head", "around").agg(F.count(F.lit(1)).alias("n"), rep.alias("rep")), "classes"
@@ -381,7 +383,7 @@ def repeated_spans(documents: DataFrame, params: SuffixParams = SuffixParams())
     whole = classes.where("n > 1").select(
         "head", "around", F.array(F.struct(F.col("rep.least").alias("lo"), F.col("rep.most").alias("hi"))).alias("ranges")
     )
-    mixed = classes.groupBy("head").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    mixed = write_and_read(classes.groupBy("head").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "mixed")
     wanted = (
         classes.join(mixed, "head")
         .groupBy("rep.doc_id", "rep._th")
@@ -401,6 +403,7 @@ def repeated_spans(documents: DataFrame, params: SuffixParams = SuffixParams())
         many.mapInArrow(_windows(params), "head bigint, around bigint, lo int, window binary"), "strings"
     )
     twice = strings.groupBy("head", "lo", "window").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    twice = write_and_read(twice.select("head", "lo", "window"), "twice")
     counted = strings.join(twice, ["head", "lo", "window"]).select("head", "around", "lo", F.col("lo").alias("hi"))
     ranges = (
         compared.union(counted)
