@@ -136,51 +136,62 @@ def _whole_sets(params: JaccardParams) -> Callable:
                 shingle_set((t or "").encode(), params.shingle).view(np.int64) for t in batch.column("text").to_pylist()
             ]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("key"), pa.array(grams, pa.list_(pa.int64()))], ["key", "grams"]
+                [batch.column("id"), pa.array(grams, pa.list_(pa.int64()))], ["id", "grams"]
             )
 
     return run
 
 
 def _may_be_similar(params: JaccardParams) -> Column:
-    """Length, positional and suffix filter for rows x and y that meet at one n-gram.
+    """Length and positional filter for rows x and y that meet at one n-gram.
 
     The positional filter takes it for the first one the two share. At the first one it is right,
-    and a pair that it drops elsewhere is judged there. The suffix filter splits sets at fixed
-    hash values: the sizes of parts can't differ by more in all than the sets themselves do.
+    and a pair that it drops elsewhere is judged there.
     """
     p = params.percent
     both, left = F.col("x.n") + F.col("y.n"), F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
     length = F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * p
-    positional = left * (100 + p) >= both * p
+    return length & (left * (100 + p) >= both * p)
+
+
+def _parts_agree(params: JaccardParams) -> Column:
+    """Suffix filter: sets are split at fixed hash values, and the sizes of the parts can't differ by more in
+    all than similar sets do."""
+    p, both = params.percent, F.col("x.n") + F.col("y.n")
     apart = F.aggregate(
         F.zip_with("x.parts", "y.parts", lambda a, b: F.abs(a.cast("int") - b.cast("int"))), F.lit(0), lambda s, d: s + d
     )
-    suffix = apart <= both - F.lit(2) * F.ceil(both * p / (100 + p))
-    return length & positional & suffix
+    return apart <= both - F.lit(2) * F.ceil(both * p / (100 + p))
 
 
-def _pairs(x: DataFrame, y: DataFrame, on: list[str], params: JaccardParams, ordered: bool) -> DataFrame:
+def _pairs(x: DataFrame, y: DataFrame, on: list[str], one: DataFrame, params: JaccardParams) -> DataFrame:
     """Different pairs (u, v), u below v, that meet on ``on``, belong to different groups so far, and
-    pass the filters."""
-    meet = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in on]
-    other = F.col("x.key") < F.col("y.key") if ordered else F.col("x.key") != F.col("y.key")
-    rule = other & (F.col("x.group") != F.col("y.group")) & _may_be_similar(params)
-    for m in meet:
-        rule = m & rule
+    pass the filters. Where the rows have parts, the suffix filter is part of the join; elsewhere it
+    follows, on what the others let through."""
+    rule = (F.col("x.id") != F.col("y.id")) & (F.col("x.group") != F.col("y.group")) & _may_be_similar(params)
+    for c in on:
+        rule = (F.col(f"x.{c}") == F.col(f"y.{c}")) & rule
+    if "parts" in x.columns:
+        rule = rule & _parts_agree(params)
     met = x.alias("x").join(y.alias("y"), rule)
-    return met.select(F.least("x.key", "y.key").alias("u"), F.greatest("x.key", "y.key").alias("v")).distinct()
+    pairs = met.select(F.least("x.id", "y.id").alias("u"), F.greatest("x.id", "y.id").alias("v")).distinct()
+    if "parts" in x.columns:
+        return pairs
+    sizes = one.select("id", "n", "parts")
+    a, b = sizes.alias("x"), sizes.alias("y")
+    both = pairs.join(a, F.col("u") == F.col("x.id")).join(b, F.col("v") == F.col("y.id"))
+    return both.where(_parts_agree(params)).select("u", "v")
 
 
-def _verified(pairs: DataFrame, leads: DataFrame, docs: DataFrame, params: JaccardParams) -> DataFrame:
+def _verified(pairs: DataFrame, one: DataFrame, docs: DataFrame, params: JaccardParams) -> DataFrame:
     """The pairs whose whole sets are similar. Sets are made anew from the texts of those documents that are in
     a pair, so that no table of all sets is needed."""
-    ends = pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct()
-    wanted = write_and_read(leads.join(ends, "key", "left_semi").select("key", "lead.doc_id", "lead._th"), "wanted")
-    texts = docs.join(wanted, same_row(docs, wanted)).select("key", "text").dropDuplicates(["key"])
-    whole = write_and_read(texts.mapInArrow(_whole_sets(params), "key binary, grams array<bigint>"), "whole")
-    a = whole.select(F.col("key").alias("u"), F.col("grams").alias("a"))
-    b = whole.select(F.col("key").alias("v"), F.col("grams").alias("b"))
+    ends = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+    wanted = write_and_read(one.join(ends, "id", "left_semi").select("id", "lead.doc_id", "lead._th"), "wanted")
+    texts = docs.join(wanted, same_row(docs, wanted)).select("id", "text").dropDuplicates(["id"])
+    whole = write_and_read(texts.mapInArrow(_whole_sets(params), "id bigint, grams array<bigint>"), "whole")
+    a = whole.select(F.col("id").alias("u"), F.col("grams").alias("a"))
+    b = whole.select(F.col("id").alias("v"), F.col("grams").alias("b"))
     fetched = pairs.join(a, "u").join(b, "v")
     shared = F.size(F.array_intersect("a", "b"))
     similar = shared * (100 + params.percent) >= (F.size("a") + F.size("b")) * params.percent
@@ -188,20 +199,20 @@ def _verified(pairs: DataFrame, leads: DataFrame, docs: DataFrame, params: Jacca
 
 
 def _grouped(members: DataFrame, links: DataFrame | None) -> DataFrame:
-    """Members with ``group``, the smallest key they are linked to so far."""
+    """Members with ``group``, the smallest id they are linked to so far."""
     if links is None:
-        return members.withColumn("group", F.col("key"))
-    named = components(links).select(F.col("node").alias("key"), F.col("root").alias("group"))
-    return members.join(named, "key", "left").withColumn("group", F.coalesce("group", "key"))
+        return members.withColumn("group", F.col("id"))
+    named = components(links).select(F.col("node").alias("id"), F.col("root").alias("group"))
+    return members.join(named, "id", "left").withColumn("group", F.coalesce("group", "id"))
 
 
 def _hubs(members: DataFrame) -> DataFrame:
     """Per n-gram the set that has the fewest rarer ones: of near copies the one in their middle."""
-    first = F.min(F.struct("pos", "key", "n", "parts", "group")).alias("hub")
+    first = F.min(F.struct("pos", "id", "n", "group")).alias("hub")
     return write_and_read(members.groupBy("gram").agg(first).select("gram", "hub.*"), "hubs")
 
 
-def _rest(members: DataFrame, params: JaccardParams) -> tuple[DataFrame, DataFrame]:
+def _rest(members: DataFrame, one: DataFrame, params: JaccardParams) -> tuple[DataFrame, DataFrame]:
     """Per n-gram, those outside its largest group, and all, dealt to salts by how many they are."""
     sizes = members.groupBy("gram", "group").agg(F.count(F.lit(1)).alias("size"))
     most = sizes.groupBy("gram").agg(F.max(F.struct("size", "group")).alias("most"), F.count(F.lit(1)).alias("groups"))
@@ -209,14 +220,14 @@ def _rest(members: DataFrame, params: JaccardParams) -> tuple[DataFrame, DataFra
         most.where("groups > 1").select("gram", F.col("most.group").alias("main")), "open"
     )
     salts = F.ceil(F.col("m") / params.salted).cast("int")
-    active = members.join(open_grams, "gram")
-    every = active.withColumn("salt", F.pmod(F.xxhash64("key"), salts).cast("int"))
+    active = members.join(open_grams, "gram").join(one.select("id", "parts"), "id")
+    every = active.withColumn("salt", F.pmod(F.xxhash64("id"), salts).cast("int"))
     others = active.where(F.col("group") != F.col("main"))
     return others.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))), every
 
 
-def similar_sets(sets: DataFrame, docs: DataFrame, params: JaccardParams) -> DataFrame | None:
-    """links(u, v) between keys of different sets that connect what linking all similar sets would
+def similar_sets(one: DataFrame, docs: DataFrame, params: JaccardParams) -> DataFrame | None:
+    """links(u, v) between ids of the different sets ``one`` that connect what linking all similar sets would
     connect; None where no pair passes the filters.
 
     Each n-gram's sets meet one of them first, and what turns out similar is joined into groups.
@@ -225,25 +236,22 @@ def similar_sets(sets: DataFrame, docs: DataFrame, params: JaccardParams) -> Dat
     every similar pair is either compared or already connected, and a large group of near copies
     costs a few comparisons per copy instead of one per pair. No pair is compared twice.
     """
-    firsts = [F.first(c).alias(c) for c in ("n", "prefix", "parts")]
-    one = sets.where("n > 0").groupBy("key").agg(*firsts, F.min(F.struct("doc_id", "_th")).alias("lead"))
-    one = write_and_read(one, "sets-once")
-    rows = write_and_read(one.select("key", F.posexplode("prefix").alias("pos", "gram")), "prefixes")
+    rows = write_and_read(one.select("id", F.posexplode("prefix").alias("pos", "gram")), "prefixes")
     often = write_and_read(rows.groupBy("gram").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "often")
-    met = write_and_read(rows.join(often, "gram"), "met")
-    members = write_and_read(met.join(one.select("key", "n", "parts"), "key"), "members")
+    members = write_and_read(rows.join(often, "gram").join(one.select("id", "n"), "id"), "members")
     links = tried = None
     for size in (2, *params.cells, None):
-        now = write_and_read(_grouped(members, links), "grouped")
+        now = _grouped(members, links)
         if size is None:
-            pairs = _pairs(*_rest(now, params), ["gram", "salt"], params, ordered=False)
+            now = write_and_read(now, "grouped")
+            pairs = _pairs(*_rest(now, one, params), ["gram", "salt"], one, params)
         elif size == 2:
-            pairs = _pairs(now, _hubs(now), ["gram"], params, ordered=False)
+            pairs = _pairs(now, _hubs(now), ["gram"], one, params)
         else:
             # cells of a power of two in number, by one hash: sets meet in the same cell at every n-gram
             cells = F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.col("m") / size, F.lit(1.0))))).cast("bigint")
-            now = now.withColumn("cell", F.pmod(F.xxhash64("key"), cells))
-            pairs = _pairs(now, now, ["gram", "cell"], params, ordered=True)
+            now = write_and_read(now.withColumn("cell", F.pmod(F.xxhash64("id"), cells)), "grouped")
+            pairs = _pairs(now, now, ["gram", "cell"], one, params)
         if tried is not None:
             pairs = pairs.join(tried, ["u", "v"], "left_anti")
         pairs = write_and_read(pairs, "pairs")
@@ -271,11 +279,16 @@ def jaccard_groups(documents: DataFrame, params: JaccardParams = JaccardParams()
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", text_hash().alias("_th"))
     counts = docs.sparkSession.sparkContext.broadcast(gram_counts(docs, params))
     sets = write_and_read(docs.mapInArrow(_prefixes(params, counts), _SETS), "sets")
-    leads = sets.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("lead"))
-    rooted = _grouped(leads, similar_sets(sets, docs, params)).withColumnRenamed("group", "root")
+    firsts = [F.first(c).alias(c) for c in ("n", "prefix", "parts")]
+    lead = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_th")).alias("lead")
+    once = sets.where("n > 0").groupBy("key").agg(*firsts, lead)
+    # numbered when it is written: what is read back has one number for good
+    one = write_and_read(once.withColumn("id", F.monotonically_increasing_id()), "sets-once")
+    leads = one.select("key", "id", F.col("lead.doc_id").alias("lead"))
+    rooted = _grouped(leads, similar_sets(one, docs, params)).withColumnRenamed("group", "root")
     rooted = write_and_read(rooted, "rooted")
-    least = rooted.groupBy("root").agg(F.min("lead").alias("component_id"))
-    named = write_and_read(rooted.join(write_and_read(least, "least"), "root").select("key", "component_id"), "named")
+    least = write_and_read(rooted.groupBy("root").agg(F.min("lead").alias("component_id")), "least")
+    named = write_and_read(rooted.join(least, "root").select("key", "component_id"), "named")
     empty = F.col("n") == 0
     return sets.join(named, "key", "left").select(
         "doc_id",
