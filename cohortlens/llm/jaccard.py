@@ -250,7 +250,8 @@ def similar_sets(one: DataFrame, docs: DataFrame, params: JaccardParams) -> Data
         else:
             # cells of a power of two in number, by one hash: sets meet in the same cell at every n-gram
             cells = F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.col("m") / size, F.lit(1.0))))).cast("bigint")
-            now = write_and_read(now.withColumn("cell", F.pmod(F.xxhash64("id"), cells)), "grouped")
+            celled = now.withColumn("cell", F.pmod(F.xxhash64("id"), cells))
+            now = write_and_read(celled.join(one.select("id", "parts"), "id"), "grouped")
             pairs = _pairs(now, now, ["gram", "cell"], one, params)
         if tried is not None:
             pairs = pairs.join(tried, ["u", "v"], "left_anti")
