@@ -15,7 +15,8 @@ from .common import small_batches
 SPACE = "▁"  # stands for a blank
 _NORMAL, _BYTE = 1, 6  # kinds of pieces in the model file
 _NONE = np.iinfo(np.int64).max
-
+_OPEN = -1  # no wall
+_LONG = 64  # characters of a word that is cut into stretches
 
 _SLOT_BITS = 18
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
@@ -54,8 +55,8 @@ class PieceModel:
 
     Symbols are numbered: the pieces by id, then characters outside the vocabulary. A pair of
     symbols merges if together they are a normal piece; the better the piece's score, the lower
-    its rank. ``safe`` ranks are those whose merge cannot make a better or equal pair possible:
-    such merges may be made everywhere in a word at once.
+    its rank. ``across`` is, for two characters side by side, the least rank of any piece that
+    holds them so: no merge of a lower rank goes across that place.
     """
 
     def __init__(self, model: bytes) -> None:
@@ -84,18 +85,36 @@ class PieceModel:
         order = {s: r for r, s in enumerate(sorted(set(scores)))}
         self.rank = np.array([order[s] for s in scores], np.int64)
         pairs = {}
-        unsafe = set()
+        across: dict[int, int] = {}
         for piece, i in self.ids.items():
             for cut in range(1, len(piece)):
                 left, right = self.ids.get(piece[:cut]), self.ids.get(piece[cut:])
-                if left is None or right is None:
-                    continue
-                pairs[left * self.size + right] = i
-                unsafe |= {p for p in (left, right) if self.rank[i] <= self.rank[p]}
-        self.safe = np.ones(self.size, bool)
-        self.safe[list(unsafe)] = False
+                if left is not None and right is not None:
+                    pairs[left * self.size + right] = i
+                left, right = self.ids.get(piece[cut - 1]), self.ids.get(piece[cut])
+                if left is not None and right is not None:
+                    key, rank = left * self.size + right, int(self.rank[i])
+                    across[key] = min(rank, across.get(key, rank))
+        self.across = np.array(sorted(across.items()), np.int64).reshape(-1, 2)
+        self.blanks = self._blanks()
         self.slots = _pair_table(pairs)
 
+    def _blanks(self) -> int:
+        """Blanks that a long run of them is merged to at a time, from the left: the most that any
+        piece starts with, if all pieces of blanks have one rank and the leftmost merges make such
+        a piece before they touch what is behind it. Else 0."""
+        most = max(len(p) - len(p.lstrip(SPACE)) for p in self.ids)
+        sizes = {len(p): i for p, i in self.ids.items() if len(p) > 1 and not p.strip(SPACE)}
+        if len({int(self.rank[i]) for i in sizes.values()}) != 1:
+            return 0
+        run = [1] * (2 * most)
+        while run[0] < most:
+            n = next((n for n in range(len(run) - 1) if run[n] + run[n + 1] in sizes), None)
+            if n is None:
+                return 0
+            run[n : n + 2] = [run[n] + run[n + 1]]
+        return most if run[1:] == [1] * most else 0
+
     def _pair(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The piece that each pair makes and its rank; no piece has the last rank of all."""
         key = left * self.size + right
@@ -108,12 +127,56 @@ class PieceModel:
             hit |= here
         return piece, np.where(hit, self.rank[piece], _NONE)
 
+    def _walls(self, sym: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Per character what parts it from the one before: nothing in short words, in long ones
+        the least rank that goes across, and ``_NONE`` where no piece does or a word starts."""
+        out = np.full(len(sym), _OPEN)
+        long = np.flatnonzero(np.repeat(lengths > _LONG, lengths))
+        if len(long) and len(self.across):
+            before = sym[np.maximum(long - 1, 0)]
+            key = before * self.size + sym[long]
+            key[(before >= self.size) | (sym[long] >= self.size)] = -1
+            place = np.minimum(np.searchsorted(self.across[:, 0], key), len(self.across) - 1)
+            out[long] = np.where(self.across[place, 0] == key, self.across[place, 1], _NONE)
+        elif len(long):
+            out[long] = _NONE
+        begin = np.cumsum(lengths) - lengths
+        mark = self.ids.get(SPACE, -1)
+        for n in np.flatnonzero(lengths > _LONG).tolist() if self.blanks else ():
+            of_word = sym[begin[n] : begin[n] + lengths[n]] != mark
+            marks = int(np.argmax(of_word)) if of_word.any() else len(of_word)
+            # what follows the blanks can take some of the last ones only
+            out[begin[n] : begin[n] + max(0, marks - 2 * self.blanks) : self.blanks] = _NONE
+        out[begin[lengths > 0]] = _NONE
+        return out
+
+    def _merged_now(self, best: np.ndarray, made: np.ndarray, rank, sym: np.ndarray, wall: np.ndarray, of) -> np.ndarray:
+        """Which of the chosen pairs merge in one round: in each stretch, from the left, up to and
+        with the first whose piece makes a pair of a rank not above its own with a neighbour. The
+        neighbour on the left has already been merged, the one on the right has not."""
+        before = sym[best - 1]
+        touching = np.flatnonzero(np.diff(best) == 2) + 1
+        before[touching] = made[touching - 1]
+        left = self._pair(before, made)[1]
+        left[wall[best] != _OPEN] = _NONE
+        after = np.minimum(best + 2, len(sym) - 1)
+        right = self._pair(made, sym[after])[1]
+        right[(best + 2 >= len(sym)) | (wall[after] != _OPEN)] = _NONE
+        stops = np.minimum(left, right) <= rank
+        earlier = np.cumsum(stops) - stops
+        first = np.r_[True, of[1:] != of[:-1]]
+        return earlier == earlier[np.flatnonzero(first)[np.cumsum(first) - 1]]
+
     def encode_words(self, words: list[str]) -> list[bytes]:
         """Ids of each word as the bytes of 32-bit numbers, all words at once.
 
-        Round by round: the least pair rank of every word; its leftmost pairs are merged, all of
-        them where that is safe and pairs do not overlap, else the first; merged symbols are
-        compacted; words without a pair are done.
+        Round by round: the least pair rank of every stretch; its pairs are merged from the left,
+        as many as leave that rank the least; merged symbols are compacted; stretches without a
+        pair are done. A short word is one stretch. A long one starts as many, between walls: a
+        stretch goes on by itself while its least rank is below those of its walls, and a wall
+        falls when both sides have come up to its rank. What stretches do before is independent,
+        so the order of merges that the model asks for is kept, in rounds that hardly depend on
+        the length of a word.
         """
         chars = "".join(words)
         extra: dict[str, int] = {}
@@ -123,64 +186,56 @@ class PieceModel:
                 table[c] = self.size + extra.setdefault(c, len(extra))
         sym = np.fromiter(map(table.__getitem__, chars), np.int64, len(chars))
         lengths = np.fromiter(map(len, words), np.int64, len(words))
-        word = np.repeat(np.arange(len(words)), lengths)
-        done_sym, done_word = [], []
-        while len(sym) > 1:
-            inside = word[1:] == word[:-1]
+        wall = self._walls(sym, lengths)
+        at = np.arange(len(sym))
+        done_sym, done_at = [sym[:0]], [at[:0]]
+        while len(sym):
+            starts = np.flatnonzero(wall != _OPEN)
+            of = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(sym)]))
+            # the last symbol of a stretch starts no pair
+            inside = wall[1:] == _OPEN
             piece, rank = self._pair(sym[:-1], sym[1:])
             rank[~inside] = _NONE
-            starts = np.flatnonzero(np.r_[True, ~inside])
-            # the last symbol of a word starts no pair
             least = np.minimum.reduceat(np.r_[rank, _NONE], starts)
-            of = np.cumsum(np.r_[0, ~inside])
-            idle = least == _NONE
+            walls = np.r_[wall[starts], _NONE]
+            lower = np.minimum(walls[:-1], walls[1:])
+            idle = (least == _NONE) & (lower == _NONE)
             if idle.any():
                 out = idle[of]
                 done_sym.append(sym[out])
-                done_word.append(word[out])
-                if out.all():
-                    sym = sym[:0]
-                    break
+                done_at.append(at[out])
                 keep = ~out
-                sym, word = sym[keep], word[keep]
+                sym, wall, at = sym[keep], wall[keep], at[keep]
+                continue
+            ready = least < lower
+            # a wall is the lower one on both sides, and neither has anything below it
+            falls = (lower[1:] == lower[:-1]) & (walls[1:-1] == lower[1:]) & (lower[1:] != _NONE) & ~ready[1:] & ~ready[:-1]
+            best = np.flatnonzero(inside & (rank == least[of[:-1]]) & ready[of[:-1]])
+            wall[starts[1:][falls]] = _OPEN
+            if not len(best):
                 continue
-            best = np.flatnonzero(rank == least[of[:-1]])
             # of pairs in a row that overlap, every second one
             run = np.r_[True, np.diff(best) != 1]
             first = np.maximum.accumulate(np.where(run, np.arange(len(best)), 0))
             best = best[(np.arange(len(best)) - first) % 2 == 0]
-            # the first of a word, and the others if that changes nothing
-            leading = np.r_[True, np.diff(of[best]) != 0]
-            free = self.safe[piece[best]]
-            lead_free = free[np.maximum.accumulate(np.where(leading, np.arange(len(best)), 0))]
-            alone = self._one_piece(best, piece, leading)
-            best = best[leading | (free & lead_free & alone)]
-            sym = sym.copy()
+            best = best[self._merged_now(best, piece[best], rank[best], sym, wall, of[best])]
             sym[best] = piece[best]
             keep = np.ones(len(sym), bool)
             keep[best + 1] = False
-            sym, word = sym[keep], word[keep]
-        done_sym.append(sym)
-        done_word.append(word[: len(sym)])
-        sym, word = np.concatenate(done_sym), np.concatenate(done_word)
-        order = np.argsort(word, kind="stable")
+            sym, wall, at = sym[keep], wall[keep], at[keep]
+        sym, at = np.concatenate(done_sym), np.concatenate(done_at)
+        order = np.argsort(at)
+        flat, word = sym[order], np.repeat(np.arange(len(words)), lengths)[at[order]]
         ends = np.cumsum(np.bincount(word, minlength=len(words))).tolist()
-        flat = sym[order].astype(np.int32)
-        raw = flat.tobytes()
+        raw = flat.astype(np.int32).tobytes()
         out = [raw[4 * i : 4 * j] for i, j in zip([0, *ends], ends)]
         if extra:
             spare = {self.size + n: [self.bytes[b] for b in c.encode()] for c, n in extra.items()}
-            for n in np.unique(word[sym >= self.size]).tolist():
+            for n in np.unique(word[flat >= self.size]).tolist():
                 ids = [x for i in np.frombuffer(out[n], np.int32).tolist() for x in spare.get(i, (i,))]
                 out[n] = np.array(ids, np.int32).tobytes()
         return out
 
-    @staticmethod
-    def _one_piece(best: np.ndarray, piece: np.ndarray, leading: np.ndarray) -> np.ndarray:
-        """Where a pair makes the same piece as the first chosen pair of its word."""
-        first = np.maximum.accumulate(np.where(leading, np.arange(len(best)), 0))
-        return piece[best] == piece[best[first]]
-
 
 _WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 _MOST_WORDS, _MOST_CHARS = 500_000, 32 << 20
@@ -295,7 +350,7 @@ def encode_documents(documents: DataFrame, model_path: str) -> DataFrame:
 
     Null and empty texts have no ids. Repeated rows and null ids stay as they are. Characters
     outside the vocabulary become byte pieces. A text of any length is one row; a word of any
-    length takes memory in proportion. Empty tables give no rows. Other columns are not looked at.
+    length, blank or not, takes memory in proportion and about as much time. Empty tables give no rows. Other columns are not looked at.
     """
     proto = documents.sparkSession.sparkContext.broadcast(_read(model_path))
     docs = documents.selectExpr("cast(doc_id as bigint) doc_id", "text")

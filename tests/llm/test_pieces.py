@@ -35,6 +35,31 @@ def test_ids_equal_the_library(library):
     assert [j for _, j in encode_texts(some, proto)] == [",".join(map(str, x)) for x in got]
 
 
+def test_long_words_equal_the_library(library):
+    """Words without blanks, of one unit again and again, and long runs of blanks."""
+    rng = random.Random(9)
+    letters = [library.id_to_piece(i).replace("▁", "") for i in range(300, 32000, 5)]
+    some = ["".join(rng.choices("abcdehinrstouél日", k=rng.randrange(50, 300))) for _ in range(500)]
+    some += ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz=-_.", k=rng.randrange(1, 7))) * 60 for _ in range(500)]
+    some += ["".join(rng.choices(letters, k=rng.randrange(5, 100))) for _ in range(500)]
+    some += [" " * n + w for n in range(30, 140) for w in ("", "t", "the", "-", "日", "the  a", "(")]
+    some += ["x " * n + " " * 200 + "e" * n for n in range(50, 90)]
+    with open(PATH, "rb") as file:
+        proto = file.read()
+    assert [ids.tolist() for ids, _ in encode_texts(some, proto)] == library.encode(some)
+
+
+def test_a_word_of_a_megabyte(library):
+    """Takes seconds; in time that grows with the square of its length it would take hours."""
+    rng = random.Random(10)
+    most = 1 << 20
+    letters = [library.id_to_piece(i).replace("▁", "") for i in range(300, 32000, 5)]
+    with open(PATH, "rb") as file:
+        proto = file.read()
+    for text in ("".join(rng.choices(letters, k=most // 5)), " " * most, "=" * most, "日本" * (most // 2)):
+        assert next(encode_texts([text], proto))[0].tolist() == library.encode(text)
+
+
 def test_digests_and_awkward_rows(spark, library):
     rows = [(i, t) for i, t in enumerate(TEXTS)] + [(None, None), (3, "a"), (3, "a")]
     docs = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id bigint, text string, n_tokens int")
