@@ -2,10 +2,9 @@
 
 A page is a stream of tags and texts. Streams of one host are aligned step by step: where they
 differ, what only some have becomes optional, what repeats becomes a group, and texts become
-slots. The result is a regular expression without alternatives, the host's wrapper. Its slots are
-judged once for the host, by where they stand and by whether their text ever changes. A slot is
-known by its path alone: pages are read by path and not matched against the wrapper, whose order
-and optional and repeated groups do not enter the verdict.
+slots. The result is a regular expression without alternatives, the host's wrapper. Pages are
+matched against it, and its slots are judged once for the host: by the path and the place where
+they stand, on how many pages, in a repeated group or not, and by whether their text ever changes.
 """
 
 from __future__ import annotations
@@ -13,6 +12,7 @@ from __future__ import annotations
 import html
 import json
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from difflib import SequenceMatcher
@@ -27,7 +27,7 @@ from ..session import write_and_read
 from .common import small_batches
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
-_ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=>\"'/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 _RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp", "svg", "math"}
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = set(
@@ -39,8 +39,10 @@ _DROPPED = set(
     "canvas object head title menu dialog audio video map xmp".split()
 )
 _MAIN = {"article", "main"}
+_LINKS = "@"  # the last part of the path of a block whose text is all in links
+_HEADINGS = set("h1 h2 h3 h4 h5 h6 hgroup".split())
 # Texts, lists, tables and quotes: an article may stand around these, not in them.
-_TEXTS = set(
+_TEXTS = {_LINKS} | set(
     "p h1 h2 h3 h4 h5 h6 hgroup ul ol li dl dt dd table caption thead tbody tfoot tr td th blockquote pre address "
     "figure figcaption details summary".split()
 )
@@ -56,7 +58,10 @@ _NOISE = set(
 # A name like "top-ad" is noise; "has-sidebar" or "comments-open" only tells the layout.
 _BESIDE = set("site top bottom list box bar links buttons slot unit container area x".split())
 _TALK = set("comment comments reply replies respond disqus".split())
-_NEVER = _MAIN | {"html", "body"}
+_NEVER = {"main", "html", "body"}
+# Ids of these are anchors, often made of a heading's words.
+_ANCHORED = _HEADINGS | set("p dt dd tr th td caption figure figcaption blockquote pre details summary".split())
+_BOXES = set("div section ul ol".split())
 # A start tag ends an open element of the same kind, or of these.
 _ENDS = {t: {"p"} for t in "article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()}
 _ENDS |= {"li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
@@ -74,44 +79,72 @@ class WrapperParams:
     longest: int = 8
 
 
-def _label(tag: str, rest: str) -> str:
+def _is_told(tag: str, kind: str, value: str, inside: bool) -> bool:
+    """Whether a name that is made of noise words tells anything about this element.
+
+    An article is nothing else but a reader's comment, which has such a class or a numbered id.
+    Ids are anchors on headings and paragraphs, and inside an article: there they tell comments
+    and adverts only."""
+    words = set(_WORDS.findall(value))
+    if tag == "article":
+        return bool(words & _TALK) and (kind == "class" or any(c.isdigit() for c in value))
+    if kind != "id":
+        return True
+    if tag in _ANCHORED:
+        return False
+    return not inside or (tag in _BOXES and bool(words & (_TALK | {"ad", "ads"})))
+
+
+def _label(tag: str, rest: str, inside: bool = False) -> str:
     """A tag with what its class, id and role say, if a whole name among these marks it as not the
-    article's: "!" before it, and for readers' comments also "!" behind it."""
+    article's: "!" before it, and for readers' comments also "!" behind it. ``inside``: an article
+    or main element is open."""
     if tag in _DROPPED:
         return "!" + tag
-    for _, a, b, c in _ATTRIBUTE.findall(rest):
+    for attribute, a, b, c in _ATTRIBUTE.findall(rest):
+        kind = attribute.lower()
+        if kind not in ("class", "id", "role"):
+            continue
         value = (a or b or c).lower()
-        if value in ("main", "article"):
-            return tag + ".main"
+        if value in ("main", "article") and tag not in _TEXTS:
+            return tag if tag in _MAIN else tag + ".main"
         for name in value.split() if tag not in _NEVER else ():
             words = set(_WORDS.findall(name))
-            if words & _NOISE and words <= _NOISE | _BESIDE:
+            if words & _NOISE and words <= _NOISE | _BESIDE and _is_told(tag, kind, name, inside):
                 return "!" + tag + ("!" if words & _TALK else "")
     return tag
 
 
 def blocks_of(page: str) -> Iterator[tuple[str, str]]:
     """(path, text) of every block: its open block tags, and its characters as they stand, with
-    references decoded. Inline tags leave no trace; a line break is a blank."""
+    references decoded. Inline tags leave no trace, but that the path of a block whose text is
+    all in links tells so, unless it is a heading; a line break is a blank."""
     stack: list[tuple[str, str]] = []
-    path, held, at, skip = "", [], 0, ""
+    path, held, at = "", [], 0
+    link = plain = False
+
+    def place() -> str:
+        if plain or (stack and stack[-1][0] in _HEADINGS):
+            return path
+        return f"{path}/{_LINKS}" if path else _LINKS
 
     for m in _TOKEN.finditer(page):
         if m.start() < at:
             continue
-        if m.start() > at and not skip:
+        if m.start() > at:
             held.append(html.unescape(page[at : m.start()]))
+            plain |= not link and not held[-1].isspace()
         at = m.end()
         tag = (m[2] or "").lower()
         if not tag or tag in _INLINE:
             if tag == "br":
                 held.append(" ")
+            elif tag == "a":
+                link = not m[1]
             continue
         if m[1]:
             depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
             if depth is None:
-                if tag == "p":
-                    pass
                 continue
             new = stack[:depth]
         else:
@@ -124,23 +157,26 @@ def blocks_of(page: str) -> Iterator[tuple[str, str]]:
         if held:
             text = "".join(held)
             if text and not text.isspace():
-                yield path, text
+                yield place(), text
             held = []
+        link = plain = False
         stack = list(new)
         if not m[1] and tag not in _VOID:
             if tag in _RAW and not m[3].endswith("/"):
                 end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
                 at = end.end() if end else len(page)
             elif not m[3].endswith("/") or tag not in ("path", "g"):
-                stack.append((tag, _label(tag, m[3])))
+                inside = any(x[1] in _MAIN or x[1].endswith(".main") for x in stack)
+                stack.append((tag, _label(tag, m[3], inside)))
         path = "/".join(x[1] for x in stack)
     if at < len(page):
         tail = page[at:]
         cut = re.search(r"<[a-zA-Z/!]", tail)  # a tag that never ends is no text
         held.append(html.unescape(tail[: cut.start()] if cut else tail))
+        plain |= not link and not held[-1].isspace()
     text = "".join(held)
     if text and not text.isspace():
-        yield path, text
+        yield place(), text
 
 
 # --- wrappers: lists of nodes. A slot is a path; a group is (body, optional, repeated) ----------
@@ -205,6 +241,51 @@ def slots(nodes: list[Node]) -> Iterator[str]:
             yield from slots(value)
 
 
+class Matcher:
+    """A wrapper as it is matched against pages: its slots in order (``paths``), and for each the
+    repeated groups around it, innermost first, as (first slot, slot behind the last)."""
+
+    def __init__(self, wrapper: list[Node]):
+        self.paths: list[str] = []
+        self.loops: list[tuple[list[int], ...]] = []
+        self._places: dict[str, list[int]] = {}
+        self._add(wrapper, ())
+
+    def _add(self, nodes: list[Node], around: tuple[list[int], ...]) -> None:
+        for kind, value in nodes:
+            if kind == "slot":
+                self._places.setdefault(value, []).append(len(self.paths))
+                self.paths.append(value)
+                self.loops.append(around)
+                continue
+            group = [len(self.paths), 0]
+            self._add(value, (group, *around) if kind == "rep" else around)
+            group[1] = len(self.paths)
+
+    def _after(self, path: str, low: int, high: int) -> int | None:
+        places = self._places.get(path, ())
+        i = bisect_right(places, low)
+        return places[i] if i < len(places) and places[i] < high else None
+
+    def match(self, paths: Iterable[str]) -> list[int]:
+        """The slot of each block of a page; -1 where the wrapper has none. A repeated group goes on
+        as long as it can, the innermost first; then the nearest slot behind it is taken."""
+        out: list[int] = []
+        at = -1
+        for path in paths:
+            slot = None
+            for start, end in self.loops[at] if at >= 0 else ():
+                slot = self._after(path, at, end)
+                slot = self._after(path, start - 1, at + 1) if slot is None else slot
+                if slot is not None:
+                    break
+            if slot is None:
+                slot = self._after(path, at, len(self.paths))
+            out.append(-1 if slot is None else slot)
+            at = at if slot is None else slot
+        return out
+
+
 @lru_cache(4096)
 def _is_main(path: str) -> bool:
     return any(x in _MAIN or x.endswith(".main") for x in path.split("/"))
@@ -261,19 +342,34 @@ def holders_of(chars: dict[str, int]) -> list[str]:
         open_ = moved
 
 
-def judge(wrapper: list[Node], facts: dict[str, tuple[int, int, bool]]) -> dict[str, list[str]]:
-    """The wrapper's slots that hold an article on pages that mark one (``main``), those whose
-    text is the ``same`` on most pages that don't, and elements that are not noise whatever
-    their class says (``holders``). facts: different pages without a mark, characters and whether
-    the text ever changes, by slot; under ``_ALL`` the number of these pages.
+def _by_path(path: str) -> str:
+    return "noise" if _is_noise(path) else "main" if _is_main(path) else "text"
+
+
+def judge(wrapper: list[Node], facts: dict[str, tuple[int, int, bool]]) -> dict:
+    """What each of the wrapper's slots holds: ``noise``; on pages that mark an article, that
+    (``main``); on the others text that is the ``same`` on most pages, ``links`` in a repeated
+    group, or ``text``. Also the elements that are not noise whatever their class says
+    (``holders``). facts: different pages without a mark, characters and whether the text ever
+    changes, by number of the slot; under ``_ALL`` the number of these pages.
     """
-    known = dict.fromkeys(slots(wrapper))
-    holders = holders_of({s: facts[s][1] for s in known if s in facts})
-    clean = [s for s in known if not _is_noise(_bare(s, holders))]
+    matcher = Matcher(wrapper)
+    chars: dict[str, int] = {}
+    for i, path in enumerate(matcher.paths):
+        if str(i) in facts:
+            chars[path] = chars.get(path, 0) + facts[str(i)][1]
+    holders = holders_of(chars)
     pages = facts.get(_ALL, (0, 0, True))[0]
-    found = {s: facts.get(s, (0, 0, True)) for s in clean}
-    same = [s for s, (n, _, changes) in found.items() if n > 1 and 2 * n > pages and not changes]
-    return {"main": [s for s in clean if _is_main(_bare(s, holders))], "same": same, "holders": holders}
+    verdicts = []
+    for i, path in enumerate(matcher.paths):
+        verdict = _by_path(_bare(path, holders))
+        n, _, changes = facts.get(str(i), (0, 0, True))
+        if verdict == "text" and n > 1 and 2 * n > pages and not changes:
+            verdict = "same"
+        elif verdict == "text" and path.endswith(_LINKS) and matcher.loops[i]:
+            verdict = "links"
+        verdicts.append(verdict)
+    return {"wrapper": wrapper, "slots": verdicts, "holders": holders}
 
 
 def _home(blocks: list[tuple[str, str]]) -> str:
@@ -290,36 +386,41 @@ def _home(blocks: list[tuple[str, str]]) -> str:
     return max((h for h, n in mass.items() if 2 * n > total), key=lambda h: h.count("/") + bool(h), default="")
 
 
-def without_mark(clean: list[tuple[str, str]], same: set[str]) -> list[str]:
-    """The article of a page that marks none: all clean text but what the host repeats outside of
-    the container with most of the page's own text.
+def without_mark(clean: list[tuple[str, str, str]]) -> list[str]:
+    """The article of a page that marks none, from its clean blocks (path, text, verdict): all text
+    but what the host repeats, and lists of links, outside of the container with most of the
+    page's own text.
 
     The rest is not narrowed to that container: an article may stand in several. Where repeated
-    text is at least half of the page, the host's pages are copies of each other, and all is kept.
+    text is at least half of the page, the host's pages are copies of each other, and it is kept.
     """
-    own = [(p, t) for p, t in clean if p not in same]
-    chars = sum(len(t) for _, t in own)
-    if 2 * chars <= sum(len(t) for _, t in clean):
-        return [t for _, t in clean]
+    own = [(p, t) for p, t, v in clean if v == "text"]
+    if 2 * sum(len(t) for _, t, v in clean if v != "same") <= sum(len(t) for _, t, _ in clean):
+        own += [(p, t) for p, t, v in clean if v == "same"]
+        clean = [(p, t, "text" if v == "same" else v) for p, t, v in clean]
     home = _home(own)
-    return [t for p, t in clean if p not in same or not home or p == home or p.startswith(home + "/")]
-
-
-def extract(page: str, rules: dict) -> str:
-    """A page without clean text looks for its article under its own marked elements."""
-    found = list(blocks_of(page))
-    main, same, holders = rules["main"], rules["same"], rules["holders"]
-    kept = [" ".join(t.split()) for p, t in found if p in main]
+    return [t for p, t, v in clean if v == "text" or not home or p == home or p.startswith(home + "/")]
+
+
+def extract(page: str, rules: dict, matcher: Matcher) -> str:
+    """The page's blocks are read by the slots that they match; a block without one by its path. A
+    page without clean text looks for its article under its own marked elements."""
+    blocks = list(blocks_of(page))
+    holders, verdicts = rules["holders"], rules["slots"]
+    found = []
+    for (path, text), slot in zip(blocks, matcher.match(p for p, _ in blocks)):
+        bare = _bare(path, holders)
+        found.append((bare, " ".join(text.split()), verdicts[slot] if slot >= 0 else _by_path(bare)))
+    kept = [t for _, t, v in found if v == "main"]
     if not kept:
-        found = [(p, " ".join(t.split())) for p, t in found]
-        if all(_is_noise(_bare(p, holders)) for p, _ in found):
+        if all(v == "noise" for _, _, v in found):
             chars: dict[str, int] = {}
-            for p, t in found:
-                chars[p] = chars.get(p, 0) + len(t)
+            for path, text in blocks:
+                chars[path] = chars.get(path, 0) + len(text)
             holders = holders_of(chars)
-        same = {_bare(p, holders) for p in same}
-        bare = [(_bare(p, holders), t) for p, t in found]
-        kept = without_mark([(p, t) for p, t in bare if not _is_noise(p)], same)
+            bare = [(_bare(p, holders), " ".join(t.split())) for p, t in blocks]
+            found = [(p, t, "noise" if _is_noise(p) else "text") for p, t in bare]
+        kept = without_mark([x for x in found if x[2] != "noise"])
     return "\n\n".join(t for t in kept if t)
 
 
@@ -328,42 +429,89 @@ def extract(page: str, rules: dict) -> str:
 _SEEN = "kind string, host string, what string, chars bigint, least bigint, most bigint"
 
 
-def _observing(params: WrapperParams) -> Callable:
-    """Per task: the folded streams of each host; of pages without a mark the slots' facts, and
-    each page's digest with its slots. Each once."""
+class _Seen:
+    """Rows (kind, host, what) of one task, each once, with summed characters and the least and
+    the greatest digest of their text."""
+
+    def __init__(self):
+        self._rows: dict[tuple[str, str, str], list[int]] = {}
+
+    def add(self, kind: str, host: str, what: str, chars: int = 0, digest: int = 0) -> None:
+        x = self._rows.setdefault((kind, host, what), [0, digest, digest])
+        x[0] += chars
+        x[1], x[2] = min(x[1], digest), max(x[2], digest)
+
+    def batch(self) -> pa.RecordBatch:
+        keys = list(zip(*self._rows)) or [(), (), ()]
+        numbers = list(zip(*self._rows.values())) or [()] * 3
+        return pa.RecordBatch.from_arrays(
+            [*[pa.array(k, pa.string()) for k in keys], *[pa.array(n, pa.int64()) for n in numbers]],
+            ["kind", "host", "what", "chars", "least", "most"],
+        )
+
+
+def _unmarked(blocks: list[tuple[str, str]]) -> bool:
+    """Whether the page has text that may be an article's, and marks none."""
+    some = False
+    for path, _ in blocks:
+        if not _is_noise(path):
+            if _is_main(path):
+                return False
+            some = True
+        elif not some:
+            some = bool(_marked(path))
+    return some
+
+
+def _streaming(params: WrapperParams) -> Callable:
+    """Per batch: the folded streams of each host, each once, and hosts with pages without a mark."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "html"):
-            seen: dict[tuple[str, str, str], list[int]] = {}
+            seen = _Seen()
             for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
                 found = list(blocks_of(page))
-                stream = json.dumps(fold([("slot", p) for p, _ in found], params.longest))
-                rows = [("stream", stream, 0, 0)]
-                open_ = [(p, t) for p, t in found if not _is_noise(p) or _marked(p)]
-                clean = [(p, t) for p, t in open_ if not _is_noise(p)]
-                if open_ and not any(_is_main(p) for p, _ in clean):
-                    texts: dict[str, list[str]] = {}
-                    for path, text in open_:
-                        texts.setdefault(path, []).append(text)
-                    for path, parts in texts.items():
-                        joined = "\n".join(parts)
-                        rows.append(("slot", path, len(joined), xxhash.xxh64_intdigest(joined) >> 1))
-                    digest = xxhash.xxh128_hexdigest(json.dumps(clean or open_))
-                    rows.append(("page", "\n".join([digest, *sorted({p for p, _ in clean or open_})]), 0, 0))
-                for kind, what, chars, digest in rows:
-                    x = seen.setdefault((kind, host, what), [0, digest, digest])
-                    x[0] += chars
-                    x[1], x[2] = min(x[1], digest), max(x[2], digest)
-            keys = list(zip(*seen)) or [(), (), ()]
-            numbers = list(zip(*seen.values())) or [()] * 3
-            yield pa.RecordBatch.from_arrays(
-                [*[pa.array(k, pa.string()) for k in keys], *[pa.array(n, pa.int64()) for n in numbers]],
-                ["kind", "host", "what", "chars", "least", "most"],
-            )
+                seen.add("stream", host, json.dumps(fold([("slot", p) for p, _ in found], params.longest)))
+                if _unmarked(found):
+                    seen.add("open", host, "")
+            yield seen.batch()
 
     return run
 
 
+def _observing(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per batch: of pages without a mark the facts of the slots that they match, and each page's
+    digest with its slots, each once."""
+    known: dict[str, Matcher] = {}
+    for batch in small_batches(batches, "html"):
+        seen = _Seen()
+        for host, page, text in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "wrapper"))):
+            found = list(blocks_of(page))
+            if not _unmarked(found):
+                continue
+            matcher = _remembered(known, text, lambda: Matcher(_nodes(text)))
+            matched = [(i, p, t) for i, (p, t) in zip(matcher.match(p for p, _ in found), found) if i >= 0]
+            open_ = [x for x in matched if not _is_noise(x[1]) or _marked(x[1])]
+            clean = [x for x in open_ if not _is_noise(x[1])]
+            texts: dict[int, list[str]] = {}
+            for slot, _, t in open_:
+                texts.setdefault(slot, []).append(t)
+            for slot, parts in texts.items():
+                joined = "\n".join(parts)
+                seen.add("slot", host, str(slot), len(joined), xxhash.xxh64_intdigest(joined) >> 1)
+            digest = xxhash.xxh128_hexdigest(json.dumps(clean or open_))
+            seen.add("page", host, "\n".join([digest, *map(str, sorted({x[0] for x in clean or open_}))]))
+        yield seen.batch()
+
+
+def _remembered(known: dict, key: str, make: Callable):
+    if key not in known:
+        if len(known) > 1000:
+            known.clear()
+        known[key] = make()
+    return known[key]
+
+
 def _nodes(text: str) -> list[Node]:
     def build(x):
         return (x[0], x[1] if x[0] == "slot" else [build(y) for y in x[1]])
@@ -409,21 +557,24 @@ def _judging(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def infer_wrappers(pages: DataFrame, params: WrapperParams = WrapperParams()) -> DataFrame:
     """(host, wrapper, rules) of ``pages(host, html)``. All pages are looked at; equal streams
     are counted together before the shuffle, and a host's different streams are aligned in 16
-    parts whose wrappers are then aligned with each other."""
-    observed = pages.mapInArrow(_observing(params), _SEEN)
-    facts = write_and_read(
-        observed.groupBy("kind", "host", "what").agg(
-            F.sum("chars").alias("chars"), F.min("least").alias("least"), F.max("most").alias("most")
-        ),
-        "page-facts",
-    )
-    parts = facts.where("kind = 'stream'").select("host", F.pmod(F.xxhash64("what"), F.lit(16)).alias("salt"), "what")
+    parts whose wrappers are then aligned with each other. The pages of hosts that leave articles
+    unmarked are then matched against the wrapper for the facts by which its slots are judged."""
+
+    def once(rows: DataFrame) -> DataFrame:
+        chars, least, most = F.sum("chars").alias("chars"), F.min("least").alias("least"), F.max("most").alias("most")
+        return write_and_read(rows.groupBy("kind", "host", "what").agg(chars, least, most), "page-facts")
+
+    streams = once(pages.mapInArrow(_streaming(params), _SEEN))
+    parts = streams.where("kind = 'stream'").select("host", F.pmod(F.xxhash64("what"), F.lit(16)).alias("salt"), "what")
 
     def aligned(streams: DataFrame) -> DataFrame:
         dealt = streams.repartition("host", "salt").sortWithinPartitions("host", "salt", "what")
         return dealt.mapInArrow(_aligning(params), "host string, what string")
 
     wrappers = aligned(aligned(parts).withColumn("salt", F.lit(0))).withColumnRenamed("what", "wrapper")
+    wrappers = write_and_read(wrappers, "aligned")
+    asked = wrappers.join(streams.where("kind = 'open'").select("host"), "host", "left_semi")
+    facts = once(_with_host(pages, asked, ["wrapper"], params).mapInArrow(_observing, _SEEN))
     paths = F.slice(F.split("what", "\n"), 2, 1 << 30)
     counted = (
         facts.where("kind = 'page'")  # copies are one row
@@ -443,40 +594,45 @@ def infer_wrappers(pages: DataFrame, params: WrapperParams = WrapperParams()) ->
 
 
 def _extracting(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known: dict[str, dict] = {}
+    known: dict[str, tuple[dict, Matcher]] = {}
+
+    def built(text: str) -> tuple[dict, Matcher]:
+        rules = json.loads(text)
+        return rules, Matcher(rules["wrapper"])
+
     for batch in small_batches(batches, "html"):
         out = []
         for page, text in zip(batch.column("html").to_pylist(), batch.column("rules").to_pylist()):
-            if text not in known:
-                if len(known) > 1000:
-                    known.clear()
-                known[text] = {k: v if k == "holders" else set(v) for k, v in json.loads(text).items()}
-            out.append(extract(page, known[text]))
+            out.append(extract(page, *_remembered(known, text, lambda: built(text))))
         yield pa.RecordBatch.from_arrays(
             [batch.column("page_id"), batch.column("url"), pa.array(out, pa.string())], ["page_id", "url", "text"]
         )
 
 
+def _with_host(pages: DataFrame, table: DataFrame, columns: list[str], params: WrapperParams) -> DataFrame:
+    """``pages`` with ``columns`` of their host's row in ``table``, a written table."""
+    size = table.agg(F.sum(sum((F.octet_length(c) for c in ("host", *columns)), F.lit(64)))).first()[0] or 0
+    if size <= params.broadcast:
+        return pages.join(F.broadcast(table.select("host", *columns)), "host")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(params.salts - 1))).alias("salt")
+    salted = pages.withColumn("salt", F.pmod(F.xxhash64("html"), F.lit(params.salts)).cast("int"))
+    return salted.join(table.select("host", *columns, salts), ["host", "salt"]).drop("salt")
+
+
 def extract_pages(pages: DataFrame, params: WrapperParams = WrapperParams()) -> DataFrame:
     """(page_id, url, text): the main text of every page, its blocks in page order, two line
     breaks between them.
 
     Null html is an empty page; pages without article text have empty text. Pages with null or
-    unreadable urls share one host. Repeated rows stay, and count as pages of their own. Empty
-    tables give no rows. Other columns are not looked at.
+    unreadable urls share one host. Repeated rows stay; copies count as one page. Long pages are
+    read whole, one at a time. Empty tables give no rows. Other columns are not looked at.
     """
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
     source = pages.select(
         F.col("page_id").cast("bigint").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"), host.alias("host")
     )
-    rules = infer_wrappers(source.select("host", "html"), params).select("host", "rules")
-    size = rules.agg(F.sum(F.octet_length("rules") + F.octet_length("host") + 64)).first()[0] or 0
-    if size <= params.broadcast:
-        joined = source.join(F.broadcast(rules), "host")
-    else:
-        salts = F.explode(F.sequence(F.lit(0), F.lit(params.salts - 1))).alias("salt")
-        salted = source.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(params.salts)).cast("int"))
-        joined = salted.join(rules.select("host", "rules", salts), ["host", "salt"])
+    rules = infer_wrappers(source.select("host", "html"), params)
+    joined = _with_host(source, rules, ["rules"], params)
     return joined.select("page_id", "url", "html", "rules").mapInArrow(
         _extracting, "page_id bigint, url string, text string"
     )

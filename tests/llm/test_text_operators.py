@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cohortlens.llm.html_wrappers import WrapperParams, align, extract_pages, fold, slots
+from cohortlens.llm.html_wrappers import Matcher, WrapperParams, align, extract_pages, fold, slots
 from cohortlens.llm.queries import op9_sharding, tokenizer
 from cohortlens.llm.sharding import ShardParams, fill_table, place, read_shards, write_shards
 from cohortlens.llm.suffixes import (
@@ -315,3 +315,69 @@ def test_wrappers_cover_both_streams():
         stream = [("slot", x) for x in rng.choices("abcdef", k=rng.randrange(12))]
         wrapper = align(wrapper, fold(stream, 4), 4)
         assert {s for _, s in stream} <= set(slots(wrapper))
+
+
+def test_ids_are_anchors_inside_articles_and_comments_may_be_articles(spark):
+    text = "<p>text of page {n}, longer than what stands beside it</p>"
+    pages = {
+        "a": "<article><h2 id='search'>Search</h2>" + text + "<h3 id=comments>Comments</h3><p data-id=share>shared</p></article>",
+        "b": "<main><section id='legal'><h2>Legal</h2>" + text + "</section><div id=comments><p>nice</p></div><div id=ads>buy</div></main>",
+        "c": "<main>" + text + "</main><article class='comment'><p>first {n}</p></article><article id='comment-{n}'>me too</article>",
+        "d": "<article class='post'>" + text + "<article class='comment even'><p>first {n}</p></article></article>",
+        "e": "<body><h2 id='sidebar'>Sidebar</h2>" + text + "<ul id='menu'><li>Home</ul>",
+        "f": "<body><h2 id='main'>Main</h2>" + text + "<p title=\"x class='ad'\">also</p>",
+        "g": "<article class='comment'>" + text + "</article>",  # nothing but comments
+    }
+    own = "text of page {n}, longer than what stands beside it"
+    want = {
+        "a": "Search\n\n" + own + "\n\nComments\n\nshared",
+        "b": "Legal\n\n" + own,
+        "e": "Sidebar\n\n" + own,
+        "f": "Main\n\n" + own + "\n\nalso",
+    }
+    for number in (1, 4):  # pages of a host
+        rows = [(10 * k + n, f"http://{h}/{n}", page.replace("{n}", str(n))) for k, (h, page) in enumerate(pages.items()) for n in range(number)]
+        got = extracted(spark, rows)
+        for k, h in enumerate(pages):
+            for n in range(number):
+                assert got[10 * k + n] == want.get(h, own).replace("{n}", str(n)), (h, n)
+
+
+def test_slots_of_one_path_are_judged_by_their_place(spark):
+    """A welcome that every page repeats, and a date that changes, stand in the same path on either side of the text."""
+    page = "<body><p>Welcome to our site</p><div><h1>Head {n}</h1><p>own text of page {n}, longer than the rest of it</p></div><p>Seen on day {n}</p></body>"
+    box = "<body><div><section><h1>Head {n}</h1><p>own text of page {n}, <a href=x>with a link</a> and more of it</p><ul><li><a>kept {n}</a></ul></section>"
+    box += "<table>{more}</table></div></body>"
+    rows = [(n, f"http://p/{n}", page.format(n=n)) for n in range(5)]
+    for n in range(5):  # an unmarked box of links, of a changing number
+        more = "".join(f"<tr><td><a href='{i}'>Read on {n} {i}</a></td></tr>" for i in range(2 + n % 3))
+        rows.append((10 + n, f"http://q/{n}", box.format(n=n, more=more)))
+    got = extracted(spark, rows)
+    for n in range(5):
+        assert got[n] == f"Head {n}\n\nown text of page {n}, longer than the rest of it\n\nSeen on day {n}"
+        assert got[10 + n] == f"Head {n}\n\nown text of page {n}, with a link and more of it\n\nkept {n}"
+
+
+def test_wrappers_match_what_they_were_made_from():
+    rng = random.Random(2)
+    for _ in range(30):
+        streams = [rng.choices("abcd", k=rng.randrange(1, 10)) for _ in range(6)]
+        wrapper = fold([("slot", x) for x in streams[0]], 4)
+        for s in streams[1:]:
+            wrapper = align(wrapper, fold([("slot", x) for x in s], 4), 4)
+        matcher = Matcher(wrapper)
+        assert matcher.paths == list(slots(wrapper))
+        for s in streams:
+            for x, slot in zip(s, matcher.match(s)):
+                assert slot < 0 or matcher.paths[slot] == x
+    wrapper = [("slot", "a"), ("rep", [("slot", "b"), ("opt", [("slot", "c")])]), ("slot", "a"), ("opt", [("slot", "d")])]
+    assert Matcher(wrapper).match("abcbbcax") == [0, 1, 2, 1, 1, 2, 3, -1]
+    assert Matcher(wrapper).match("bad") == [1, 3, 4]
+    assert Matcher(wrapper).match("") == []
+
+
+def test_a_long_page(spark):
+    many = "".join(f"<p>line {i} &amp; more</p>" for i in range(60_000))
+    assert len(many) > 1 << 20
+    got = extracted(spark, [(1, "http://l/1", f"<body><nav>x</nav><div>{many}</div></body>"), (2, "http://l/2", f"<article>{many}</article>")])
+    assert got[1] == got[2] == "\n\n".join(f"line {i} & more" for i in range(60_000))
