@@ -29,7 +29,8 @@ class JaccardParams:
     ``counters`` hashed counts of all n-grams tell rare from frequent ones; they only decide how
     much the filters leave to do, never the result. The suffix filter splits a set in ``parts``.
     Sets that share an n-gram meet in cells of about ``cells`` sets, round by round; ``salted``
-    rows of one n-gram are one task's work in the last one."""
+    rows of one n-gram are one task's work in the last one. Up to ``broadcast`` bytes of row names
+    are sent to all tasks to fetch their texts, else they meet the texts by a shuffle."""
 
     shingle: int = 4
     percent: int = 85
@@ -37,6 +38,7 @@ class JaccardParams:
     parts: int = 64
     cells: tuple[int, ...] = (8, 64)
     salted: int = 1000
+    broadcast: int = 8 << 20
 
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -94,7 +96,7 @@ def gram_counts(docs: DataFrame, params: JaccardParams) -> np.ndarray:
     return out
 
 
-_SETS = "doc_id bigint, _th bigint, key binary, n int, prefix array<bigint>, parts array<tinyint>"
+_SETS = "doc_id bigint, _th bigint, key binary, n int, prefix array<bigint>, parts array<tinyint>, bits array<bigint>"
 
 
 def _part_sizes(grams: np.ndarray, parts: int) -> np.ndarray:
@@ -103,10 +105,19 @@ def _part_sizes(grams: np.ndarray, parts: int) -> np.ndarray:
     return np.minimum(np.bincount(of.astype(np.int64), minlength=parts), 127).astype(np.int8)
 
 
+def _parities(grams: np.ndarray) -> np.ndarray:
+    """A set's finest split, in one to two parts an n-gram: a bit for each part, 1 if its size is odd.
+    Words of 64 bits; twice as many words fold to half of them by XOR."""
+    size = max(64, 1 << max(0, len(grams) - 1).bit_length())
+    of = (grams >> np.uint64(32)) % np.uint64(size)
+    odd = np.bincount(of.astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def _prefixes(params: JaccardParams, counts) -> Callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):
-            keys, sizes, prefixes, parts = [], [], [], []
+            keys, sizes, prefixes, parts, bits = [], [], [], [], []
             for text in batch.column("text").to_pylist():
                 grams = shingle_set((text or "").encode(), params.shingle)
                 keys.append(hashlib.blake2b(grams.tobytes(), digest_size=16).digest())
@@ -114,6 +125,7 @@ def _prefixes(params: JaccardParams, counts) -> Callable:
                 rare_first = np.argsort(counts.value[_counter_of(grams, params)], kind="stable")
                 prefixes.append(grams[rare_first[: prefix_size(len(grams), params.percent)]].view(np.int64))
                 parts.append(_part_sizes(grams, params.parts))
+                bits.append(_parities(grams))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
@@ -122,8 +134,9 @@ def _prefixes(params: JaccardParams, counts) -> Callable:
                     pa.array(sizes, pa.int32()),
                     pa.array(prefixes, pa.list_(pa.int64())),
                     pa.array(parts, pa.list_(pa.int8())),
+                    pa.array(bits, pa.list_(pa.int64())),
                 ],
-                ["doc_id", "_th", "key", "n", "prefix", "parts"],
+                ["doc_id", "_th", "key", "n", "prefix", "parts", "bits"],
             )
 
     return run
@@ -154,14 +167,33 @@ def _may_be_similar(params: JaccardParams) -> Column:
     return length & (left * (100 + p) >= both * p)
 
 
+def _most_apart(params: JaccardParams) -> Column:
+    """So many n-grams at most are in one only of two similar sets x and y."""
+    p, both = params.percent, F.col("x.n") + F.col("y.n")
+    return both - F.lit(2) * F.ceil(both * p / (100 + p))
+
+
 def _parts_agree(params: JaccardParams) -> Column:
     """Suffix filter: sets are split at fixed hash values, and the sizes of the parts can't differ by more in
     all than similar sets do."""
-    p, both = params.percent, F.col("x.n") + F.col("y.n")
     apart = F.aggregate(
         F.zip_with("x.parts", "y.parts", lambda a, b: F.abs(a.cast("int") - b.cast("int"))), F.lit(0), lambda s, d: s + d
     )
-    return apart <= both - F.lit(2) * F.ceil(both * p / (100 + p))
+    return apart <= _most_apart(params)
+
+
+def _parities_agree(params: JaccardParams) -> Column:
+    """Suffix filter on the finest split: a part whose sizes are odd and even has an n-gram of one set only."""
+
+    def folded(bits: str, words: Column) -> Column:
+        half = F.shiftright(F.size(bits), 1)
+        two = F.zip_with(F.slice(bits, F.lit(1), half), F.slice(bits, half + 1, half), lambda a, b: a.bitwiseXOR(b))
+        return F.when(F.size(bits) > words, two).otherwise(F.col(bits))
+
+    words = F.least(F.size("x.bits"), F.size("y.bits"))
+    flips = F.zip_with(folded("x.bits", words), folded("y.bits", words), lambda a, b: F.bit_count(a.bitwiseXOR(b)))
+    apart = F.aggregate(flips, F.lit(0), lambda s, d: s + d)
+    return F.coalesce(apart <= _most_apart(params), F.lit(True))  # null: more than twice as many words
 
 
 def _pairs(x: DataFrame, y: DataFrame, on: list[str], one: DataFrame, params: JaccardParams) -> DataFrame:
@@ -184,15 +216,21 @@ def _pairs(x: DataFrame, y: DataFrame, on: list[str], one: DataFrame, params: Ja
 
 
 def _verified(pairs: DataFrame, one: DataFrame, docs: DataFrame, params: JaccardParams) -> DataFrame:
-    """The pairs whose whole sets are similar. Sets are made anew from the texts of those documents that are in
-    a pair, so that no table of all sets is needed."""
-    ends = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+    """The pairs whose whole sets are similar. The finest split of their sets is compared first. The sets of what
+    is left are made anew from the texts, so that no table of all sets is needed."""
+    split = one.select("id", "n", "bits")
+    x, y = split.alias("x"), split.alias("y")
+    both = pairs.join(x, F.col("u") == F.col("x.id")).join(y, F.col("v") == F.col("y.id"))
+    near = write_and_read(both.where(_parities_agree(params)).select("u", "v"), "near")
+    ends = near.select(F.explode(F.array("u", "v")).alias("id")).distinct()
     wanted = write_and_read(one.join(ends, "id", "left_semi").select("id", "lead.doc_id", "lead._th"), "wanted")
-    texts = docs.join(wanted, same_row(docs, wanted)).select("id", "text").dropDuplicates(["id"])
-    whole = write_and_read(texts.mapInArrow(_whole_sets(params), "id bigint, grams array<bigint>"), "whole")
+    few = 24 * wanted.count() <= params.broadcast  # three numbers a row: else the texts are shuffled
+    texts = docs.join(F.broadcast(wanted) if few else wanted, same_row(docs, wanted)).select("id", "text")
+    whole = texts.dropDuplicates(["id"]).mapInArrow(_whole_sets(params), "id bigint, grams array<bigint>")
+    whole = write_and_read(whole, "whole")
     a = whole.select(F.col("id").alias("u"), F.col("grams").alias("a"))
     b = whole.select(F.col("id").alias("v"), F.col("grams").alias("b"))
-    fetched = pairs.join(a, "u").join(b, "v")
+    fetched = near.join(a, "u").join(b, "v")
     shared = F.size(F.array_intersect("a", "b"))
     similar = shared * (100 + params.percent) >= (F.size("a") + F.size("b")) * params.percent
     return fetched.where(similar).select("u", "v")
@@ -280,7 +318,7 @@ def jaccard_groups(documents: DataFrame, params: JaccardParams = JaccardParams()
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", text_hash().alias("_th"))
     counts = docs.sparkSession.sparkContext.broadcast(gram_counts(docs, params))
     sets = write_and_read(docs.mapInArrow(_prefixes(params, counts), _SETS), "sets")
-    firsts = [F.first(c).alias(c) for c in ("n", "prefix", "parts")]
+    firsts = [F.first(c).alias(c) for c in ("n", "prefix", "parts", "bits")]
     lead = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_th")).alias("lead")
     once = sets.where("n > 0").groupBy("key").agg(*firsts, lead)
     # numbered when it is written: what is read back has one number for good

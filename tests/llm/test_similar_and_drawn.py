@@ -10,7 +10,7 @@ from hashlib import sha256
 import numpy as np
 import pytest
 
-from cohortlens.llm.jaccard import JaccardParams, jaccard_groups, prefix_size
+from cohortlens.llm.jaccard import JaccardParams, _parities, jaccard_groups, prefix_size
 from cohortlens.llm.resample import PayloadScanner, ResampleParams, compose, feature_crcs, resample
 from cohortlens.llm.spelling import SpellingParams, Vocabulary, near_words, spelling_variants, vocabulary_of
 
@@ -82,7 +82,7 @@ def jaccard_brute(rows):
 
 @pytest.mark.parametrize(
     ("seed", "params"),
-    [(0, JaccardParams()), (1, JaccardParams(counters=1, cells=(2, 4), salted=3)), (2, JaccardParams(cells=(), parts=1))],
+    [(0, JaccardParams()), (1, JaccardParams(counters=1, cells=(2, 4), salted=3)), (2, JaccardParams(cells=(), parts=1, broadcast=0))],
 )
 def test_jaccard_groups(spark, seed, params):
     rows = near_copies(seed)
@@ -90,6 +90,19 @@ def test_jaccard_groups(spark, seed, params):
     assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in got) == jaccard_brute(rows)
 
 
+def test_parities_of_two_sets_never_differ_by_more_than_the_sets():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 63, 64, 65, 127, 128, 129, 1000, 5000):
+        a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        for m in (0, 1, n // 20, n // 8):
+            b = np.unique(np.concatenate([a[m:], rng.integers(0, 1 << 63, m).astype(np.uint64)]))
+            x, y = sorted((_parities(a), _parities(b)), key=len)
+            while len(y) > len(x):
+                y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+            flips = sum(int(w).bit_count() for w in (x ^ y).view(np.uint64))
+            assert flips <= len(np.setxor1d(a, b)) and (m or not flips)
+
+
 def test_jaccard_at_the_threshold(spark):
     """20 shingles, of which 17 are shared and 3 are the one text's own: 85 of 100."""
     words = [f"a{i}" for i in range(23)]
