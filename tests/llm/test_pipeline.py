@@ -7,11 +7,12 @@ from collections import Counter
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from test_pair_operators import DOCS as PLAIN
 from test_pair_operators import LABELS, deduped, found_in, linked, print_of, words_of
 
 import corpus_pipeline
-from cohortlens.llm.quality import QualityParams, quality_rules
+from cohortlens.llm.quality import QualityParams, _of_ids, _percentile, quality_rules
 from cohortlens.llm.queries import tokenizer
 
 spm = pytest.importorskip("sentencepiece")
@@ -167,3 +168,36 @@ def test_empty_tables(spark, tmp_path):
     assert sorted(str(r["doc_id"]) for r in got) == sorted(str(i) for i, _ in chain(rows, [], [])[-1])
     blank = corpus_pipeline.run(spark, save(spark, tmp_path / "c", [(1, None), (None, None)], [], []))
     assert blank.count() == 0
+
+
+def test_all_trusted_rows_count(spark):
+    """More trusted ids than the 20,000 of which the former default took no more."""
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(rng.choices(words, k=21))) for i in range(20_400)]
+    rows += [rows[7], (None, rows[8][1]), (20_400, "zz " * 30)]
+    labels = [(i, 1, 0) for i in range(20_390)]
+    docs = spark.createDataFrame([(i, t, "x", 7, 7, 7) for i, t in rows], PLAIN)
+    out = quality_rules(docs, spark.createDataFrame(labels, LABELS)).collect()
+    got = sorted((str(r["doc_id"]), r["text_hash"], r["kept"], r["llr"]) for r in out)
+    want = sorted((str(i), signed((t or "").encode()), kept, score) for (i, t), (score, kept) in zip(rows, quality(rows, labels, QualityParams(sample=None))))
+    assert [g[:3] for g in got] == [w[:3] for w in want]
+    assert all(abs(g[3] - w[3]) < 1e-8 for g, w in zip(got, want))
+
+
+def test_percentile_is_exact(spark):
+    rng = random.Random(4)
+    for numbers in ([], [2.5], [1.0, 2.0], [rng.choice([0.5, rng.random()]) for _ in range(3001)]):
+        df = spark.createDataFrame([(x,) for x in numbers], "x double").repartition(5)
+        for share in (0.0, 0.001, 0.37, 0.5, 1.0):
+            assert _percentile(df, share) == df.agg(F.percentile("x", F.lit(share))).first()[0]
+
+
+def test_documents_of_ids(spark):
+    """Where the bits say yes to many other ids, the ids decide."""
+    docs = spark.range(4000).selectExpr("if(id % 50 = 0, null, id % 3000) doc_id", "concat('t', id) text")
+    ids = spark.range(0, 3000, 7).selectExpr("id doc_id")
+    want = sorted(map(tuple, docs.join(ids, "doc_id").collect()))
+    assert len(want) > 500
+    for n in (0, 429):
+        assert sorted(map(tuple, _of_ids(docs, ids, n).collect())) == want
