@@ -312,7 +312,8 @@ def topk_of_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("topk_items_ties")
 def topk_items_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = _placed(spark, sf_dir).select("d", "w", "layer", "key", "value", "cnt")
-    return topk_items(placed, ["d", "w", "layer"], SMALL_K, ties=True)
+    cell_layers = PARAMS.d * PARAMS.w * PARAMS.levels
+    return topk_items(placed, ["d", "w", "layer"], SMALL_K, ties=True, most_groups=cell_layers)
 
 
 @_query("sketch_build")

@@ -3,6 +3,7 @@ from collections import Counter
 from dataclasses import replace
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cohortlens import (
@@ -370,3 +371,15 @@ def test_materialized_sketch_answers_the_same(rows):
     stored = sketch.materialize()
     assert as_dict(key_estimates(stored)) == as_dict(key_estimates(sketch))
     assert table(stored.counters) == table(sketch.counters)
+
+
+def test_ties_are_not_sorted(spark, rows):
+    """Neither the rows nor the ones that pass are ranked; few groups get their cutoffs by broadcast."""
+    placed = place_items(count_items(rows), SMALL).withColumnRenamed("f", "cnt").select(*HH_COLUMNS)
+    for df in (placed, placed.withColumn("layer", F.when(F.col("layer") > 0, F.col("layer")))):
+        ranked = df.withColumn("n", F.rank().over(Window.partitionBy("d", "w", "layer").orderBy(F.col("cnt").desc())))
+        want = table(ranked.where("n <= 3 AND layer IS NOT NULL").drop("n"))
+        for most in (None, 10**9, SMALL.d * SMALL.w * SMALL.levels):
+            assert table(topk_items(df, ["d", "w", "layer"], 3, ties=True, most_groups=most)) == want
+    plan = topk_items(placed, ["d", "w", "layer"], 3, ties=True, most_groups=100)._jdf.queryExecution().toString()
+    assert "WindowGroupLimit" not in plan and "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
