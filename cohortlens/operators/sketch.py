@@ -55,6 +55,8 @@ _COUNT_BITS = 31
 
 # Floors are broadcast, 16 bytes for each of at most d*w*levels cell layers, up to this many.
 MAX_BROADCAST_CELL_LAYERS = 1_000_000
+# A merge adds up so many items in a task; more make more tasks.
+ITEMS_PER_TASK = 1_000_000
 
 
 def top_of_cells(
@@ -112,7 +114,8 @@ def build_sketch(
     keep_items: bool = False,
 ) -> Sketch:
     """Sketch of rows(key, value[, f]). ``items`` are the counted rows, if there already;
-    ``keep_items`` keeps them with the sketch, so that it can be merged without loss.
+    ``keep_items`` keeps them with the sketch, so that it can be merged without loss; what was not
+    counted before is then written to the shared folder, once for all its uses.
 
     exact_counts  count every distinct item, then keep the top of each cell layer
     count_sketch  the same, but rank by and store Count-Sketch estimates. Items and counters
@@ -127,7 +130,8 @@ def build_sketch(
     if params.layered and mode != "exact_counts":
         raise ValueError("a layered build needs exact counts")
     counters = cuts = None
-    items = count_items(rows) if items is None else items
+    if items is None:
+        items = write_and_read(count_items(rows), "items") if keep_items else count_items(rows)
     if mode == "count_sketch":
         items = write_and_read(items, "items")
         counters = write_and_read(count_sketch_build(items, params), "counters")
@@ -159,6 +163,13 @@ def empty_sketch(spark, params: SketchParams) -> Sketch:
     )
 
 
+def _counted_again(items: DataFrame) -> DataFrame:
+    """``count_items`` of items that rarely repeat: nothing is combined before the shuffle, and a task gets
+    ``ITEMS_PER_TASK`` of them however many there are."""
+    parts = max(-(-items.count() // ITEMS_PER_TASK), items.sparkSession.sparkContext.defaultParallelism)
+    return count_items(items.repartition(parts, "key", "value"))
+
+
 def merge_sketches(*sketches: Sketch) -> Sketch:
     """One sketch of all inputs, in any order: counts are added per item, then cut again.
 
@@ -174,7 +185,7 @@ def merge_sketches(*sketches: Sketch) -> Sketch:
         raise ValueError("only sketches with the same parameters can be merged")
     if all(s.items is not None for s in sketches):
         union = reduce(DataFrame.unionByName, [s.items for s in sketches])
-        every = write_and_read(count_items(union), "items")
+        every = write_and_read(_counted_again(union), "items")
         mode = sketches[0].mode if len({s.mode for s in sketches}) == 1 else "exact_counts"
         merged = build_sketch(every, params, mode, params.k_store, items=every, keep_items=True)
         if mode == "exact_counts" and all(s.counters is not None for s in sketches):

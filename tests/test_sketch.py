@@ -26,7 +26,7 @@ from cohortlens import (
 from cohortlens.operators.bounded import key_bounds
 from cohortlens.operators.cells import cell_totals, place_items
 from cohortlens.operators.counters import count_sketch_build, count_sketch_estimate, merge_counters
-from cohortlens.operators.sketch import HH_COLUMNS, _top_of_many, top_of_cells
+from cohortlens.operators.sketch import HH_COLUMNS, _counted_again, _top_of_many, top_of_cells
 from cohortlens.operators.topk import topk_items
 from cohortlens.session import write_and_read
 
@@ -383,3 +383,14 @@ def test_ties_are_not_sorted(spark, rows):
             assert table(topk_items(df, ["d", "w", "layer"], 3, ties=True, most_groups=most)) == want
     plan = topk_items(placed, ["d", "w", "layer"], 3, ties=True, most_groups=100)._jdf.queryExecution().toString()
     assert "WindowGroupLimit" not in plan and "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_merge_adds_items_up_in_stages_of_their_own(spark, rows, tmp_path):
+    """Kept items are written where they are counted, and dealt out by number when they are merged."""
+    a, b = (build_sketch(rows.where(f"hash(key, value) % 2 {op} 0"), SMALL, keep_items=True) for op in ("=", "<>"))
+    for sketch in (a, b):
+        assert "HashAggregate" not in sketch.items._jdf.queryExecution().executedPlan().toString()
+    merged = merge_sketches(a, b, a)
+    twice = count_items(rows.unionByName(rows.where("hash(key, value) % 2 = 0")))
+    assert table(merged.items) == table(twice)
+    assert _counted_again(a.items).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
