@@ -10,6 +10,7 @@ from ..functions.metrics import MetricSpec, combine_rows, resolve_metrics
 from ..params import SketchParams
 from .cells import assign_cells
 from .sketch import Sketch, top_of_cells
+from .topk import is_large, split_crowded
 
 
 def propagate(hh: DataFrame, params: SketchParams, in_place: bool = False) -> DataFrame:
@@ -21,16 +22,23 @@ def propagate(hh: DataFrame, params: SketchParams, in_place: bool = False) -> Da
 
     One shuffle by cell serves the ranking, the assignment and the sums that follow; a cell
     holds at most levels*k_kept rows. ``in_place`` says that the rows lie together by cell already.
+    Where ``k`` is large, cells of at most k items are not ranked or shuffled: their layer 0 keeps all.
     """
+    whole = None
+    if is_large(hh, params.k) and not params.layered:
+        whole, hh = split_crowded(hh, ["d", "w"], params.k)
     by_cell = hh if in_place else hh.repartition("d", "w")
     if params.layered:
         candidates = by_cell.withColumnRenamed("layer", "m")
     else:
         candidates = by_cell.withColumn("m", F.explode(F.sequence(F.lit(0), "layer"))).drop("layer")
     kept = top_of_cells(candidates, params, params.k, layer="m")
-    return kept.groupBy("d", "w", "key", "value").agg(
+    assigned = kept.groupBy("d", "w", "key", "value").agg(
         F.min("m").alias("m"), F.max("cnt").alias("cnt")
     )
+    if whole is None:
+        return assigned
+    return whole.select("d", "w", "key", "value", F.lit(0).alias("m"), "cnt").unionByName(assigned)
 
 
 def cell_gsum(assigned: DataFrame, metrics: MetricSpec = None, by: str = "key") -> DataFrame:

@@ -18,7 +18,7 @@ from .bounded import TRACKED, first_cuts, layer_totals, merge_cuts
 from .cells import cell_totals, place_items, with_tie_break
 from .counters import count_sketch_build, count_sketch_estimate, merge_counters
 from .items import count_items
-from .topk import kth_best_floor, topk_items
+from .topk import is_large, kth_best_floor, split_crowded, topk_items
 
 CELL_LAYER = ["d", "w", "layer"]
 HH_COLUMNS = ["d", "w", "layer", "key", "value", "cnt"]
@@ -72,7 +72,8 @@ def _top_of_many(ranked: DataFrame, params: SketchParams, k: int) -> DataFrame:
 
     A first pass finds a floor per cell layer, a second one keeps what reaches it; only these
     few rows are sorted and shuffled. Both passes read the same shuffled items. There are never
-    more buckets in use than items, and their aggregation spills, so any k takes this path.
+    more buckets in use than items, and their aggregation spills, so any k takes this path; beyond
+    the k that Spark cuts to before a shuffle only cell layers of more than k items do.
     """
     cell = (F.col("d") * F.lit(params.w) + F.col("w")).cast("bigint") * F.lit(
         params.levels
@@ -84,13 +85,17 @@ def _top_of_many(ranked: DataFrame, params: SketchParams, k: int) -> DataFrame:
         F.shiftleft("cnt", 32).bitwiseOR(F.lit((1 << 32) - 1) - F.col("_tie")),
     ).otherwise(F.lit((1 << 63) - 1))
     keyed = with_tie_break(ranked, params).withColumns({"_cell": cell, "_score": score})
+    whole = None
+    if is_large(keyed, k):
+        whole, keyed = split_crowded(keyed, ["_cell"], k)
     floors = kth_best_floor(keyed, "_cell", k, F.col("_score"), F.col("_tie"))
     if params.d * params.w * params.levels <= MAX_BROADCAST_CELL_LAYERS:
         floors = F.broadcast(floors)
     passing = keyed.join(floors, "_cell", "left").where(
         F.col("_floor").isNull() | (F.col("_score") >= F.col("_floor"))
     )
-    return topk_items(passing, ["_cell"], k, tie_break=TIE_BREAK).select(*HH_COLUMNS)
+    top = topk_items(passing, ["_cell"], k, tie_break=TIE_BREAK).select(*HH_COLUMNS)
+    return top if whole is None else whole.select(*HH_COLUMNS).unionByName(top)
 
 
 def _cut(ranked: DataFrame, params: SketchParams, few: bool) -> tuple[DataFrame, DataFrame]:

@@ -27,7 +27,7 @@ from cohortlens.operators.bounded import key_bounds
 from cohortlens.operators.cells import cell_totals, place_items
 from cohortlens.operators.counters import count_sketch_build, count_sketch_estimate, merge_counters
 from cohortlens.operators.sketch import HH_COLUMNS, _counted_again, _top_of_many, top_of_cells
-from cohortlens.operators.topk import topk_items
+from cohortlens.operators.topk import split_crowded, topk_items
 from cohortlens.session import write_and_read
 
 from brute import gsums, lanes, layer_of, sketch_answers
@@ -394,3 +394,26 @@ def test_merge_adds_items_up_in_stages_of_their_own(spark, rows, tmp_path):
     twice = count_items(rows.unionByName(rows.where("hash(key, value) % 2 = 0")))
     assert table(merged.items) == table(twice)
     assert _counted_again(a.items).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_large_k_ranks_crowded_cells_only(spark, rows):
+    placed = place_items(count_items(rows), SMALL, tie_break=True).withColumnRenamed("f", "cnt")
+    params = replace(SMALL, k=20)
+    want = table(_top_of_many(placed, SMALL, 20)), table(propagate(build_sketch(rows, params).hh, params))
+    spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", "10")
+    try:
+        assert table(_top_of_many(placed, SMALL, 20)) == want[0]
+        assert table(propagate(build_sketch(rows, params).hh, params)) == want[1]
+        answers = key_estimates(build_sketch(rows, replace(SMALL, k=100_000)))
+        answers.collect()
+        plan = answers._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert "Window" not in plan and "SortMergeJoin" not in plan
+    finally:
+        spark.conf.unset("spark.sql.optimizer.windowGroupLimitThreshold")
+
+
+def test_crowded_groups_may_be_null(spark):
+    df = spark.createDataFrame([(g, i) for g, n in ((None, 3), ("a", 2), ("b", 4)) for i in range(n)], "g string, i int")
+    whole, rest = split_crowded(df, ["g"], 2)
+    assert [r[0] for r in whole.collect()] == ["a"] * 2
+    assert Counter(r[0] for r in rest.collect()) == {None: 3, "b": 4}
