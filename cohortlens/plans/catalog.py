@@ -40,7 +40,7 @@ from ..operators.topk import topk_items
 from ..params import SketchParams
 from ..session import new_path, write_and_read
 from ..sources.rows import query_keys_of, read_rows, repeat_rows
-from ..sources.store import format_estimates, load_sketch, save_sketch
+from ..sources.store import format_estimates, leave_catalog, load_sketch, save_sketch
 from ..streaming.incremental import latest_sketch, sketch_updater
 from ..streaming.windows import sliding_gsum, window_gsum
 from . import jobs
@@ -472,7 +472,9 @@ def bucketed_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A sketch stored in buckets of cells; the keys go to its cells, and it is not shuffled."""
     path = new_path(spark, "sketch")
     save_sketch(_sketch(spark, sf_dir), path, buckets=BUCKETS)
-    return _tidy(query_keys(load_sketch(spark, path), _supplier_keys(spark, sf_dir)))
+    answers = _tidy(query_keys(load_sketch(spark, path), _supplier_keys(spark, sf_dir)))
+    leave_catalog(spark, path)  # the caller's catalog is as it was
+    return answers
 
 
 @_query("file_job")

@@ -158,6 +158,14 @@ def load_sketch(spark: SparkSession, path: str) -> Sketch:
     return _read_version(spark, path, latest[1])
 
 
+def leave_catalog(spark: SparkSession, path: str) -> None:
+    """Take the table of a sketch in buckets out of the session's catalog. Its files stay: what was
+    loaded before goes on reading them, and ``load_sketch`` registers it again."""
+    latest = _latest(spark, path)
+    if latest is not None and latest[1]["buckets"] is not None:
+        spark.sql(f"DROP TABLE IF EXISTS {_bucket_table(latest[1]['version'])}")
+
+
 def has_sketch(spark: SparkSession, path: str) -> bool:
     """Whether ``path`` holds a complete sketch."""
     return _latest(spark, path) is not None

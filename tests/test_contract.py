@@ -79,6 +79,15 @@ def test_items_are_scanned_and_counted_once(spark, sf_dir, name):
     assert "ReusedExchange" in final and final.count("FileScan") == 1
 
 
+def test_bucketed_query_leaves_no_table(spark, sf_dir):
+    before = {t.name for t in spark.catalog.listTables()}
+    found = contract.queries()["bucketed_query"](spark, sf_dir)
+    assert {t.name for t in spark.catalog.listTables()} == before
+    assert "Bucketed: true" in found._jdf.queryExecution().executedPlan().toString()
+    want = contract.queries()["sketch_roundtrip"](spark, sf_dir)
+    assert found.count() and sorted(found.collect()) == sorted(want.collect())
+
+
 def test_batch_answers_have_several_writers(spark, sf_dir):
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else small parts are joined
     try:
